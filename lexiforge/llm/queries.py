@@ -19,6 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
@@ -43,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), room=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing)}
 ORACLE: dict[str, str] = {}
