@@ -53,14 +53,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def semi(big: DataFrame, ids: DataFrame, key: str, limit: int = 500_000) -> DataFrame:
-    """Rows of ``big`` whose ``key`` is in ``ids`` (one distinct long column of that name).
+def semi(big: DataFrame, ids: DataFrame, key: str, limit: int = 500_000, how: str = "left_semi") -> DataFrame:
+    """Rows of ``big`` whose ``key`` is in ``ids`` (one distinct long column of that name; ``left_anti``: is not).
 
     ``ids`` is broadcast only when its counted rows are at most ``limit``
     (8 MB of longs); beyond that the join is shuffled.
     """
     small = ids.limit(limit + 1).count() <= limit
-    return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
+    return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -31,6 +31,27 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_paragraphs", F.size("found").alias("n_licences"),
+                      F.array_join(F.array_sort(F.array_distinct("found.family")), ",").alias("families"),
+                      F.col("found.paragraph").alias("paragraphs"), F.array_max("found.probability").alias("probability"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_codec import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer(PIECES))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -61,5 +82,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), room=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing)}
 ORACLE: dict[str, str] = {}
