@@ -167,11 +167,11 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # A group: classes with one prefix and size; its head is its smallest class.
     groups = classes.groupBy("size", "prefix").agg(F.min("cls").alias("head"), F.count("*").alias("n"))
     tokens = sets.join(groups, (sets["id"] == groups["head"]) & (sets["prefix"] == groups["prefix"]) & (sets["size"] == groups["size"]), "left_semi")
-    tokens = tokens.dropDuplicates(["id"]).select(F.col("id").alias("head"), "size", F.posexplode("tokens").alias("pos", "token"))
+    tokens = tokens.dropDuplicates(["id"]).select(F.col("id").alias("head"), "size", F.explode("tokens").alias("token"))
     # Entries of prefix shingles that two groups at least share; top: the shingle's head.
     by = W.partitionBy("token")
     entries = (tokens.withColumn("lo", F.min("head").over(by)).withColumn("hi", F.max("head").over(by)).where("lo < hi"))
-    entries = written(entries.select("token", "head", "size", "pos", F.col("lo").alias("top")), "entries")
+    entries = written(entries.select("token", "head", "size", F.col("lo").alias("top")), "entries")
     sizes = classes.select("cls", "size", "prefix")
     heads = groups.select("size", "prefix", "head")
     first = (sizes.join(heads, ["size", "prefix"]).where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")))
@@ -180,7 +180,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     near = (entries.where("head <> top").groupBy("head", "top").agg(F.first("size").alias("size"), F.count("*").alias("shared"))
             .withColumn("r", F.row_number().over(tried)).where("r <= 2")
             .join(entries.where("head = top").groupBy(F.col("head").alias("top")).agg(F.first("size").alias("top_size")), "top")
-            .where(f"head <> top and 100 * least(size, top_size) >= {percent} * greatest(size, top_size)")
+            .where(_reach("size", "top_size", "shared", percent))
             .select(F.col("head").alias("a"), F.col("top").alias("b")))
     links = _linked(base, first.unionByName(near), n, percent)
     roots = components(links)
@@ -191,11 +191,11 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     mixed_groups = member.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     inside = mixed_groups.where("lo < hi").select("head")
     inside = member.join(inside, "head", "left_semi")
-    pairs = _apart(inside.select("head", "cls", "root", "size", F.lit(0).alias("pos")), ["head"], percent)
+    pairs = _apart(inside.select("head", "cls", "root", "size"), "head", percent)
     spread = entries.join(mixed_groups, "head")
     bounds = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
     wide = entries.join(bounds, "token", "left_semi").drop("top").join(member.select("head", "cls", "root"), "head")
-    pairs = pairs.unionByName(_apart(wide, ["token"], percent))
+    pairs = pairs.unionByName(_apart(wide, "token", percent))
     more = _linked(base, pairs, n, percent)
     roots = components(links.unionByName(more)).withColumnRenamed("id", "cls")
     named = (ids.join(classes, ["size", "digest", "prefix"], "left").join(roots, "cls", "left")
@@ -203,20 +203,26 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     return named.withColumnRenamed("id", id_col)
 
 
-def _apart(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs of classes with one key and different roots that sizes and positions let reach the threshold."""
-    a = rows.select(*key, F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
-    b = rows.select(*key, F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
-    # Shared shingles: at most what follows this one in either set, and it is the first they share or a later one.
-    reach = f"100 * least(sa, sb) >= {percent} * greatest(sa, sb)"
-    if key == ["token"]:
-        most = "(least(sa - pa, sb - pb) + least(pa, pb))"
-        reach += f" and 100 * {most} >= {percent} * (sa + sb - {most})"
-    cond = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key] + [F.expr(f"a < b and ra <> rb and {reach}")]
-    c = cond[0]
-    for x in cond[1:]:
-        c = c & x
-    return a.alias("x").join(b.alias("y"), c).select("a", "b")
+def _reach(a: str, b: str, shared: str, percent: int) -> str:
+    """Whether sets of sizes a and b that share so many prefix shingles can reach the threshold.
+
+    What both prefixes hold up to the end of the lesser one is counted; beyond it the set of
+    that prefix has fewer than its required overlap left.
+    """
+    most = f"({shared} + greatest(ceil({percent} * {a} / 100), ceil({percent} * {b} / 100)) - 1)"
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b}) and {100 + percent} * {most} >= {percent} * ({a} + {b})"
+
+
+def _apart(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs of classes with one key and different roots that sizes and shared shingles let reach the threshold."""
+    a = rows.select(key, F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")).alias("x")
+    b = rows.select(key, F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb")).alias("y")
+    near = F.expr(f"a < b and ra <> rb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)")
+    pairs = a.join(b, (F.col(f"x.{key}") == F.col(f"y.{key}")) & near)
+    if key == "token":
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
+        pairs = pairs.where(_reach("sa", "sb", "shared", percent))
+    return pairs.select("a", "b")
 
 
 def _linked(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
