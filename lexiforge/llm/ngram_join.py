@@ -75,7 +75,10 @@ def _summed(key, table):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-_SETS = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("digest", pa.int64()), ("prefix", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+#: Words of the parity bitmap: bit h mod 256 flips with each shingle, so two bitmaps
+#: differ in no more bits than two sets in shingles.
+BITMAP = ["b0", "b1", "b2", "b3"]
+_SETS = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("digest", pa.int64()), ("prefix", pa.int64()), *[(b, pa.int64()) for b in BITMAP], ("tokens", pa.list_(pa.int64()))])
 
 
 def _digest(s: np.ndarray) -> int:
@@ -87,7 +90,7 @@ def _prefixes(n: int, percent: int, levels):
         level = levels.value
         for b in batches:
             ids = b.column(0)
-            size, digest, prefix, tokens = [], [], [], []
+            size, digest, prefix, tokens, bitmap = [], [], [], [], np.zeros((b.num_rows, len(BITMAP)), np.int64)
             for s in shingle_sets(b.column(1), n):
                 m = len(s)
                 p = m - -(-percent * m // 100) + 1 if m else 0
@@ -97,6 +100,7 @@ def _prefixes(n: int, percent: int, levels):
                 else:
                     s2 = s
                 t = s2[:p]
+                bitmap[len(size)] = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
                 size.append(m)
                 digest.append(_digest(s))
                 prefix.append(_digest(t) ^ m)
@@ -106,7 +110,7 @@ def _prefixes(n: int, percent: int, levels):
             body = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             listed = pa.ListArray.from_arrays(pa.array(off), pa.array(body.view(np.int64)))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), as_long(digest), as_long(prefix), listed], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int64()), as_long(digest), as_long(prefix), *[pa.array(c) for c in bitmap.T], listed], schema=_SETS)
 
     return run
 
@@ -158,12 +162,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(base, n))
-    sets = base.mapInArrow(_prefixes(n, percent, levels), "id long, size long, digest long, prefix long, tokens array<long>")
+    sets = base.mapInArrow(_prefixes(n, percent, levels), "id long, size long, digest long, prefix long, b0 long, b1 long, b2 long, b3 long, tokens array<long>")
     sets = written(sets, "sets")
-    ids = written(sets.groupBy("id").agg(F.min(F.struct("size", "digest", "prefix")).alias("s")).select("id", "s.*"), "set-ids")
+    ids = written(sets.groupBy("id").agg(F.min(F.struct("size", "digest", "prefix", *BITMAP)).alias("s")).select("id", "s.*"), "set-ids")
     # A class: documents with one and the same set, named by its smallest id.
     classes = written(
-        ids.where("size > 0").groupBy("size", "digest", "prefix").agg(F.min("id").alias("cls"), F.count("*").alias("n_copies")), "classes")
+        ids.where("size > 0").groupBy("size", "digest", "prefix").agg(F.min("id").alias("cls"), F.count("*").alias("n_copies"), *[F.first(b).alias(b) for b in BITMAP]), "classes")
     # A group: classes with one prefix and size; its head is its smallest class.
     groups = classes.groupBy("size", "prefix").agg(F.min("cls").alias("head"), F.count("*").alias("n"))
     tokens = sets.join(groups, (sets["id"] == groups["head"]) & (sets["prefix"] == groups["prefix"]) & (sets["size"] == groups["size"]), "left_semi")
@@ -171,30 +175,35 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     # Entries of prefix shingles that two groups at least share; top: the shingle's head.
     by = W.partitionBy("token")
     entries = (tokens.withColumn("lo", F.min("head").over(by)).withColumn("hi", F.max("head").over(by)).where("lo < hi"))
-    entries = written(entries.select("token", "head", "size", F.col("lo").alias("top")), "entries")
-    sizes = classes.select("cls", "size", "prefix")
+    entries = written(entries.select("token", "head", "size"), "entries")
+    sizes = classes.select("cls", "size", "prefix", *BITMAP)
     heads = groups.select("size", "prefix", "head")
-    first = (sizes.join(heads, ["size", "prefix"]).where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")))
+    first = sizes.join(heads, ["size", "prefix"]).where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    # A shingle's top is its most central group: what most others were copied from shares most.
+    frequent = entries.groupBy("token").agg(F.count("*").alias("n"))
+    central = entries.join(frequent, "token").groupBy("head").agg(F.sum("n").alias("score"))
+    tops = entries.join(central, "head").groupBy("token").agg(
+        F.max(F.struct("score", (-F.col("head")).alias("head"), "size")).alias("t")).select("token", (-F.col("t.head")).alias("top"), F.col("t.size").alias("top_size"))
     # Each head tries the two tops that it shares most with; the second round has the rest.
     tried = W.partitionBy("head").orderBy(F.desc("shared"), "top")
-    near = (entries.where("head <> top").groupBy("head", "top").agg(F.first("size").alias("size"), F.count("*").alias("shared"))
+    near = (entries.join(tops, "token").where("head <> top").groupBy("head", "top").agg(F.first("size").alias("size"), F.first("top_size").alias("top_size"), F.count("*").alias("shared"))
             .withColumn("r", F.row_number().over(tried)).where("r <= 2")
-            .join(entries.where("head = top").groupBy(F.col("head").alias("top")).agg(F.first("size").alias("top_size")), "top")
             .where(_reach("size", "top_size", "shared", percent))
             .select(F.col("head").alias("a"), F.col("top").alias("b")))
-    links = _linked(base, first.unionByName(near), n, percent)
+    first = _close(first.unionByName(near), sizes, percent)
+    links = _linked(base, first, n, percent)
     roots = components(links)
     # Second round: what the first left apart.
     member = (sizes.join(heads, ["size", "prefix"]).join(roots.withColumnRenamed("id", "cls"), "cls", "left")
-              .select("cls", "head", "size", F.coalesce("component", "cls").alias("root")))
+              .select("cls", "head", "size", F.coalesce("component", "cls").alias("root"), *BITMAP))
     member = written(member, "members")
     mixed_groups = member.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     inside = mixed_groups.where("lo < hi").select("head")
     inside = member.join(inside, "head", "left_semi")
-    pairs = _apart(inside.select("head", "cls", "root", "size"), "head", percent)
+    pairs = _apart(inside.select("head", "cls", "root", "size", *BITMAP), "head", percent)
     spread = entries.join(mixed_groups, "head")
     bounds = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
-    wide = entries.join(bounds, "token", "left_semi").drop("top").join(member.select("head", "cls", "root"), "head")
+    wide = entries.join(bounds, "token", "left_semi").join(member.select("head", "cls", "root", *BITMAP), "head")
     pairs = pairs.unionByName(_apart(wide, "token", percent))
     more = _linked(base, pairs, n, percent)
     roots = components(links.unionByName(more)).withColumnRenamed("id", "cls")
@@ -213,11 +222,25 @@ def _reach(a: str, b: str, shared: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b}) and {100 + percent} * {most} >= {percent} * ({a} + {b})"
 
 
+def _bits(a: list[str], b: list[str], sizes: str, percent: int) -> str:
+    """Whether bitmaps differ in few enough bits for the threshold."""
+    apart = " + ".join(f"bit_count({x} ^ {y})" for x, y in zip(a, b))
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * ({sizes})"
+
+
+def _close(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose bitmaps let them reach the threshold."""
+    side = lambda k: sizes.select(F.col("cls").alias(k), F.col("size").alias(f"s{k}"), *[F.col(x).alias(k + x) for x in BITMAP])
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.where(_bits(["a" + x for x in BITMAP], ["b" + x for x in BITMAP], "sa + sb", percent)).select("a", "b")
+
+
 def _apart(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs of classes with one key and different roots that sizes and shared shingles let reach the threshold."""
-    a = rows.select(key, F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")).alias("x")
-    b = rows.select(key, F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb")).alias("y")
-    near = F.expr(f"a < b and ra <> rb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)")
+    """Pairs of classes with one key and different roots that sizes, bitmaps and shared shingles let reach the threshold."""
+    a = rows.select(key, F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), *[F.col(x).alias("a" + x) for x in BITMAP]).alias("x")
+    b = rows.select(key, F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), *[F.col(x).alias("b" + x) for x in BITMAP]).alias("y")
+    bits = _bits(["a" + x for x in BITMAP], ["b" + x for x in BITMAP], "sa + sb", percent)
+    near = F.expr(f"a < b and ra <> rb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb) and {bits}")
     pairs = a.join(b, (F.col(f"x.{key}") == F.col(f"y.{key}")) & near)
     if key == "token":
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("sa").alias("sa"), F.first("sb").alias("sb"))
