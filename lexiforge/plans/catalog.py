@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import corpus, marts, tables
+
 FLAGSHIP = "h_class_tfidf"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = {**tables.R.queries, **corpus.R.queries, **marts.R.queries}
+ORACLE: dict[str, str] = {**tables.R.oracle, **corpus.R.oracle, **marts.R.oracle}
