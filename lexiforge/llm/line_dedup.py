@@ -84,8 +84,10 @@ def _occurrences(batches):
             yield batch({"h": h.view(np.int64), "g": (z - a) * np.int64(1 << 40) + w, "doc": ids[i + doc].astype(np.int64), "line": line.astype(np.int32)}, _OCC)
 
 
-_ENTRIES = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int8())])
-INDEX, PROBE = 1, 2
+_ENTRIES = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int64())])
+#: Two flags and, above them, a parity bitmap of the line's characters in BUCKETS
+#: classes: an edit flips two bits at most.
+INDEX, PROBE, BUCKETS = 1, 2, 48
 
 
 def segment_keys(s: np.ndarray, a: np.ndarray, n: np.ndarray, edits: int):
@@ -121,9 +123,12 @@ def _entries(edits: int, min_edit: int, remembered: int = 2_000_000):
                     new = seen[np.minimum(np.searchsorted(seen, h), len(seen) - 1)] != h
                     h, k = h[new], k[new]
                 seen = np.union1d(seen, h) if len(seen) < remembered else h
-                a, n = a[k], (z - a)[k]
-                for ok, key, kind in segment_keys(s, a, n, edits):
-                    yield batch({"key": key.view(np.int64), "id": h[ok].view(np.int64), "kind": np.full(len(ok), kind, np.int8)}, _ENTRIES)
+                a, z = a[k], z[k]
+                odd = np.zeros(len(cp) + 1, np.int64)
+                np.bitwise_xor.accumulate(np.int64(4) << (cp % BUCKETS).astype(np.int64), out=odd[1:])
+                bits = odd[z] ^ odd[a]
+                for ok, key, kind in segment_keys(s, a, z - a, edits):
+                    yield batch({"key": key.view(np.int64), "id": h[ok].view(np.int64), "kind": bits[ok] | kind}, _ENTRIES)
 
     return run
 
@@ -210,33 +215,38 @@ def _verify(edits: int):
     return run
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, occ: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links among different lines within the edit threshold: components ``(id, component)`` of line hashes."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = base.select("text").mapInArrow(_entries(edits, min_edit), "key long, id long, kind byte")
+    rows = base.select("text").mapInArrow(_entries(edits, min_edit), "key long, id long, kind long")
     by = W.partitionBy("key")
     rows = rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo < hi")
     rows = written(rows.groupBy("key", "id").agg(F.bit_or("kind").alias("kind")), "line-entries")
-    tops = rows.where(f"kind & {INDEX} > 0").groupBy("key").agg(F.min("id").alias("b"))
-    first = rows.join(tops, "key").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
-    links = _linked(base, first, edits, min_edit)
+    # Lines within the threshold differ in two bits for each edit at most.
+    close = f"bit_count(shiftrightunsigned(k ^ l, 2)) <= {2 * edits}"
+    tops = rows.where(f"kind & {INDEX} > 0").groupBy("key").agg(F.min(F.struct("id", "kind")).alias("t")).select("key", F.col("t.id").alias("b"), F.col("t.kind").alias("l"))
+    first = rows.withColumnRenamed("kind", "k").join(tops, "key").where(f"id <> b and {close}").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+    first = written(first.distinct(), "line-first")
+    links = _linked(base, occ, first, edits)
     roots = components(links)
     rows = rows.join(roots, "id", "left").select("key", "id", "kind", F.coalesce("component", "id").alias("root"))
     rows = written(rows, "line-roots")
     mixed_keys = rows.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l < h").select("key")
     wide = rows.join(mixed_keys, "key", "left_semi")
-    x, y = wide.where(f"kind & {INDEX} > 0").alias("x"), wide.alias("y")
-    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
-             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    x = wide.where(f"kind & {INDEX} > 0").select("key", F.col("id").alias("i"), F.col("kind").alias("k"), F.col("root").alias("r")).alias("x")
+    y = wide.select("key", F.col("id").alias("j"), F.col("kind").alias("l"), F.col("root").alias("s")).alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"r <> s and {close}")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     # Pairs of the first round that failed needn't be verified again.
-    more = _linked(base, pairs.distinct().join(first.distinct(), ["a", "b"], "left_anti"), edits, min_edit)
+    more = _linked(base, occ, pairs.distinct().join(first, ["a", "b"], "left_anti"), edits)
     return components(links.unionByName(more))
 
 
-def _linked(base: DataFrame, pairs: DataFrame, edits: int, min_edit: int) -> DataFrame:
+def _linked(base: DataFrame, occ: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     pairs = written(pairs.distinct(), "line-pairs")
     need = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-need")
-    texts = base.select("text").mapInArrow(_texts, "id long, line string")
+    # Only documents that hold a line's first occurrence are read again.
+    holders = semi(occ.select(F.col("h").alias("id"), "doc"), need, "id").groupBy("id").agg(F.min("doc").alias("doc")).select("doc").distinct()
+    texts = semi(base, written(holders, "line-holders"), "doc").select("text").mapInArrow(_texts, "id long, line string")
     texts = written(semi(texts, need, "id").dropDuplicates(["id"]), "line-texts")
     x = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     y = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
@@ -255,7 +265,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     occ = written(base.mapInArrow(_occurrences, "h long, g long, doc long, line int"), "line-occurrences")
-    roots = line_classes(docs, edits, min_edit, id_col, text_col).select(F.col("id").alias("h"), "component")
+    roots = line_classes(docs, occ, edits, min_edit, id_col, text_col).select(F.col("id").alias("h"), "component")
     occ = occ.join(roots, "h", "left").select(
         F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g"), "doc", "line")
     where = F.struct("doc", "line")

@@ -102,7 +102,7 @@ def _spans(min_words: int, least: int, long: int, held: int = 1_000_000):
                 if size >= held:
                     yield from flush(parts)
                     parts, size = [], 0
-        if parts:
+        if size:
             yield from flush(parts)
 
     return run
