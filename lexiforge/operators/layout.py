@@ -196,7 +196,8 @@ def most_uniform(items: DataFrame, n: int) -> DataFrame:
 
 def dominant_band(values: DataFrame, tolerance: float) -> DataFrame:
     """The value with most others within the tolerance (ties: the smallest); a window by range, not pairs."""
-    w = W.partitionBy("group").orderBy("value").rangeBetween(-tolerance, tolerance)
+    reach = round(tolerance * 1_000_000)  # range frames want whole numbers
+    w = W.partitionBy("group").orderBy(F.round(F.col("value") * 1_000_000).cast("long")).rangeBetween(-reach, reach)
     return values.withColumn("n", F.count("*").over(w)).groupBy("group").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("centre"), F.max("n").alias("n"))
 
 

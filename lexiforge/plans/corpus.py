@@ -13,11 +13,11 @@ R = Registry()
 TOKENS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{3,}'), lambda t: not regexp_full_match(t, '\p{N}+'))"
 
 
-def _weights(by: str) -> str:
-    return f"""tok as (select {by} as class, unnest({TOKENS}) as word from documents where {by} is not null), cnt as (select class, word, count(*) as n from tok group by 1, 2),
-siz as (select class, sum(n) as size from cnt group by 1), avgs as (select avg(size) as a from siz), frq as (select word, sum(n) as f from cnt group by 1),
-wgt as (select class, word, n, n * 1.0e0 / size * ln(1 + a / f) as weight from cnt join siz using (class) join frq using (word), avgs),
-top as (select * from (select *, row_number() over (partition by class order by weight desc, word) as rank from wgt) where rank <= 10)"""
+def _weights(by: str, z: str = "") -> str:
+    return f"""tok{z} as (select {by} as class, unnest({TOKENS}) as word from documents where {by} is not null), cnt{z} as (select class, word, count(*) as n from tok{z} group by 1, 2),
+siz{z} as (select class, sum(n) as size from cnt{z} group by 1), avgs{z} as (select avg(size) as a from siz{z}), frq{z} as (select word, sum(n) as f from cnt{z} group by 1),
+wgt{z} as (select class, word, n, n * 1.0e0 / size * ln(1 + a / f) as weight from cnt{z} join siz{z} using (class) join frq{z} using (word), avgs{z}),
+top{z} as (select * from (select *, row_number() over (partition by class order by weight desc, word) as rank from wgt{z}) where rank <= 10)"""
 
 
 def _top(spark, d, by, k=10):
@@ -41,8 +41,8 @@ def e_topic_diversity(spark, d):
 
 @R.query(f"""with {_weights('lang')}, doc as (select doc_id, list_distinct({TOKENS}) as ws from documents), held as (select doc_id, word from (select doc_id, unnest(ws) as word from doc) where word in (select word from top)),
 one as (select word, count(*) as n from held group by 1), two as (select x.word as a, y.word as b, count(*) as both_n from held x join held y using (doc_id) where x.word <> y.word group by 1, 2), m as (select count(*) as total from documents)
-select a.class as class, count(both_n) as pairs, round(avg(ln((coalesce(both_n, 0) + 1) * 1.0e0 / o2.n) filter (both_n is not null)), 6) as u_mass
-from top a join top b on a.class = b.class and b.rank < a.rank left join two on two.a = a.word and two.b = b.word left join one o2 on o2.word = b.word, m group by 1""".replace("round(avg(ln((coalesce(both_n, 0) + 1) * 1.0e0 / o2.n) filter (both_n is not null)), 6)", "round(avg(case when both_n is not null then ln((both_n + 1) * 1.0e0 / o2.n) end), 6)"))
+select a.class as class, count(both_n) as pairs, round(avg(case when both_n is not null then ln((both_n + 1) * 1.0e0 / o2.n) end), 6) as u_mass
+from top a join top b on a.class = b.class and b.rank < a.rank left join two on two.a = a.word and two.b = b.word left join one o2 on o2.word = b.word, m group by 1""")
 def e_coherence(spark, d):
     tops = _top(spark, d, "lang")
     pairs = T.cooccurrence(table(spark, d, "documents"), tops)
@@ -55,9 +55,7 @@ def e_coherence_npmi(spark, d):
     return T.coherence(tops, T.cooccurrence(table(spark, d, "documents"), tops)).select("class", F.round("npmi", 6).alias("npmi"))
 
 
-@R.query(f"""with {_weights('lang')}, l as (select class, list(word) as ws from top group by 1), {_weights('source').replace('tok ', 'tok2 ').replace('from tok ', 'from tok2 ').replace('cnt ', 'cnt2 ').replace('from cnt', 'from cnt2').replace('cnt2 2', 'cnt2')
-.replace('siz ', 'siz2 ').replace('from siz)', 'from siz2)').replace('avgs as', 'avgs2 as').replace(', avgs)', ', avgs2)').replace('frq ', 'frq2 ').replace('wgt as', 'wgt2 as').replace('from wgt)', 'from wgt2)').replace('top as', 'top2 as')},
-r as (select class, list(word) as ws from top2 group by 1)
+@R.query(f"""with {_weights('lang')}, {_weights('source', '_s')}, l as (select class, list(word) as ws from top group by 1), r as (select class, list(word) as ws from top_s group by 1)
 select l.class as class, round(max(len(list_intersect(l.ws, r.ws)) * 1.0e0 / len(list_distinct(list_concat(l.ws, r.ws)))), 6) as best from l, r group by 1""")
 def d_best_jaccard(spark, d):
     return T.best_jaccard(_top(spark, d, "lang"), _top(spark, d, "source")).withColumn("best", F.round("best", 6))

@@ -26,10 +26,9 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema=
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON lines; a file of one document where that gives nothing but broken records."""
-    lines = spark.read.option("columnNameOfCorruptRecord", "_corrupt_record")
-    df = (lines.schema(schema) if schema else lines).json(path)
-    if schema is None and df.columns == ["_corrupt_record"]:
+    """JSON lines; whole documents where any line is broken as JSON."""
+    df = (spark.read.schema(schema) if schema else spark.read).json(path)
+    if schema is None and "_corrupt_record" in df.columns:
         df = spark.read.option("multiLine", True).json(path)
     return df
 
