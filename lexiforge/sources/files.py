@@ -145,3 +145,87 @@ def context(files: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
 def merged_config(base: dict, own: dict) -> dict:
     """Settings by section, own keys over base ones; lists are replaced."""
     return {k: {**base.get(k, {}), **v} if isinstance(v, dict) and isinstance(base.get(k, {}), dict) else v for k, v in {**base, **own}.items()}
+
+
+# ------------------------------------------------------------ office files, by their XML
+
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_DOC = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def sheet_rows_of(content: bytes, most: int = 300_000) -> list[list[str | None]]:
+    """A2: cell texts of a workbook's first sheet, row by row; the first row is its header."""
+    import re
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        out = []
+        with z.open(sheet) as f:
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                cells: list[str | None] = []
+                for c in row.iter(f"{_MAIN}c"):
+                    at = 0
+                    for letter in re.match("[A-Z]*", c.get("r", ""))[0]:
+                        at = 26 * at + ord(letter) - 64
+                    cells += [None] * (max(at, len(cells) + 1) - 1 - len(cells))
+                    v, text = c.find(f"{_MAIN}v"), "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                    kind = c.get("t")
+                    cells.append(shared[int(v.text)] if kind == "s" and v is not None else text if kind == "inlineStr" else v.text if v is not None else None)
+                out.append(cells)
+                row.clear()
+                if len(out) > most:
+                    break
+    return out
+
+
+def read_sheets(spark: SparkSession, path: str, most: int = 300_000) -> DataFrame:
+    """A2: workbooks as ``(path, row, cells array<string>)``; row 0 is the header. A bad file has one row with null cells."""
+
+    def rows(frames):
+        for pdf in frames:
+            for p, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    found = sheet_rows_of(bytes(content), most)
+                except Exception:  # not a workbook
+                    found = [None]
+                yield pd.DataFrame({"path": p, "row": range(len(found)), "cells": found})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "path string, row int, cells array<string>")
+
+
+def document_text_of(name: str, content: bytes) -> str:
+    """Text of .txt, .md, .csv, .tsv, .srt, .vtt and .docx files; ValueError for others."""
+    from xml.etree import ElementTree
+
+    suffix = PurePosixPath(name).suffix.lower()
+    if suffix in (".txt", ".md", ".csv", ".tsv", ".srt", ".vtt"):
+        return content.decode("utf-8-sig", "replace")
+    if suffix == ".docx":
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+        return "\n".join("".join(t.text or "" for t in p.iter(f"{_DOC}t")) for p in root.iter(f"{_DOC}p"))
+    raise ValueError(f"no reader for {suffix or name}")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(Filename, Text, error)`` of files by their suffix."""
+
+    def rows(frames):
+        for pdf in frames:
+            out = []
+            for p, content in zip(pdf["path"], pdf["content"]):
+                name = p.rsplit("/", 1)[-1]
+                try:
+                    out.append((name, document_text_of(name, bytes(content)), None))
+                except Exception as e:  # a bad file is a row with its error
+                    out.append((name, None, str(e)))
+            yield pd.DataFrame(out, columns=["Filename", "Text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "Filename string, Text string, error string")
