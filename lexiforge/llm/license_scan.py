@@ -158,11 +158,17 @@ def _joined(bags, pick):
 
 
 def _plain_paragraphs(docs: DataFrame, sample: int, text_col: str) -> list[str]:
-    """A bounded sample, by hash, of paragraphs without a licence word."""
-    some = docs.select(F.col(text_col).alias("t")).where("t is not null").select(F.substring_index(F.substring("t", 1, 2000), "\n", 4).alias("t"))
+    """A bounded sample, by hash, of paragraphs without a licence word.
+
+    About ``2 * sample`` texts are taken first, so that what the driver is sent doesn't grow with the corpus.
+    """
+    n = docs.count()
+    text = F.col(text_col)
+    some = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(max(1, n // (2 * sample)))) == 0))
+    some = some.select(F.substring_index(F.substring(text, 1, 2000), "\n", 4).alias("t"))
     lines = some.select(F.explode(F.split("t", "\n")).alias("p")).where("length(p) > 0").where(
         ~F.lower("p").rlike("licen[cs]e|copyright|reserved|redistribut|spdx"))
-    return [r["p"][:1000] for r in lines.distinct().orderBy(F.xxhash64("p")).limit(sample).collect()]
+    return [r["p"][:1000] for r in lines.distinct().orderBy(F.xxhash64("p"), "p").limit(sample).collect()]
 
 
 _FOUND = pa.schema([("id", pa.int64()), ("n_paragraphs", pa.int64()), ("found", pa.list_(pa.struct([

@@ -181,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
     one = labels.where(F.col(id_col).isNotNull() & F.col(target).isin(0, 1)).groupBy(F.col(id_col).alias("__q_id")).agg(F.min(target).alias("__q_label"))
     order = F.xxhash64(F.col("__q_id"))
-    some = [one.where(F.col("__q_label") == k).orderBy(order, "__q_id").limit(sample) for k in (0, 1)]
+    sizes = {r["__q_label"]: r["count"] for r in one.groupBy("__q_label").count().collect()}  # two rows
+    # About 2 * sample of each class by hash, then the first of them: no task sorts all labels.
+    near = [one.where((F.col("__q_label") == k) & (F.pmod(order, F.lit(max(1, sizes.get(k, 0) // (2 * sample)))) == 0)) for k in (0, 1)]
+    some = [x.orderBy(order, "__q_id").limit(sample) for x in near]
     rows = docs.select(F.col(id_col).alias("__q_id"), F.col(text_col).alias("__q_text")).join(F.broadcast(some[0].unionByName(some[1])), "__q_id")
     bags = rows.select("__q_label", "__q_text").mapInArrow(_encoded(most), "label double, bags binary")
     # A bounded sample, so one task may hold it.

@@ -108,7 +108,7 @@ def _spans(min_words: int, least: int, long: int, held: int = 1_000_000):
     return run
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 30, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All runs that repeat an earlier one: ``(id, at, n)``, the first unit and the number of units."""
     spans = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
              .mapInArrow(_spans(min_words, least, long), "hash long, salt long, id long, at int, n int"))
@@ -146,7 +146,7 @@ def _rewrite(long: int):
     return rewrite
 
 
-def dedup_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, min_words: int = 30, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, and two columns: ``n_units`` and ``n_removed``.
 
     All rows and columns stay (also a document all of whose text was repeated: its

@@ -308,7 +308,7 @@ def test_spans_against_brute_force(spark):
         for i, a, z in places:
             if (i, a) > first:
                 gone[i] |= set(range(a, z + 1))
-    got = {r.doc_id: (r.n_units, r.n_removed) for r in span_dedup.dedup_spans(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_units, r.n_removed) for r in span_dedup.dedup_spans(docs_of(spark, texts), min_words=20).collect()}
     assert got == {i: (len(units[i]), len(gone[i])) for i in range(len(texts))} and sum(map(len, gone.values())) > 20
 
 
