@@ -83,4 +83,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing)}
-ORACLE: dict[str, str] = {}
+#: SQL for what it can express; the others are tested against brute force, round trips or held-out labels.
+ORACLE: dict[str, str] = {
+    "op2_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select a.vec_id as query_id, b.vec_id as vec_id, list_dot_product(a.q, b.q)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op7_ngram_jaccard_join": r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as sh from w),
+e as (select doc_id, unnest(sh) as g from s), p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 85 * (len(x.sh) + len(y.sh) - c)), t as (select a, b from l union all select b, a from l),
+r(id, c) as (select doc_id, doc_id from s union select r.id, t.b from r join t on r.c = t.a), m as (select id, min(c) as component_id from r group by 1)
+select doc_id, len(sh) as n_shingles, component_id, case when len(sh) > 0 then count(*) over (partition by sh) else 0 end as n_copies from s join m on m.id = doc_id""",
+}
