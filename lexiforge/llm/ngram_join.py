@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +34,10 @@ def _counted(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketch(n: int):
-    schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("tasks", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
+        tasks = TaskContext.get().partitionId() // 1024
         total = np.zeros(1 << BITS, np.int64)
         for b in batches:
             held, size = [], 0
@@ -48,7 +50,7 @@ def _sketch(n: int):
             if held:
                 total += _counted(held)
         parts = total.astype(np.int64).reshape(-1, 1 << _PART)
-        yield batch({"part": np.arange(len(parts), dtype=np.int32), "counts": [p.tobytes() for p in parts]}, schema)
+        yield batch({"part": np.arange(len(parts), dtype=np.int32), "tasks": np.full(len(parts), tasks, np.int32), "counts": [p.tobytes() for p in parts]}, schema)
 
     return run
 
@@ -56,11 +58,13 @@ def _sketch(n: int):
 def frequency_levels(docs: DataFrame, n: int, text_col: str = "text") -> np.ndarray:
     """For each leading-bits class of shingle hashes, how much more frequent than the mean it is (0: not, else log2).
 
-    Counted over all documents in a table of fixed size, summed part by part; any
+    Counted over all documents in a table of fixed size, summed part by part, first
+    within every 1024 tasks, so that no task sums more than about 1024 rows; any
     order is right for the join, this one keeps very frequent shingles out of prefixes.
     """
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_sketch(n), "part int, counts binary")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_sketch(n), "part int, tasks int, counts binary")
+    parts = parts.groupBy("part", "tasks").applyInArrow(_summed, "part int, counts binary")
     rows = parts.groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     total = np.zeros(1 << BITS, np.int64)
     for r in rows:
