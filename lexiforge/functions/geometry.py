@@ -108,3 +108,8 @@ def node_size(kind: str, n: Column) -> Column:
     # Base and step of each kind of node.
     base, step = {"author": (10, 5), "category": (20, 4), "topic": (10, 2), "cited_author": (8, 2), "ego_topic": (10, 15)}.get(kind, (10, 0))
     return F.lit(15) + F.least(n * 3, F.lit(30)) if kind == "paper" else F.lit(base) + n * step
+
+
+def is_flat(deviation: Column) -> Column:
+    """C14: an image whose luminance hardly varies; one that couldn't be measured isn't."""
+    return F.coalesce(deviation <= 3.0, F.lit(False))

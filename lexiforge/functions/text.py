@@ -248,3 +248,13 @@ def markdown_kind(line: Column) -> Column:
             .when(line.rlike(r"^\s{0,3}([-*_])(\s*\1){2,}\s*$"), "rule").when(line.rlike(r"^\s*>"), "quote")
             .when(line.rlike(r"^\s*([-*+]|\d+[.)])\s"), "list").when(line.rlike(r"^\s*\|"), "table")
             .when(F.trim(line) == "", "blank").otherwise("text"))
+
+
+def translatable(cell: Column) -> Column:
+    """A cell with words that isn't a formula."""
+    return F.coalesce((F.trim(cell) != "") & ~cell.startswith("=") & cell.rlike(r"\p{L}"), F.lit(False))
+
+
+def display_name(page: Column, pages: Column, question: Column, row: Column) -> Column:
+    """``p1/4 Q10 row``; parts that are missing are left out."""
+    return F.concat_ws(" ", F.concat(F.lit("p"), page.cast("string"), F.lit("/"), pages.cast("string")), question, F.nullif(F.trim(row), F.lit("")))

@@ -155,3 +155,37 @@ def hint_match(rows: DataFrame, hints: DataFrame) -> DataFrame:
 def padding_collapsed(rows: Column) -> Column:
     """Rows ``array<struct(label, options)>`` without trailing ones that have neither label nor options."""
     return F.filter(rows, lambda r: (F.coalesce(F.trim(r["label"]), F.lit("")) != "") | (F.coalesce(F.size(r["options"]), F.lit(0)) > 0))
+
+
+REPLY = ("questions array<struct<question_text: string, response_type: string, selection_rule: string, parent_question_index: int, condition_text: string, choices: array<struct<choice_text: string>>, "
+         "rows: array<struct<row_text: string, extra_choices: array<struct<choice_text: string>>, marked_answers: array<struct<choice_position: int, choice_text: string, state: string, visual_mark: string, associated_text: string>>>>>>")
+
+
+def form_options(replies: DataFrame) -> DataFrame:
+    """O3, O2: a model's replies ``(page, section, reply)`` as options, a row each.
+
+    Ids count from 1: ``p1_s1_q1``, ``p1_s1_q1_r1``, ``p1_s1_q1_r1_c2``. A mark belongs to the choice at its
+    position, else to that of its text; options without a mark are unselected. A row needs review if a mark fits no
+    choice, names another text than its position, is unclear, or if a rule of one choice has several. Defective
+    questions (C24) are one row with their reason and no options. Replies without JSON give no rows.
+    """
+    q = replies.select("page", "section", F.from_json(X.json_object(F.col("reply")), REPLY).alias("r")).select("page", "section", F.posexplode("r.questions").alias("qi", "q"))
+    labels = F.transform(F.coalesce("q.choices", F.array().cast("array<struct<choice_text:string>>")), lambda c: c["choice_text"])
+    q = q.select("page", "section", F.format_string("p%d_s%d_q%d", "page", "section", F.col("qi") + 1).alias("group_id"), "q", labels.alias("labels"),
+                 defect(F.col("q.question_text"), F.col("q.condition_text"), F.col("q.response_type"), F.col("q.selection_rule"), labels, F.col("q.rows")).alias("defect"))
+    rows = q.select("group_id", "defect", F.col("q.question_text").alias("question"), F.col("q.selection_rule").alias("rule"), "labels", F.posexplode_outer(F.when(F.col("defect") == "", F.col("q.rows"))).alias("ri", "row"))
+    more = F.transform(F.coalesce("row.extra_choices", F.array().cast("array<struct<choice_text:string>>")), lambda c: c["choice_text"])
+    rows = rows.withColumn("all", F.concat("labels", more)).withColumn("marks", F.coalesce("row.marked_answers", F.expr("array()").cast("array<struct<choice_position:int,choice_text:string,state:string,visual_mark:string,associated_text:string>>")))
+    same = lambda a, b: X.alphanumeric(F.coalesce(a, F.lit(""))) == X.alphanumeric(F.coalesce(b, F.lit("")))
+    fits = lambda m, label, i: F.when(m["choice_position"].isNotNull(), m["choice_position"] == i + 1).otherwise(same(m["choice_text"], label))
+    at = lambda m: F.try_element_at(F.col("all"), F.coalesce(F.nullif(m["choice_position"], F.lit(0)), F.lit(2**30)))
+    lost = F.exists("marks", lambda m: F.when(m["choice_position"].isNotNull(), at(m).isNull() | (F.coalesce(m["choice_text"], F.lit("")) != "") & ~same(m["choice_text"], at(m))).otherwise(~F.exists("all", lambda c: same(c, m["choice_text"]))))
+    unclear = F.exists("marks", lambda m: ~F.coalesce(m["state"], F.lit("")).isin("selected", "unselected"))
+    chosen = F.size(F.filter("marks", lambda m: m["state"] == "selected"))
+    rows = rows.withColumn("status", F.when(F.col("defect") != "", F.col("defect")).when(lost | unclear | (F.col("rule").isin("zero_or_one", "one_per_row") & (chosen > 1)), "needs_review").otherwise("observed"))
+    mark = lambda label, i: F.get(F.filter("marks", lambda m: fits(m, label, i)), F.lit(0))
+    options = F.transform("all", lambda c, i: F.struct(i.alias("i"), c.alias("label"), F.coalesce(mark(c, i)["state"], F.lit("unselected")).alias("state"), mark(c, i)["associated_text"].alias("associated_text")))
+    out = rows.select("group_id", F.when(F.col("ri").isNotNull(), F.concat("group_id", F.format_string("_r%d", F.col("ri") + 1))).alias("row_id"), "question", F.col("row.row_text").alias("row"), "status",
+                      F.explode_outer(F.when(F.col("ri").isNotNull(), options)).alias("o"))
+    state = F.when(F.col("o.state").isin("selected", "unselected"), F.col("o.state")).when(F.col("o.state").isNotNull(), "ambiguous")
+    return out.select("group_id", "row_id", F.when(F.col("o").isNotNull(), F.concat("row_id", F.format_string("_c%d", F.col("o.i") + 1))).alias("option_id"), "question", "row", F.col("o.label").alias("label"), state.alias("state"), "status", F.col("o.associated_text").alias("associated_text"))

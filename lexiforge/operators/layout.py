@@ -269,3 +269,21 @@ def pruned_groups(groups: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("text", "body").orderBy("ord"))
     parents = groups.where("parent is not null").select(F.col("parent").alias("group_id")).distinct().withColumn("__p", F.lit(True))
     return groups.withColumn("__r", rank).join(parents, "group_id", "left").where("__r = 1 or __p").drop("__r", "__p")
+
+
+def pixel_median(pixels: DataFrame) -> DataFrame:
+    """The median of registered copies at each pixel ``(x, y, value)``."""
+    return pixels.groupBy("x", "y").agg(F.median("value").alias("value"))
+
+
+def gutters(columns: DataFrame, least: int = 120) -> DataFrame:
+    """runs of at least ``least`` pixel columns ``(page, x, ink)`` without ink."""
+    w = W.partitionBy("page").orderBy("x")
+    empty = columns.where(F.coalesce("ink", F.lit(0)) == 0).withColumn("run", F.col("x") - F.row_number().over(w))
+    return empty.groupBy("page", "run").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.count("*").alias("width")).where(F.col("width") >= least).drop("run")
+
+
+def printed_text(grid):
+    """The cells of a table as one text, without placeholders of unnamed columns."""
+    cells = F.filter(F.flatten(grid), lambda c: c.isNotNull() & (F.trim(c) != "") & ~c.startswith("Unnamed:") & (F.lower(c) != "nan"))
+    return F.array_join(cells, " ")

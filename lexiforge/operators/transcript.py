@@ -108,3 +108,10 @@ def chunk_plan(docs: DataFrame, text: str = "text", most_tokens: int = 75_000) -
 def regrouped(parts: DataFrame, owner: list[str], order: str = "part", text: str = "text", separator: str = " ") -> DataFrame:
     """Parts back as their owner's text."""
     return ordered_text(parts, owner, order, text, separator)
+
+
+def words_tsv(words: DataFrame, doc: str = "doc") -> DataFrame:
+    """Numbered words as a table; ``words`` as numbered_words() gives them, with ``word``, ``start`` and ``end``."""
+    line = F.concat_ws("\t", F.col("segment_id").cast("string"), F.col("word_id").cast("string"), C.clock(F.col("start")), C.clock(F.col("end")), "word", "speaker")
+    rows = words.withColumn("line", line).withColumn("__at", F.struct("segment_id", "word_id"))
+    return ordered_text(rows, [doc], "__at", "line", "\n").withColumn("text", F.concat(F.lit("segment_id\tword_id\tStart\tEnd\tWord\tSpeaker\n"), "text"))

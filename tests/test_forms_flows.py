@@ -92,3 +92,47 @@ def test_office(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x")
     got = {r.Filename: (r.Text, bool(r.error)) for r in files.read_documents(spark, str(tmp_path / "[ab].*")).collect()}
     assert got == {"a.docx": ("Hello you\n", False), "b.bin": (None, True)}
+
+
+def test_form_options(spark):
+    import json
+
+    mark = lambda **k: {"choice_position": None, "choice_text": None, "state": "selected", **k}
+    ask = {"question_text": "Rauchen Sie?", "response_type": "single", "selection_rule": "zero_or_one", "choices": [{"choice_text": "Ja"}, {"choice_text": "Nein"}]}
+    reply = {"questions": [
+        {**ask, "rows": [{"row_text": "", "marked_answers": [mark(choice_position=2)]}, {"row_text": "b", "extra_choices": [{"choice_text": "Nie"}], "marked_answers": [mark(choice_text="nie"), mark(choice_text="Ja")]}]},
+        {**ask, "rows": [{"row_text": "", "marked_answers": [mark(choice_position=2, choice_text="Ja", state="unclear")]}]},
+        {**ask, "choices": [], "rows": [{"row_text": "x"}]}]}
+    rows = {(r.row_id, r.option_id): r for r in R.form_options(spark.createDataFrame([(1, 1, "```json\n" + json.dumps(reply) + "\n```"), (1, 2, "no")], "page int, section int, reply string")).collect()}
+    assert (rows["p1_s1_q1_r1", "p1_s1_q1_r1_c2"].state, rows["p1_s1_q1_r1", "p1_s1_q1_r1_c1"].state, rows["p1_s1_q1_r1", "p1_s1_q1_r1_c1"].status) == ("selected", "unselected", "observed")
+    assert rows["p1_s1_q1_r2", "p1_s1_q1_r2_c3"].state == "selected" and rows["p1_s1_q1_r2", "p1_s1_q1_r2_c3"].status == "needs_review"
+    assert rows["p1_s1_q2_r1", "p1_s1_q2_r1_c2"].state == "ambiguous" and rows["p1_s1_q2_r1", "p1_s1_q2_r1_c2"].status == "needs_review"
+    assert rows[None, None].status == "no choices or rows" and len(rows) == 8
+
+
+def test_tei_body():
+    from lexiforge.functions.udfs import tei_body_of
+
+    xml = "<TEI xmlns='x'><text><body><div><p>One <ref>[1]</ref> two.</p><figure><p>no</p></figure><p>Three</p></div></body></text></TEI>"
+    assert tei_body_of(xml) == "One two.\n\nThree" and tei_body_of("<bad") == ""
+
+
+def test_small_ones(spark):
+    from lexiforge.functions import geometry as G
+    from lexiforge.functions import text as X
+    from lexiforge.functions import udfs as U
+    from lexiforge.operators import layout as L
+    from lexiforge.operators import transcript as N
+
+    px = spark.createDataFrame([(0, 0, v) for v in (1, 9, 5)], "x int, y int, value int")
+    assert L.pixel_median(px).first()["value"] == 5
+    ink = spark.createDataFrame([(1, x, 0 if 10 <= x < 140 or x == 3 else 7) for x in range(200)], "page int, x int, ink int")
+    assert [(r.left, r.right) for r in L.gutters(ink).collect()] == [(10, 139)]
+    assert one(spark, L.printed_text(U.table_grid(F.lit("<table><tr><th>Unnamed: 0</th><th>A</th></tr><tr><td></td><td>1</td></tr></table>")))) == "A 1"
+    assert one(spark, G.is_flat(F.lit(1.3))) and not one(spark, G.is_flat(F.lit(None).cast("double")))
+    assert one(spark, X.translatable(F.lit("Ja"))) and not one(spark, X.translatable(F.lit("=A1"))) and not one(spark, X.translatable(F.lit("12")))
+    assert one(spark, X.display_name(F.lit(1), F.lit(4), F.lit("Q10"), F.lit(" "))) == "p1/4 Q10"
+    xml = "<TEI xmlns='x' xmlns:xml='http://www.w3.org/XML/1998/namespace'><listBibl><biblStruct xml:id='b0'><analytic><title>T</title><author><persName><forename>A</forename><forename>M</forename><surname>B</surname></persName></author></analytic><monogr><title>J</title><imprint><date when='2001-02'/></imprint></monogr><idno type='DOI'>10/x</idno></biblStruct></listBibl></TEI>"
+    assert U.tei_citations_of(xml) == [{"citation_id": "b0", "title": "T", "authors": ["A M B"], "doi": "10/x", "year": "2001"}]
+    w = spark.createDataFrame([("d", 1, 1, "Hi", "A", 0.0, 1.0)], "doc string, segment_id int, word_id int, word string, speaker string, start double, end double")
+    assert N.words_tsv(w).first()["text"].endswith("1\t1\t00:00:00.000\t00:00:01.000\tHi\tA")
