@@ -13,10 +13,10 @@ import json
 
 import numpy as np
 
-from .common import mixed, powers
+from .common import point_table, powers
 
 #: Most pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
-KEPT = 1_500_000
+KEPT = 1_000_000
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -26,9 +26,8 @@ class Coder:
     def __init__(self, path: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(path)
+        self.path, self.own = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -44,7 +43,7 @@ class Coder:
                 a, b = ord(points[m.start()]), ord(points[m.end() - 1])
                 self.kind[a : b + 1] = k
         self.kind[_SPACES] = 0
-        self.table = mixed(np.arange(1, 0x110001, dtype=np.uint64))
+        self.table = point_table()
         self.forget()
 
     def forget(self) -> None:
@@ -121,6 +120,10 @@ class Coder:
             ids = self.ids[np.repeat(at - (ends - size), size) + np.arange(total)]
             bound = np.concatenate([[0], ends])[np.searchsorted(start, off)]
             out = [ids[bound[i] : bound[i + 1]] for i in range(len(texts))]
+        if odd and self.own is None:  # large, and seldom needed
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
         for i in odd:
             out[i] = np.array(self.own.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
@@ -133,15 +136,3 @@ def coder(path: str) -> Coder:
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]
-
-
-def batches_of(texts: list, limit: int = 1_000_000):
-    """Runs [i, j) of texts of about ``limit`` characters."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= limit):
-            n += len(texts[j])
-            j += 1
-        yield i, j
-        i = j

@@ -8,11 +8,13 @@ local tests, a folder of our own is set.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,19 +98,63 @@ def components(links: DataFrame) -> DataFrame:
     return root.unionByName(tops)
 
 
+# ---------------------------------------------------------------- memory of workers
+
+try:
+    _libc = ctypes.CDLL(None)
+    # Arrays of 256 KB and more go back to the system when they are freed; else a
+    # worker that serves many stages keeps the largest of each.
+    _libc.mallopt(-3, 256 << 10)
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
+def release() -> None:
+    """Give freed memory back; called at the end of a worker's partition."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def releasing(run):
+    """A mapInArrow function that gives memory back when its partition ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def text_runs(column: pa.Array, limit: int = 1 << 20):
+    """(first row, texts) of runs of about ``limit`` bytes; nulls are empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    i, n = 0, len(column)
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
+        yield i, column.slice(i, j - i).to_pylist()
+        i = j
+
+
 # ---------------------------------------------------------------- text as bytes
 
 _T = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _K = np.random.default_rng(97).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_mixed_points: list[np.ndarray] = []
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Space and the controls from tab to carriage return.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +176,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def point_table() -> np.ndarray:
+    """A hash for each code point; one table for all operators of a worker."""
+    if not _mixed_points:
+        _mixed_points.append(mixed(np.arange(1, 0x110001, dtype=np.uint64)))
+    return _mixed_points[0]
+
+
 def chunks(column: pa.Array, limit: int = CHUNK):
     """(first row, bytes, offsets) of runs of texts of about ``limit`` bytes; nulls are empty."""
     if column.null_count:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch, chunks, mixed, running, span_hash, words
+from .common import LOWER, batch, chunks, mixed, releasing, running, span_hash, words
 
 # Public licence notices and their usual sentences, by family.
 TEMPLATES = {
@@ -201,5 +201,5 @@ def scan_licenses(docs: DataFrame, sample: int = 3000, probability: float = 0.5,
             yield batch({"id": b.column(0).cast(pa.int64()), "n_paragraphs": count, "found": found}, _FOUND)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, "id long, n_paragraphs long, found array<struct<paragraph int, family string, probability double, likeness double>>")
+    out = rows.mapInArrow(releasing(run), "id long, n_paragraphs long, found array<struct<paragraph int, family string, probability double, likeness double>>")
     return out.withColumnRenamed("id", id_col)

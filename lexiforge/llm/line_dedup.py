@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytebpe import batches_of
-from .common import batch, components, mixed, powers, semi, written
+from .common import batch, components, mixed, point_table, powers, releasing, semi, text_runs, written
 
 _BLANK = np.zeros(0x3001, bool)
 _BLANK[[32, *range(9, 14), 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x3000]] = True
-_table: list[np.ndarray] = []
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +36,9 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(cp: np.ndarray) -> np.ndarray:
-    if not _table:
-        _table.append(mixed(np.arange(1, 0x110001, dtype=np.uint64)))
     p, _ = powers(len(cp) + 1)
     s = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(_table[0][cp] * p[: len(cp)], out=s[1:])
+    np.cumsum(point_table()[cp] * p[: len(cp)], out=s[1:])
     return s
 
 
@@ -72,9 +68,9 @@ _OCC = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("l
 
 def _occurrences(batches):
     for b in batches:
-        ids, texts = b.column(0).to_numpy(zero_copy_only=False), [t or "" for t in b.column(1).to_pylist()]
-        for i, j in batches_of(texts):
-            cp, a, z, doc, line = split_lines(texts[i:j])
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for i, texts in text_runs(b.column(1)):
+            cp, a, z, doc, line = split_lines(texts)
             total = np.concatenate([[0], np.cumsum(cp.astype(np.int64) * (1 + (np.arange(len(cp)) & 1)))])
             h = _hash(_sums(cp), a, z)
             odd = a & 1  # the weights alternate, so a line's second sum must not depend on where it starts
@@ -111,9 +107,8 @@ def _entries(edits: int, min_edit: int, remembered: int = 2_000_000):
     def run(batches):
         seen = np.zeros(0, np.uint64)
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for i, j in batches_of(texts):
-                cp, a, z, _, _ = split_lines(texts[i:j])
+            for _, texts in text_runs(b.column(0)):
+                cp, a, z, _, _ = split_lines(texts)
                 a, z = a[z - a >= min_edit], z[z - a >= min_edit]
                 s = _sums(cp)
                 h = _hash(s, a, z)
@@ -138,12 +133,11 @@ _LINES = pa.schema([("id", pa.int64()), ("line", pa.string())])
 
 def _texts(batches):
     for b in batches:
-        texts = [t or "" for t in b.column(0).to_pylist()]
-        for i, j in batches_of(texts):
-            cp, a, z, _, _ = split_lines(texts[i:j])
+        for _, texts in text_runs(b.column(0)):
+            cp, a, z, _, _ = split_lines(texts)
             h = _hash(_sums(cp), a, z)
             h, k = np.unique(h, return_index=True)
-            whole = "".join(texts[i:j])
+            whole = "".join(texts)
             yield batch({"id": h.view(np.int64), "line": [whole[x:y] for x, y in zip(a[k].tolist(), z[k].tolist())]}, _LINES)
 
 
@@ -218,7 +212,7 @@ def _verify(edits: int):
 def line_classes(docs: DataFrame, occ: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links among different lines within the edit threshold: components ``(id, component)`` of line hashes."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = base.select("text").mapInArrow(_entries(edits, min_edit), "key long, id long, kind long")
+    rows = base.select("text").mapInArrow(releasing(_entries(edits, min_edit)), "key long, id long, kind long")
     by = W.partitionBy("key")
     rows = rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo < hi")
     rows = written(rows.groupBy("key", "id").agg(F.bit_or("kind").alias("kind")), "line-entries")
@@ -246,12 +240,12 @@ def _linked(base: DataFrame, occ: DataFrame, pairs: DataFrame, edits: int) -> Da
     need = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-need")
     # Only documents that hold a line's first occurrence are read again.
     holders = semi(occ.select(F.col("h").alias("id"), "doc"), need, "id").groupBy("id").agg(F.min("doc").alias("doc")).select("doc").distinct()
-    texts = semi(base, written(holders, "line-holders"), "doc").select("text").mapInArrow(_texts, "id long, line string")
+    texts = semi(base, written(holders, "line-holders"), "doc").select("text").mapInArrow(releasing(_texts), "id long, line string")
     texts = written(semi(texts, need, "id").dropDuplicates(["id"]), "line-texts")
     x = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     y = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_verify(edits), "a long, b long"), "line-links")
+    return written(both.mapInArrow(releasing(_verify(edits)), "a long, b long"), "line-links")
 
 
 def dedup_lines(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +258,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str
     twice: they keep and lose the same line numbers. Ties: the smallest id, then the first line.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    occ = written(base.mapInArrow(_occurrences, "h long, g long, doc long, line int"), "line-occurrences")
+    occ = written(base.mapInArrow(releasing(_occurrences), "h long, g long, doc long, line int"), "line-occurrences")
     roots = line_classes(docs, occ, edits, min_edit, id_col, text_col).select(F.col("id").alias("h"), "component")
     occ = occ.join(roots, "h", "left").select(
         F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g"), "doc", "line")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_binary, batch, components, mixed, semi, shingle_sets, written
+from .common import as_binary, batch, components, mixed, releasing, semi, shingle_sets, written
 
 #: Counters of the frequency sketch: 4 MB whatever the input.
 BITS = 20
@@ -63,7 +63,7 @@ def frequency_levels(docs: DataFrame, n: int, text_col: str = "text") -> np.ndar
     order is right for the join, this one keeps very frequent shingles out of prefixes.
     """
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(_sketch(n), "part int, tasks int, counts binary")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(releasing(_sketch(n)), "part int, tasks int, counts binary")
     parts = parts.groupBy("part", "tasks").applyInArrow(_summed, "part int, counts binary")
     rows = parts.groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     total = np.zeros(1 << BITS, np.int64)
@@ -166,7 +166,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(base, n))
-    sets = base.mapInArrow(_prefixes(n, percent, levels), "id long, size long, digest long, prefix long, b0 long, b1 long, b2 long, b3 long, tokens array<long>")
+    sets = base.mapInArrow(releasing(_prefixes(n, percent, levels)), "id long, size long, digest long, prefix long, b0 long, b1 long, b2 long, b3 long, tokens array<long>")
     sets = written(sets, "sets")
     ids = written(sets.groupBy("id").agg(F.min(F.struct("size", "digest", "prefix", *BITMAP)).alias("s")).select("id", "s.*"), "set-ids")
     # A class: documents with one and the same set, named by its smallest id.
@@ -257,9 +257,9 @@ def _linked(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     pairs = written(pairs.distinct(), "pairs")
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     text = semi(base, written(need, "need"), "id")
-    sets = text.mapInArrow(_whole_sets(n), "id long, shingles binary")
+    sets = text.mapInArrow(releasing(_whole_sets(n)), "id long, shingles binary")
     sets = written(sets, "whole-sets")
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+    return written(both.mapInArrow(releasing(_verify(percent)), "a long, b long").distinct(), "links")

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytebpe import batches_of, coder
-from .common import written
+from .bytebpe import coder
+from .common import releasing, text_runs, written
 
 # ------------------------------------------------------------------ the program
 
@@ -132,10 +132,10 @@ def _cut(path: str, end_id: int, room: int):
     def run(batches):
         code = coder(path).encode
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            ids = b.column(0).to_pylist()
             out: list[list] = [[] for _ in _PIECES]
-            for i, j in batches_of(texts):
-                for doc, tok in zip(ids[i:j], code(texts[i:j])):
+            for i, texts in text_runs(b.column(1)):
+                for doc, tok in zip(ids[i : i + len(texts)], code(texts)):
                     tok = np.concatenate([tok, end])
                     for a in range(0, len(tok), room):
                         p = tok[a : a + room]
@@ -160,7 +160,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: in
     """
     room = int(room)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _cut(tokenizer, end_id, room), "doc_id long, start long, length int, crc long, doc_tokens long")
+        releasing(_cut(tokenizer, end_id, room)), "doc_id long, start long, length int, crc long, doc_tokens long")
     pieces = written(pieces.withColumn("bin", F.ceil(F.col("length") / step).cast("int"))
                      .withColumn("mix", F.xxhash64("doc_id", "start", "crc")), "pack-pieces")
     # A rank within each length: a count for each (length, part) and its running sum,

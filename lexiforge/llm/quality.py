@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, running, span_hash, words
+from .common import LOWER, chunks, release, releasing, running, span_hash, words
 
 PASSAGE = 64
 _GROUPS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".", ",;:", "!?", "#$%&*@^~+=<>_", "|\\/", "'\"()[]{}-`")
@@ -186,9 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
     near = [one.where((F.col("__q_label") == k) & (F.pmod(order, F.lit(max(1, sizes.get(k, 0) // (2 * sample)))) == 0)) for k in (0, 1)]
     some = [x.orderBy(order, "__q_id").limit(sample) for x in near]
     rows = docs.select(F.col(id_col).alias("__q_id"), F.col(text_col).alias("__q_text")).join(F.broadcast(some[0].unionByName(some[1])), "__q_id")
-    bags = rows.select("__q_label", "__q_text").mapInArrow(_encoded(most), "label double, bags binary")
+    bags = rows.select("__q_label", "__q_text").mapInArrow(releasing(_encoded(most)), "label double, bags binary")
     # A bounded sample, so one task may hold it.
-    return pickle.loads(bags.repartition(1).mapInArrow(_fitted, "model binary").first()["model"])
+    return pickle.loads(bags.repartition(1).mapInArrow(releasing(_fitted), "model binary").first()["model"])
 
 
 def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +208,7 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.float64())], schema=_SCORES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def score_column(docs: DataFrame, model, text_col: str = "text"):
@@ -222,6 +222,7 @@ def score_column(docs: DataFrame, model, text_col: str = "text"):
         if not isinstance(m, float) and len(text):
             for row, f, bound in passages(pa.array(text, pa.string())):
                 out[row : row + len(bound) - 1] = m.scores(f, bound)
+        release()
         return pd.Series(out)
 
     return score(F.col(text_col))

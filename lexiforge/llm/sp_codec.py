@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import KEPT, batches_of
-from .common import batch, mixed, powers
+from .bytebpe import KEPT
+from .common import batch, point_table, powers, releasing, text_runs
 
 MARK = "▁"
 
@@ -40,7 +40,7 @@ class Codec:
         self.longest = max(len(pieces[i]) for i in plain)
         self.prefix = MARK if sp.encode("a", out_type=str)[0].startswith(MARK) else ""
         self.split = not any(a != MARK and b == MARK for i in plain for a, b in zip(pieces[i], pieces[i][1:]))
-        self.table = mixed(np.arange(1, 0x110001, dtype=np.uint64))
+        self.table = point_table()
         key = np.concatenate([self.hashes([pieces[i]]) for i in plain])
         order = np.argsort(key)
         self.key, self.id = key[order], np.array(plain)[order]
@@ -174,13 +174,13 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches):
         c = codec(model)
         for b in batches:
-            texts, out = [t or "" for t in b.column(1).to_pylist()], []
-            for i, j in batches_of(texts):
-                out += c.encode(texts[i:j])
+            out = []
+            for _, texts in text_runs(b.column(1)):
+                out += c.encode(texts)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -193,7 +193,7 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), "id long, text string").withColumnRenamed("id", id_col)
 
 
 _DIGEST = pa.schema([("id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("text_crc32", pa.int64()), ("round_trip", pa.bool_())])
@@ -205,13 +205,13 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         c = codec(model)
         for b in batches:
-            texts, out = [t or "" for t in b.column(1).to_pylist()], []
-            for i, j in batches_of(texts):
-                for t, ids in zip(texts[i:j], c.encode(texts[i:j])):
+            out = []
+            for _, texts in text_runs(b.column(1)):
+                for t, ids in zip(texts, c.encode(texts)):
                     back = c.decode(ids)
                     out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode()), back == t))
             n, x, y, z = zip(*out) if out else ((), (), (), ())
             yield batch({"id": b.column(0).cast(pa.int64()), "n_ids": n, "ids_crc32": x, "text_crc32": y, "round_trip": z}, _DIGEST)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_ids long, ids_crc32 long, text_crc32 long, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(run), "id long, n_ids long, ids_crc32 long, text_crc32 long, round_trip boolean").withColumnRenamed("id", id_col)

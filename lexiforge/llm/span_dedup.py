@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, mixed, powers, running, span_hash, words
+from .common import batch, chunks, mixed, powers, releasing, running, span_hash, words
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
@@ -73,7 +73,7 @@ def spans_of(doc: np.ndarray, unit: np.ndarray, w: np.ndarray, min_words: int, l
 _SPANS = pa.schema([("hash", pa.int64()), ("salt", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
 
-def _spans(min_words: int, least: int, long: int, held: int = 1_000_000):
+def _spans(min_words: int, least: int, long: int, held: int = 500_000):
     def flush(parts):
         h, i, a, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((n, a, i, h))
@@ -111,7 +111,7 @@ def _spans(min_words: int, least: int, long: int, held: int = 1_000_000):
 def repeated_spans(docs: DataFrame, min_words: int = 30, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All runs that repeat an earlier one: ``(id, at, n)``, the first unit and the number of units."""
     spans = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-             .mapInArrow(_spans(min_words, least, long), "hash long, salt long, id long, at int, n int"))
+             .mapInArrow(releasing(_spans(min_words, least, long)), "hash long, salt long, id long, at int, n int"))
     where = F.struct("id", "at")
     first = F.min(where).over(W.partitionBy("hash", "salt"))
     return spans.withColumn("first", first).where((F.col("salt") > 0) | (where > F.col("first"))).select("id", "at", "n")
