@@ -10,11 +10,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch: texts are long, and a worker holds a whole batch at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker of ``spark`` (once per application)."""
+    """Make this package importable in every Python worker of ``spark`` (once per application).
+
+    Arrow batches are made smaller where their size is Spark's default.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
