@@ -1,8 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at a line break or after ``.``, ``!``, ``?`` or the ideographic
-full stop before white space; sentences of more than ``long`` words are cut every
-``long`` words, so that one long sentence is a run as well. From every sentence the
+A sentence ends at a line break or at a word whose last character, but for closing
+quotes and brackets, is ``.``, ``!``, ``?`` or an ideographic stop. In scripts without
+spaces a character is a word. Sentences of more than ``long`` words are cut every
+``long`` words, so that one long sentence is a run as well; those of more than twice
+as many where the content says so, so that equal stretches have equal cuts at
+any distance from the sentence's start. From every sentence the
 shortest run of several consecutive sentences with at least ``min_words`` words is
 hashed, forwards and backwards (backward runs cover a passage's tail). Runs meet
 by hash over all documents; all but the first occurrence, by document id and
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch, chunks, mixed, powers, releasing, running, span_hash, words
+from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, running, span_hash, words
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
@@ -30,18 +33,114 @@ _NEWLINE = np.zeros(256, np.int32)
 _NEWLINE[[10, 11, 12, 13]] = 1
 
 
-def units(data: np.ndarray, off: np.ndarray, long: int):
-    """Word starts, ends and texts, and the index of each unit's first word (a sentence, or a cut of one)."""
+def _points(*ranges) -> np.ndarray:
+    out = np.zeros(0x10000, bool)
+    for a, z in ranges:
+        out[a : z + 1] = True
+    return out
+
+
+#: By code point: stops, closing quotes and brackets, scripts without spaces, and what never begins a word of theirs.
+_STOPS = _points((0x3002, 0x3002), (0xFF01, 0xFF01), (0xFF0E, 0xFF0E), (0xFF1F, 0xFF1F), (0xFF61, 0xFF61))
+_CLOSE = _points(*[(ord(c), ord(c)) for c in "\"')]}\u00bb\u2019\u201d\u203a\u3009\u300b\u300d\u300f\u3011\u3015\u3017\u301f\uff02\uff07\uff09\uff3d\uff5d\uff63"])
+_SPACELESS = _points((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF1F), (0xFF61, 0xFF9F))
+_INSIDE = _STOPS | _CLOSE | _points((0x0E30, 0x0E3A), (0x0E45, 0x0E4E), (0x0EB0, 0x0EBC), (0x0EC8, 0x0ECE), (0x102B, 0x103E), (0x1056, 0x1059), (0x17B4, 0x17D3), (0x17DD, 0x17DD), (0x3001, 0x3001), (0x3099, 0x309C), (0x30FC, 0x30FC), (0xFF0C, 0xFF0C), (0xFF1A, 0xFF1B), (0xFF70, 0xFF70), (0xFF9E, 0xFF9F))
+
+
+def _point(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of the three-byte characters at ``at``."""
+    a, b, c = (data[at + k].astype(np.int32) for k in range(3))
+    return (a & 15) << 12 | (b & 63) << 6 | c & 63
+
+
+def _pieces(data: np.ndarray, off: np.ndarray):
+    """words(), with a word for each character in scripts without spaces."""
     start, end, doc = words(data, off)
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
+    point = _point(data, three)
+    alone = _SPACELESS[point]
+    four = np.flatnonzero(data == 0xF0)
+    four = four[data[four + 1] >= 0xA0]  # the ideographs' further planes
+    if not len(start) or not (alone.any() or len(four)):
+        return start, end, doc
+    first = np.zeros(len(data) + 4, bool)
+    first[three[alone] + 3] = True
+    first[four + 4] = True
+    first[three[_INSIDE[point]]] = False
+    first[three[alone & ~_INSIDE[point]]] = True
+    first[four] = True
+    first = first[: len(data)] & ~IS_SPACE[data]
+    first &= (data >= 0x80) | ~_CLOSE[data]
+    first[start] = True
+    cut = np.flatnonzero(first)
+    word = np.searchsorted(start, cut, "right") - 1
+    return cut, np.minimum(np.append(cut[1:], len(data)), end[word]), doc[word]
+
+
+def _stopped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word ends a sentence: a stop, and any closing quotes and brackets after it."""
+    e = end.copy()
+    out = np.zeros(len(e), bool)
+    k = np.arange(len(e))
+    while len(k):
+        last = data[e[k] - 1]
+        out[k] = _ENDS[last]
+        one = (last < 0x80) & _CLOSE[last]
+        size = one.astype(np.int64)
+        wide = np.flatnonzero((last >= 0x80) & (e[k] - 3 >= start[k]))
+        wide = wide[(data[e[k[wide]] - 3] & 0xF0) == 0xE0]
+        point = _point(data, e[k[wide]] - 3)
+        out[k[wide]] |= _STOPS[point]
+        size[wide[_CLOSE[point]]] = 3
+        size[(last == 0xBB) & (data[e[k] - 2] == 0xC2)] = 2
+        k, size = k[size > 0], size[size > 0]
+        e[k] -= size
+        k = k[e[k] > start[k]]
+    return out
+
+
+def _content_cuts(w: np.ndarray, sentence: np.ndarray, far: np.ndarray, reach: int) -> np.ndarray:
+    """Words of long sentences at which the hash of a word pair is least among ``reach`` on both sides.
+
+    Only words near by count, so equal stretches have equal cuts. Ties all count, as in periodic text, but of
+    a chain of them only every ``reach + 1``-th, or units would be too short.
+    """
+    n = len(w)
+    h = np.zeros(n, np.uint64)
+    h[1:] = mixed(w[:-1] * np.uint64(3) + w[1:])
+    low = far.copy()
+    low[0] = False
+    low[1:] &= sentence[1:] == sentence[:-1]
+    h[~low] = np.iinfo(np.uint64).max  # a sentence's first word, which is a cut anyway
+    for k in range(1, min(reach, n - 1) + 1):
+        other = sentence[k:] != sentence[:-k]
+        low[k:] &= (h[k:] <= h[:-k]) | other
+        low[:-k] &= (h[:-k] <= h[k:]) | other
+    c = np.flatnonzero(low)
+    if len(c):
+        new = np.append(True, (np.diff(c) > reach) | (sentence[c[1:]] != sentence[c[:-1]]))
+        at = np.arange(len(c))
+        c = c[(at - np.maximum.accumulate(np.where(new, at, 0))) % (reach + 1) == 0]
+    return c
+
+
+def units(data: np.ndarray, off: np.ndarray, long: int):
+    """Word starts, ends, texts and hashes, and the index of each unit's first word (a sentence, or a cut of one)."""
+    start, end, doc = _pieces(data, off)
     n = len(start)
     if not n:
-        return start, end, doc, np.zeros(0, np.int64)
+        return start, end, doc, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    w = span_hash(running(data), start, end)
     breaks = np.concatenate([[0], np.cumsum(_NEWLINE[data], dtype=np.int64)])
     first = np.ones(n, bool)
-    first[1:] = (doc[1:] != doc[:-1]) | _ENDS[data[end[:-1] - 1]] | (breaks[start[1:]] > breaks[end[:-1]])
+    first[1:] = (doc[1:] != doc[:-1]) | _stopped(data, start[:-1], end[:-1]) | (breaks[start[1:]] > breaks[end[:-1]])
     s = np.flatnonzero(first)
-    inside = np.arange(n) - np.repeat(s, np.diff(np.append(s, n)))
-    return start, end, doc, np.flatnonzero(inside % long == 0)
+    size = np.diff(np.append(s, n))
+    inside = np.arange(n) - np.repeat(s, size)
+    far = np.repeat(size > 2 * long, size)
+    cut = (inside == 0) | (~far & (inside % long == 0))
+    cut[_content_cuts(w, np.cumsum(first), far, long // 2)] = True
+    return start, end, doc, w, np.flatnonzero(cut)
 
 
 def spans_of(doc: np.ndarray, unit: np.ndarray, w: np.ndarray, min_words: int, least: int):
@@ -95,8 +194,8 @@ def _spans(min_words: int, least: int, long: int, held: int = 500_000):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for row, data, off in chunks(b.column(1)):
-                start, end, doc, unit = units(data, off, long)
-                d, a, n, h = spans_of(doc, unit, span_hash(running(data), start, end), min_words, least)
+                _, _, doc, w, unit = units(data, off, long)
+                d, a, n, h = spans_of(doc, unit, w, min_words, least)
                 parts.append((h, ids[row + d].astype(np.int64), a, n))
                 size += len(h)
                 if size >= held:
@@ -123,7 +222,7 @@ def _rewrite(long: int):
         for t, g in zip(text, gone):
             col = pa.array([t or ""], pa.string())
             _, data, off = next(chunks(col))
-            start, end, _, unit = units(data, off, long)
+            start, _, _, _, unit = units(data, off, long)
             n = len(unit)
             keep = np.ones(n + 1, np.int64)
             if g is not None and len(g):

@@ -283,6 +283,21 @@ def test_spans(spark):
     assert span_dedup.dedup_spans(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_spans_without_ascii_stops(spark):
+    """Copies behind other words of an unpunctuated, a quoted and an unspaced text."""
+    rng = random.Random(81)
+    some = lambda k: ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(k)]
+    long, quoted = " ".join(some(500)), " ".join(f"\u201c{' '.join(some(k % 7 + 5))}.\u201d" for k in range(40))
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3000)) + ("\u3002" if k % 15 == 14 else "") for k in range(300))
+    period = "u v w x y " * 60
+    texts = [f"{' '.join(some(k))} {t} {' '.join(some(5))}" for t in (long, quoted, unspaced, period) for k in (3, 7)] + ["\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002" * 60] * 2
+    rows = {r.doc_id: r for r in span_dedup.dedup_spans(docs_of(spark, texts)).collect()}
+    for k in (0, 2, 4):
+        assert rows[k].text == texts[k] and len(rows[k + 1].text) < 0.25 * len(texts[k + 1])  # a sentence behind other words stays
+        assert texts[k + 1][:8] == rows[k + 1].text[:8]
+    assert len(rows[7].text) < 0.2 * len(texts[7]) and rows[9].text == ""
+
+
 def test_spans_against_brute_force(spark):
     """Runs by plain Python: removed units are those that a non-first repeated run covers."""
     rng = random.Random(80)
