@@ -16,7 +16,7 @@ from lexiforge.llm.ngram_join import ngram_components
 from lexiforge.llm.packing import pack_documents
 from lexiforge.llm.quality import held_out, score_column, train
 from lexiforge.llm.queries import BYTE_BPE, tokenizer
-from lexiforge.llm.span_dedup import dedup_spans
+from lexiforge.llm.span_dedup import PASSAGE, dedup_spans
 from lexiforge.session import ship
 
 
@@ -54,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that repeat an earlier one."""
     ship(spark)
-    return _rewritten(docs, dedup_spans(docs))
+    return _rewritten(docs, dedup_spans(docs, passage=PASSAGE))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

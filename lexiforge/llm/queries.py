@@ -65,9 +65,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .span_dedup import dedup_spans
+    from .span_dedup import PASSAGE, dedup_spans
 
-    return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_units", "n_removed", "text")
+    return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE).select("doc_id", "n_units", "n_removed", "text")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

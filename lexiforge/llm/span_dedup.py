@@ -9,7 +9,9 @@ any distance from the sentence's start. From every sentence the
 shortest run of several consecutive sentences with at least ``min_words`` words is
 hashed, forwards and backwards (backward runs cover a passage's tail). Runs meet
 by hash over all documents; all but the first occurrence, by document id and
-position, are repeats, and every sentence that a repeat covers goes.
+position, are repeats, and every sentence that a repeat covers goes. With
+``passage``, repeats that touch are joined, the joined stretch is extended by the words that
+also stand around the earlier occurrence, and goes only if it then has that many words.
 
 Only the first occurrence of a hash in each task is shuffled by its hash alone:
 later ones are repeats already, so a passage in a third of all documents sends a
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, running, span_hash, words
+from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, running, span_hash, words, written
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
@@ -144,7 +146,7 @@ def units(data: np.ndarray, off: np.ndarray, long: int):
 
 
 def spans_of(doc: np.ndarray, unit: np.ndarray, w: np.ndarray, min_words: int, least: int):
-    """(document, first unit, units, hash) of every run; units count within their document."""
+    """(document, first word, words, hash) of every run; words count within their document."""
     n = len(unit)
     if not n:
         z = np.zeros(0, np.int64)
@@ -166,10 +168,10 @@ def spans_of(doc: np.ndarray, unit: np.ndarray, w: np.ndarray, min_words: int, l
     s = np.zeros(len(w) + 1, np.uint64)
     np.cumsum(w * p[: len(w)], out=s[1:])
     h = mixed((s[stop[z]] - s[unit[a]]) * q[unit[a]] + (stop[z] - unit[a]).astype(np.uint64))
-    return d[a], a - base[d[a]], z - a + 1, h
+    return d[a], unit[a] - unit[base[d[a]]], stop[z] - unit[a], h
 
 
-_SPANS = pa.schema([("hash", pa.int64()), ("salt", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+_SPANS = pa.schema([("hash", pa.int64()), ("salt", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("id2", pa.int64()), ("at2", pa.int32())])
 
 
 def _spans(min_words: int, least: int, long: int, held: int = 500_000):
@@ -185,9 +187,11 @@ def _spans(min_words: int, least: int, long: int, held: int = 500_000):
         top = np.flatnonzero(np.append(True, ~same))[group]
         again &= (i != i[top]) | (a != a[top])
         salt = np.where(again, np.maximum(np.arange(len(h)) % 65521, 1), 0)
+        id2, at2 = np.where(again, i[top], 0), np.where(again, a[top], 0)
         for k in range(0, len(h), 200_000):
             c = slice(k, k + 200_000)
-            yield batch({"hash": h[c].view(np.int64), "salt": salt[c], "id": i[c], "at": a[c].astype(np.int32), "n": n[c].astype(np.int32)}, _SPANS)
+            yield batch({"hash": h[c].view(np.int64), "salt": salt[c], "id": i[c], "at": a[c].astype(np.int32), "n": n[c].astype(np.int32),
+                         "id2": id2[c], "at2": at2[c].astype(np.int32)}, _SPANS)
 
     def run(batches):
         parts, size = [], 0
@@ -207,13 +211,102 @@ def _spans(min_words: int, least: int, long: int, held: int = 500_000):
     return run
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 30, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All runs that repeat an earlier one: ``(id, at, n)``, the first unit and the number of units."""
-    spans = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-             .mapInArrow(releasing(_spans(min_words, least, long)), "hash long, salt long, id long, at int, n int"))
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All runs that repeat an earlier one: ``(id, at, n, id2, at2)``, the first word, the number of words, and an earlier place."""
+    spans = _numbered(docs, id_col, text_col).mapInArrow(releasing(_spans(min_words, least, long)), "hash long, salt long, id long, at int, n int, id2 long, at2 int")
     where = F.struct("id", "at")
-    first = F.min(where).over(W.partitionBy("hash", "salt"))
-    return spans.withColumn("first", first).where((F.col("salt") > 0) | (where > F.col("first"))).select("id", "at", "n")
+    spans = spans.withColumn("first", F.min(where).over(W.partitionBy("hash", "salt"))).where((F.col("salt") > 0) | (where > F.col("first")))
+    held = F.col("salt") > 0
+    return spans.select("id", "at", "n", F.when(held, F.col("id2")).otherwise(F.col("first.id")).alias("id2"), F.when(held, F.col("at2")).otherwise(F.col("first.at")).alias("at2"))
+
+
+_ENDS_OF = "array<struct<id:bigint,a:int,z:int,side:int,at:int,id2:bigint,at2:int>>"
+
+
+def _stretches(passage: int):
+    """Of a document's repeats: the joined stretches long enough, and the ends of the others with an earlier place of each."""
+
+    def run(ids: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        sure, asked = [], []
+        for i, rows in zip(ids, gone):
+            yes, ask, k = [], [], 0
+            rows = sorted((r["at"], r["at"] + r["n"], r["id2"], r["at2"]) for r in rows)
+            while k < len(rows):
+                a, z, j = *rows[k][:2], k
+                while k < len(rows) and rows[k][0] <= z:
+                    z, k = max(z, rows[k][1]), k + 1
+                if z - a >= passage:
+                    yes.append({"at": a, "n": z - a})
+                    continue
+                # Any of the runs may stand with more equal words in its own earlier place.
+                for side, at, id2, at2 in sorted({x for p, q, d, e in rows[j:k] for x in ((0, p, d, e), (1, q, d, e + q - p))}):
+                    ask.append({"id": i, "a": a, "z": z, "side": side, "at": at, "id2": id2, "at2": at2})
+            sure.append(yes)
+            asked.append(ask)
+        return pd.DataFrame({"sure": sure, "asked": asked})
+
+    return F.pandas_udf(run, f"sure array<struct<at:int,n:int>>, asked {_ENDS_OF}")
+
+
+_AROUND = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("side", pa.int32()), ("around", pa.binary())])
+
+
+def _around(passage: int, long: int):
+    """Hashes of up to ``passage`` words before (side 0, nearest first) or after (side 1) each place of each document."""
+
+    def run(batches):
+        for b in batches:
+            places = b.column(2).to_pylist()
+            for row, data, off in chunks(b.column(1)):
+                _, _, doc, w, _ = units(data, off, long)
+                w = (w >> np.uint64(32)).astype(np.uint32)
+                edge = np.searchsorted(doc, np.arange(len(off)))
+                out = {"id": [], "at": [], "side": [], "around": []}
+                for d in range(len(off) - 1):
+                    own = w[edge[d] : edge[d + 1]]
+                    for p in places[row + d]:
+                        k = p["at"]
+                        x = own[k : k + passage] if p["side"] else own[max(0, k - passage) : k][::-1]
+                        for name, value in (("id", b.column(0)[row + d].as_py()), ("at", k), ("side", p["side"]), ("around", x.tobytes())):
+                            out[name].append(value)
+                if out["id"]:
+                    yield batch(out, _AROUND)
+
+    return run
+
+
+def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
+    """How many leading words are equal."""
+    out = np.zeros(len(x), np.int32)
+    for k, (s, t) in enumerate(zip(x, y)):
+        a, b = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)
+        n = min(len(a), len(b))
+        other = np.flatnonzero(a[:n] != b[:n])
+        out[k] = other[0] if len(other) else n
+    return pd.Series(out)
+
+
+def _long_enough(docs: DataFrame, gone: DataFrame, passage: int, long: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, at, n)``: the stretches of repeats that have ``passage`` words with what is equal around them."""
+    rows = gone.groupBy("id").agg(F.collect_list(F.struct("at", "n", "id2", "at2")).alias("gone"))  # at most two for each sentence of one document
+    rows = written(rows.select("id", _stretches(passage)("id", "gone").alias("s")), "span-stretches")
+    sure = rows.select("id", F.explode("s.sure").alias("r")).select("id", "r.at", "r.n")
+    ends = rows.select(F.explode("s.asked").alias("r")).select("r.*")
+    places = ends.select("id", "at", "side").unionByName(ends.select(F.col("id2").alias("id"), F.col("at2").alias("at"), "side")).distinct()
+    places = places.groupBy("id").agg(F.collect_list(F.struct("at", "side")).alias("places"))  # at most two for each sentence of one document
+    # Rows that share an id are one document given twice.
+    texts = _numbered(docs, id_col, text_col).join(places, "id").select("id", "text", "places")
+    around = texts.mapInArrow(releasing(_around(passage, long)), "id long, at int, side int, around binary").groupBy("id", "at", "side").agg(F.max("around").alias("around"))
+    around = written(around, "span-around")
+    there = around.select(F.col("id").alias("id2"), F.col("at").alias("at2"), "side", F.col("around").alias("around2"))
+    both = ends.join(around, ["id", "at", "side"]).join(there, ["id2", "at2", "side"])
+    more = both.select("id", "a", "z", "side", "at", F.pandas_udf(_alike, "int")("around", "around2").alias("more"))
+    more = more.groupBy("id", "a", "z").agg(F.max(F.when(F.col("side") == 1, F.col("at") + F.col("more"))).alias("to"), F.min(F.when(F.col("side") == 0, F.col("at") - F.col("more"))).alias("since"))
+    return sure.unionByName(more.where(F.col("to") - F.col("since") >= passage).select("id", F.col("a").alias("at"), (F.col("z") - F.col("a")).alias("n")))
 
 
 def _rewrite(long: int):
@@ -224,12 +317,14 @@ def _rewrite(long: int):
             _, data, off = next(chunks(col))
             start, _, _, _, unit = units(data, off, long)
             n = len(unit)
+            # Runs count words; every unit that begins inside one goes.
             keep = np.ones(n + 1, np.int64)
             if g is not None and len(g):
                 change = np.zeros(n + 1, np.int64)
                 for r in g:
-                    change[min(r["at"], n)] += 1
-                    change[min(r["at"] + r["n"], n)] -= 1
+                    a, z = np.searchsorted(unit, [r["at"], r["at"] + r["n"]])
+                    change[a] += 1
+                    change[z] -= 1
                 keep = (np.cumsum(change) == 0).astype(np.int64)
             k = np.flatnonzero(keep[:n])
             if len(k) == n:
@@ -245,9 +340,16 @@ def _rewrite(long: int):
     return rewrite
 
 
-def dedup_spans(docs: DataFrame, min_words: int = 30, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: The shortest passage that the registered queries remove.
+PASSAGE = 50
+
+
+def dedup_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int = 10, passage: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, and two columns: ``n_units`` and ``n_removed``.
 
+    ``passage`` is the least number of words of a passage, words of sentences cut off by its
+    ends included; 0 removes every repeated run of ``min_words``.
+
     All rows and columns stay (also a document all of whose text was repeated: its
     text is then empty); an unchanged text stays byte for byte, and columns named
     ``n_units`` or ``n_removed`` are replaced. Null or empty text has no units. Rows with a
@@ -256,6 +358,8 @@ def dedup_spans(docs: DataFrame, min_words: int = 30, least: int = 2, long: int
     position: the smallest id comes first.
     """
     gone = repeated_spans(docs, min_words, least, long, id_col, text_col)
+    if passage:
+        gone = _long_enough(docs, gone, passage, long, id_col, text_col)
     gone = (gone.groupBy(F.col("id").alias("__span_id"))
             .agg(F.collect_list(F.struct("at", "n")).alias("__span_gone")))  # at most two for each sentence of one document
     fix = F.pandas_udf(_rewrite(long), "text string, n_units long, n_removed long")

@@ -327,6 +327,29 @@ def test_spans_against_brute_force(spark):
     assert got == {i: (len(units[i]), len(gone[i])) for i in range(len(texts))} and sum(map(len, gone.values())) > 20
 
 
+def test_spans_passages_against_brute_force(spark):
+    """At the queries' own thresholds: runs of 20 words, joined and extended by equal words to 50."""
+    rng = random.Random(82)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    sentence = lambda k: " ".join(word() for _ in range(k)) + "."
+    texts = []
+    for k in range(30):
+        tail = " ".join(word() for _ in range(25)) + ". "  # the end of a sentence that begins otherwise
+        core = " ".join(sentence(n) for n in ((17, 9), (9, 9), (12, 8, 9), (20, 20, 15), (14, 10))[k % 5])
+        shared = tail + core if k % 2 else core
+        texts += [f"{' '.join(word() for _ in range(k % 4 + 3))} {shared} {sentence(8)}", f"{' '.join(word() for _ in range(k % 3 + 30))} {shared} {sentence(9)}"]
+    rows = {r.doc_id: r for r in span_dedup.dedup_spans(docs_of(spark, texts), passage=span_dedup.PASSAGE).collect()}
+    seen, repeats = set(), set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = {tuple(w[a : a + 50]) for a in range(len(w) - 49)}
+        if windows & seen:
+            repeats.add(i)
+        seen |= windows
+    assert {i for i, r in rows.items() if r.n_removed} == repeats and 10 < len(repeats) < 25
+    assert all(r.text == texts[i] for i, r in rows.items() if i not in repeats)
+
+
 # ------------------------------------------------------------------ 9: shards
 
 
