@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, running, span_hash, words, written
+from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, running, semi, span_hash, words, written
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
@@ -172,6 +172,8 @@ def spans_of(doc: np.ndarray, unit: np.ndarray, w: np.ndarray, min_words: int, l
 
 
 _SPANS = pa.schema([("hash", pa.int64()), ("salt", pa.int64()), ("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("id2", pa.int64()), ("at2", pa.int32())])
+#: The salt of the row that only says how many units a document has.
+_COUNT = -1
 
 
 def _spans(min_words: int, least: int, long: int, held: int = 500_000):
@@ -188,19 +190,22 @@ def _spans(min_words: int, least: int, long: int, held: int = 500_000):
         again &= (i != i[top]) | (a != a[top])
         salt = np.where(again, np.maximum(np.arange(len(h)) % 65521, 1), 0)
         id2, at2 = np.where(again, i[top], 0), np.where(again, a[top], 0)
-        for k in range(0, len(h), 200_000):
-            c = slice(k, k + 200_000)
+        for k in range(0, len(h), 100_000):
+            c = slice(k, k + 100_000)
             yield batch({"hash": h[c].view(np.int64), "salt": salt[c], "id": i[c], "at": a[c].astype(np.int32), "n": n[c].astype(np.int32),
                          "id2": id2[c], "at2": at2[c].astype(np.int32)}, _SPANS)
 
     def run(batches):
         parts, size = [], 0
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, off in chunks(b.column(1)):
                 _, _, doc, w, unit = units(data, off, long)
+                count = np.bincount(doc[unit], minlength=len(off) - 1).astype(np.int32)
+                own, none = ids[row : row + len(count)], np.zeros(len(count), np.int64)
+                yield batch({"hash": own, "salt": none + _COUNT, "id": own, "at": none.astype(np.int32), "n": count, "id2": none, "at2": none.astype(np.int32)}, _SPANS)
                 d, a, n, h = spans_of(doc, unit, w, min_words, least)
-                parts.append((h, ids[row + d].astype(np.int64), a, n))
+                parts.append((h, ids[row + d], a, n))
                 size += len(h)
                 if size >= held:
                     yield from flush(parts)
@@ -215,41 +220,29 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All runs that repeat an earlier one: ``(id, at, n, id2, at2)``, the first word, the number of words, and an earlier place."""
+def _found(docs: DataFrame, min_words: int, least: int, long: int, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts: all repeats as repeated_spans() has them and, with a null ``id2``, each document's number of units."""
     spans = _numbered(docs, id_col, text_col).mapInArrow(releasing(_spans(min_words, least, long)), "hash long, salt long, id long, at int, n int, id2 long, at2 int")
     where = F.struct("id", "at")
-    spans = spans.withColumn("first", F.min(where).over(W.partitionBy("hash", "salt"))).where((F.col("salt") > 0) | (where > F.col("first")))
-    held = F.col("salt") > 0
-    return spans.select("id", "at", "n", F.when(held, F.col("id2")).otherwise(F.col("first.id")).alias("id2"), F.when(held, F.col("at2")).otherwise(F.col("first.at")).alias("at2"))
-
-
-_ENDS_OF = "array<struct<id:bigint,a:int,z:int,side:int,at:int,id2:bigint,at2:int>>"
+    spans = spans.withColumn("first", F.min(where).over(W.partitionBy("hash", "salt"))).where((F.col("salt") != 0) | (where > F.col("first")))
+    earlier = lambda held, top: F.when(F.col("salt") > 0, F.col(held)).when(F.col("salt") == 0, F.col(top)).alias(held)
+    return spans.select("id", "at", "n", earlier("id2", "first.id"), earlier("at2", "first.at"))
 
 
-def _stretches(passage: int):
-    """Of a document's repeats: the joined stretches long enough, and the ends of the others with an earlier place of each."""
+def repeated_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All runs that repeat an earlier one: ``(id, at, n, id2, at2)``, the first word, the number of words, and an earlier place."""
+    return _found(docs, min_words, least, long, id_col, text_col).where("id2 is not null")
 
-    def run(ids: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        sure, asked = [], []
-        for i, rows in zip(ids, gone):
-            yes, ask, k = [], [], 0
-            rows = sorted((r["at"], r["at"] + r["n"], r["id2"], r["at2"]) for r in rows)
-            while k < len(rows):
-                a, z, j = *rows[k][:2], k
-                while k < len(rows) and rows[k][0] <= z:
-                    z, k = max(z, rows[k][1]), k + 1
-                if z - a >= passage:
-                    yes.append({"at": a, "n": z - a})
-                    continue
-                # Any of the runs may stand with more equal words in its own earlier place.
-                for side, at, id2, at2 in sorted({x for p, q, d, e in rows[j:k] for x in ((0, p, d, e), (1, q, d, e + q - p))}):
-                    ask.append({"id": i, "a": a, "z": z, "side": side, "at": at, "id2": id2, "at2": at2})
-            sure.append(yes)
-            asked.append(ask)
-        return pd.DataFrame({"sure": sure, "asked": asked})
 
-    return F.pandas_udf(run, f"sure array<struct<at:int,n:int>>, asked {_ENDS_OF}")
+def _stretches(gone: DataFrame) -> DataFrame:
+    """Repeats with ``(a, z)``, the first word and the end of the stretch that those of a document which touch make together."""
+    rows = gone.distinct().withColumn("end", F.col("at") + F.col("n"))
+    order = W.partitionBy("id").orderBy("at", "end", "id2", "at2")  # a document's runs: at most two for each of its sentences
+    before = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.coalesce((F.col("at") > before).cast("int"), F.lit(1)))
+    rows = rows.withColumn("part", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    one = W.partitionBy("id", "part")
+    return rows.withColumn("a", F.min("at").over(one)).withColumn("z", F.max("end").over(one)).drop("new", "part")
 
 
 _AROUND = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("side", pa.int32()), ("around", pa.binary())])
@@ -292,14 +285,16 @@ def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
 
 def _long_enough(docs: DataFrame, gone: DataFrame, passage: int, long: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, at, n)``: the stretches of repeats that have ``passage`` words with what is equal around them."""
-    rows = gone.groupBy("id").agg(F.collect_list(F.struct("at", "n", "id2", "at2")).alias("gone"))  # at most two for each sentence of one document
-    rows = written(rows.select("id", _stretches(passage)("id", "gone").alias("s")), "span-stretches")
-    sure = rows.select("id", F.explode("s.sure").alias("r")).select("id", "r.at", "r.n")
-    ends = rows.select(F.explode("s.asked").alias("r")).select("r.*")
+    rows = written(_stretches(gone), "span-stretches")
+    sure = rows.where(F.col("z") - F.col("a") >= passage).select("id", F.col("a").alias("at"), (F.col("z") - F.col("a")).alias("n")).distinct()
+    # Any of the other runs may stand with more equal words in its own earlier place, before it (side 0) or after it.
+    short = rows.where(F.col("z") - F.col("a") < passage)
+    side = lambda k, more: short.select("id", "a", "z", F.lit(k).alias("side"), (F.col("at") + more).alias("at"), "id2", (F.col("at2") + more).alias("at2"))
+    ends = written(side(0, F.lit(0)).unionByName(side(1, F.col("n"))).distinct(), "span-ends")
     places = ends.select("id", "at", "side").unionByName(ends.select(F.col("id2").alias("id"), F.col("at2").alias("at"), "side")).distinct()
-    places = places.groupBy("id").agg(F.collect_list(F.struct("at", "side")).alias("places"))  # at most two for each sentence of one document
+    places = written(places.groupBy("id").agg(F.collect_list(F.struct("at", "side")).alias("places")), "span-places")  # at most two for each sentence of one document
     # Rows that share an id are one document given twice.
-    texts = _numbered(docs, id_col, text_col).join(places, "id").select("id", "text", "places")
+    texts = semi(_numbered(docs, id_col, text_col), places.select("id"), "id").join(places, "id").select("id", "text", "places")
     around = texts.mapInArrow(releasing(_around(passage, long)), "id long, at int, side int, around binary").groupBy("id", "at", "side").agg(F.max("around").alias("around"))
     around = written(around, "span-around")
     there = around.select(F.col("id").alias("id2"), F.col("at").alias("at2"), "side", F.col("around").alias("around2"))
@@ -310,32 +305,26 @@ def _long_enough(docs: DataFrame, gone: DataFrame, passage: int, long: int, id_c
 
 
 def _rewrite(long: int):
+    """The texts of the documents that lose something, without the units that begin inside a run; their number of lost units."""
+
     def rewrite(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out, count, lost = [], [], []
-        for t, g in zip(text, gone):
-            col = pa.array([t or ""], pa.string())
-            _, data, off = next(chunks(col))
+        out, lost = [None] * len(text), np.zeros(len(text), np.int64)
+        for k, (t, g) in enumerate(zip(text, gone)):
+            if t is None or g is None:
+                continue
+            _, data, off = next(chunks(pa.array([t], pa.string()))) if t else (0, np.zeros(0, np.uint8), np.zeros(2, np.int64))
             start, _, _, _, unit = units(data, off, long)
             n = len(unit)
-            # Runs count words; every unit that begins inside one goes.
-            keep = np.ones(n + 1, np.int64)
-            if g is not None and len(g):
-                change = np.zeros(n + 1, np.int64)
-                for r in g:
-                    a, z = np.searchsorted(unit, [r["at"], r["at"] + r["n"]])
-                    change[a] += 1
-                    change[z] -= 1
-                keep = (np.cumsum(change) == 0).astype(np.int64)
-            k = np.flatnonzero(keep[:n])
-            if len(k) == n:
-                out.append(t)
-            else:
-                raw = data.tobytes()
-                edge = np.append(start[unit], len(raw)) if n else np.array([0])
-                out.append(b"".join(raw[edge[i] : edge[i + 1]] for i in k).decode("utf-8").rstrip())
-            count.append(n)
-            lost.append(n - len(k))
-        return pd.DataFrame({"text": out, "n_units": np.array(count, np.int64), "n_removed": np.array(lost, np.int64)})
+            change = np.zeros(n + 1, np.int64)
+            for r in g:  # runs count words
+                a, z = np.searchsorted(unit, [r["at"], r["at"] + r["n"]])
+                change[a] += 1
+                change[z] -= 1
+            keep = np.flatnonzero(np.cumsum(change)[:n] == 0)
+            lost[k] = n - len(keep)
+            raw, edge = data.tobytes(), np.append(start[unit], len(data))
+            out[k] = b"".join(raw[edge[i] : edge[i + 1]] for i in keep).decode("utf-8").rstrip() if lost[k] else t
+        return pd.DataFrame({"text": out, "n_removed": lost})
 
     return rewrite
 
@@ -352,19 +341,26 @@ def dedup_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int
 
     All rows and columns stay (also a document all of whose text was repeated: its
     text is then empty); an unchanged text stays byte for byte, and columns named
-    ``n_units`` or ``n_removed`` are replaced. Null or empty text has no units. Rows with a
-    null id are kept unchanged and matched with nothing. Rows that share an id are
+    ``n_units`` or ``n_removed`` are replaced. Null or empty text has no units and stays. Rows with a
+    null id are kept unchanged, with 0 units, and matched with nothing. Rows that share an id are
     one document given twice: they keep and lose the same sentences. Ties of
     position: the smallest id comes first.
     """
-    gone = repeated_spans(docs, min_words, least, long, id_col, text_col)
+    found = written(_found(docs, min_words, least, long, id_col, text_col), "span-repeats")
+    gone = found.where("id2 is not null")
     if passage:
         gone = _long_enough(docs, gone, passage, long, id_col, text_col)
-    gone = (gone.groupBy(F.col("id").alias("__span_id"))
-            .agg(F.collect_list(F.struct("at", "n")).alias("__span_gone")))  # at most two for each sentence of one document
-    fix = F.pandas_udf(_rewrite(long), "text string, n_units long, n_removed long")
+    # Of one document: its number of units, and at most two repeats for each.
+    about = (found.where("id2 is null").select("id", "n", F.lit(None).cast("struct<at:int,n:int>").alias("gone"))
+             .unionByName(gone.select("id", F.lit(0).alias("n"), F.struct("at", "n").alias("gone")))
+             .groupBy(F.col("id").alias("__span_id")).agg(F.max("n").alias("__span_n"), F.collect_list("gone").alias("__span_gone")))
+    about = about.withColumn("__span_gone", F.expr("if(size(__span_gone) > 0, __span_gone, null)"))
+    fix = F.pandas_udf(_rewrite(long), "text string, n_removed long")
     names = [c for c in docs.columns if c not in ("n_units", "n_removed")]
-    out = docs.select(*[f"`{c}`" for c in names]).join(gone, F.col(id_col).cast("long") == F.col("__span_id"), "left")
-    out = out.withColumn("__span_new", fix(F.col(text_col), F.col("__span_gone")))
-    return out.select(*[F.col("__span_new.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-                      F.col("__span_new.n_units").alias("n_units"), F.col("__span_new.n_removed").alias("n_removed"))
+    out = docs.select(*[f"`{c}`" for c in names]).join(about, F.col(id_col).cast("long") == F.col("__span_id"), "left")
+    # Only texts that lose something go through Python.
+    loses = F.col("__span_gone").isNotNull() & F.col(text_col).isNotNull()
+    out = out.withColumn("__span_new", fix(F.when(loses, F.col(text_col)), F.col("__span_gone")))
+    text = F.when(loses, F.col("__span_new.text")).otherwise(F.col(text_col))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce("__span_n", F.lit(0)).cast("long").alias("n_units"),
+                      F.when(loses, F.col("__span_new.n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
