@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .topk import usable
 
-SHARD, BLOCK = 8192, 1024
+#: Vectors of a shard, queries of a block, and queries that are searched at a time.
+SHARD, BLOCK, AT_ONCE = 8192, 16_384, 1024
 
 
 def _distance(x: np.ndarray, norm: np.ndarray, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -180,7 +181,8 @@ def _find(k: int, width: int):
         norm = (x * x).sum(1)
         q = np.stack(right["v"].to_numpy())
         qids = right["vec_id"].to_numpy()
-        beam, _ = beam_search(x, norm, near, int(left["entry"].iloc[0]), np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), width)
+        q1 = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+        beam = np.concatenate([beam_search(x, norm, near, int(left["entry"].iloc[0]), q1[i : i + AT_ONCE], width)[0] for i in range(0, len(q1), AT_ONCE)])
         # Members of the nodes found, each scored in double precision.
         r, c = np.nonzero(beam >= 0)
         hit = beam[r, c]
@@ -199,7 +201,7 @@ def _find(k: int, width: int):
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, degree: int = 32, width: int = 160, build_width: int = 32,
-            alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+            alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """For each row whose id is divisible by ``every``, about its k rows of largest inner product.
 
     Every row is indexed. Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` (the
@@ -208,15 +210,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, degree: int = 32,
     Rows with a null id, and vectors null, empty, zero or with null or non-finite
     components, take no part; vectors of different lengths don't meet. Of copies of one vector
     the k + 1 smallest ids are candidates: no other could be among the k nearest.
-    A row given twice is one candidate. Empty input: no rows.
+    A row given twice is one candidate; of different vectors under one id the least counts. Empty input: no rows.
+
+    A shard's graph is sent once for each ``block`` queries and a query once for each shard, so both are
+    as large as a task's memory takes.
     """
-    rows = usable(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    rows = usable(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     rows = written(rows, "vectors")
     queries = rows.where(F.col("vec_id") % every == 0)
     copies = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     nodes = rows.withColumn("copy", copies).where(F.col("copy") <= k + 1).drop("copy")
     n = max(1, rows.count())
-    shards, blocks = -(-n // SHARD), max(1, -(-n // (every * BLOCK)))
+    shards, blocks = -(-n // shard), max(1, -(-n // (every * block)))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     graph = written(nodes.groupBy("dim", "shard").applyInPandas(
         _index(degree, build_width, alpha), "dim int, shard int, vec_id long, v array<double>, node long, near array<long>, entry long"), "graph")

@@ -1,8 +1,8 @@
 """Helpers that several operators of this subpackage share.
 
 Storage: lineage is cut by Parquet tables in the folder that the cluster names
-in ``spark.checkpoint.dir`` (a shared one); only where that is unset, as in
-local tests, a folder of our own is set.
+in ``spark.checkpoint.dir`` (a shared one) or that was given to ``setCheckpointDir``; only
+where neither is set and the master is local, as in tests, a folder of our own is set.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage; every executor can read it."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        app = spark.sparkContext.applicationId
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = sc.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="lexiforge-")
         at = _own[app]
@@ -42,7 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table of written() that nothing will read again."""
+    _remove(df.sparkSession, df.written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -77,7 +87,6 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(
         links.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    nodes = edges
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -87,14 +96,14 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = written(small, "edges")
+        old, edges = edges, written(small, "edges")
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     root = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     tops = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    del nodes
     return root.unionByName(tops)
 
 

@@ -1,10 +1,11 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines are compared without surrounding white space. Equal lines, and lines of at
-least ``min_edit`` characters within ``edits`` single-character edits, are one
-class; of each class the first line, by document id and position, stays.
+Lines are compared without surrounding white space. Equal lines, and lines within a few
+single-character edits, are one class; of each class the first line, by document id and
+position, stays. How many edits grows with the shorter line's length: one from the first of
+``lengths`` characters on, two from the second, and so on; lines shorter than all of them have none to spare.
 
-The edit join splits every line into ``edits + 1`` segments: of two lines within
+The edit join splits every line into one segment more than it has edits: of two lines within
 the threshold, one holds a segment of the other unchanged. Segments are indexed
 by length, number and hash; lines probe, for every shorter length in reach, only
 the substrings at starts that a match in that segment allows. Lines that meet are
@@ -18,6 +19,7 @@ of verified links connects yet.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, components, mixed, point_table, powers, releasing, semi, text_runs, written
 
+#: The least lengths of lines with one edit and with two.
+LENGTHS = (12, 30)
+
 _BLANK = np.zeros(0x3001, bool)
 _BLANK[[32, *range(9, 14), 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x3000]] = True
 
@@ -86,30 +91,37 @@ _ENTRIES = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int64
 INDEX, PROBE, BUCKETS = 1, 2, 48
 
 
-def segment_keys(s: np.ndarray, a: np.ndarray, n: np.ndarray, edits: int):
+def edits_of(size: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """The edits that lines of so many characters may differ in."""
+    return np.searchsorted(np.asarray(lengths), size, "right")
+
+
+def segment_keys(s: np.ndarray, a: np.ndarray, n: np.ndarray, lengths: tuple[int, ...]):
     """Yields (rows, keys, kind) of the index and probe entries of the lines at a of n characters."""
-    parts = edits + 1
-    for less in range(edits + 1):
-        size = n - less
-        base, more = size // parts, size % parts
-        for i in range(parts):
-            length = base + (i >= parts - more)
-            start = i * base + np.maximum(0, i - (parts - more))
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                p = start + shift
-                ok = np.flatnonzero((p >= 0) & (p + length <= n) & (size > edits))
-                x = a[ok] + p[ok]
-                key = mixed(_hash(s, x, x + length[ok]) + size[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0x51ED27))
-                yield ok, key, PROBE | (INDEX if less == 0 and shift == 0 else 0)
-
-
-def _entries(edits: int, min_edit: int, remembered: int = 2_000_000):
+    for edits in range(1, len(lengths) + 1):
+        parts = edits + 1
+        for less in range(edits + 1):
+            size = n - less  # of the line that is looked for; it says how many edits and segments there are
+            base, more = size // parts, size % parts
+            fits = edits_of(size, lengths) == edits
+            for i in range(parts) if fits.any() else ():
+                length = base + (i >= parts - more)
+                start = i * base + np.maximum(0, i - (parts - more))
+                for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                    p = start + shift
+                    ok = np.flatnonzero(fits & (p >= 0) & (p + length <= n))
+                    x = a[ok] + p[ok]
+                    key = mixed(_hash(s, x, x + length[ok]) + size[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0x51ED27))
+                    yield ok, key, PROBE | (INDEX if less == 0 and shift == 0 else 0)
+
+
+def _entries(lengths: tuple[int, ...], remembered: int = 1_000_000):
     def run(batches):
         seen = np.zeros(0, np.uint64)
         for b in batches:
             for _, texts in text_runs(b.column(0)):
                 cp, a, z, _, _ = split_lines(texts)
-                a, z = a[z - a >= min_edit], z[z - a >= min_edit]
+                a, z = a[z - a >= lengths[0]], z[z - a >= lengths[0]]
                 s = _sums(cp)
                 h = _hash(s, a, z)
                 # A line is entered once for each task, or a frequent one would crowd its buckets.
@@ -122,7 +134,7 @@ def _entries(edits: int, min_edit: int, remembered: int = 2_000_000):
                 odd = np.zeros(len(cp) + 1, np.int64)
                 np.bitwise_xor.accumulate(np.int64(4) << (cp % BUCKETS).astype(np.int64), out=odd[1:])
                 bits = odd[z] ^ odd[a]
-                for ok, key, kind in segment_keys(s, a, z - a, edits):
+                for ok, key, kind in segment_keys(s, a, z - a, lengths):
                     yield batch({"key": key.view(np.int64), "id": h[ok].view(np.int64), "kind": bits[ok] | kind}, _ENTRIES)
 
     return run
@@ -200,28 +212,34 @@ def _band(pair, m: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _verify(edits: int):
+def _verify(lengths: tuple[int, ...]):
     def run(batches):
         for b in batches:
-            keep = pa.array(within(b.column(2).to_pylist(), b.column(3).to_pylist(), edits), pa.bool_())
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            most = edits_of(np.array([min(len(s), len(t)) for s, t in zip(x, y)], np.int64), lengths)
+            keep = np.zeros(len(x), bool)
+            for k in np.unique(most[most > 0]):
+                at = np.flatnonzero(most == k)
+                keep[at] = within([x[i] for i in at], [y[i] for i in at], int(k))
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=_LINKS)
 
     return run
 
 
-def line_classes(docs: DataFrame, occ: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, occ: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links among different lines within the edit threshold: components ``(id, component)`` of line hashes."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = base.select("text").mapInArrow(releasing(_entries(edits, min_edit)), "key long, id long, kind long")
+    rows = base.select("text").mapInArrow(releasing(_entries(lengths)), "key long, id long, kind long")
     by = W.partitionBy("key")
     rows = rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo < hi")
     rows = written(rows.groupBy("key", "id").agg(F.bit_or("kind").alias("kind")), "line-entries")
     # Lines within the threshold differ in two bits for each edit at most.
-    close = f"bit_count(shiftrightunsigned(k ^ l, 2)) <= {2 * edits}"
+    close = f"bit_count(shiftrightunsigned(k ^ l, 2)) <= {2 * len(lengths)}"
     tops = rows.where(f"kind & {INDEX} > 0").groupBy("key").agg(F.min(F.struct("id", "kind")).alias("t")).select("key", F.col("t.id").alias("b"), F.col("t.kind").alias("l"))
     first = rows.withColumnRenamed("kind", "k").join(tops, "key").where(f"id <> b and {close}").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     first = written(first.distinct(), "line-first")
-    links = _linked(base, occ, first, edits)
+    links = _linked(base, occ, first, lengths)
     roots = components(links)
     rows = rows.join(roots, "id", "left").select("key", "id", "kind", F.coalesce("component", "id").alias("root"))
     rows = written(rows, "line-roots")
@@ -231,11 +249,11 @@ def line_classes(docs: DataFrame, occ: DataFrame, edits: int = 2, min_edit: int
     y = wide.select("key", F.col("id").alias("j"), F.col("kind").alias("l"), F.col("root").alias("s")).alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr(f"r <> s and {close}")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     # Pairs of the first round that failed needn't be verified again.
-    more = _linked(base, occ, pairs.distinct().join(first, ["a", "b"], "left_anti"), edits)
+    more = _linked(base, occ, pairs.distinct().join(first, ["a", "b"], "left_anti"), lengths)
     return components(links.unionByName(more))
 
 
-def _linked(base: DataFrame, occ: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+def _linked(base: DataFrame, occ: DataFrame, pairs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     pairs = written(pairs.distinct(), "line-pairs")
     need = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "line-need")
     # Only documents that hold a line's first occurrence are read again.
@@ -245,10 +263,19 @@ def _linked(base: DataFrame, occ: DataFrame, pairs: DataFrame, edits: int) -> Da
     x = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     y = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(releasing(_verify(edits)), "a long, b long"), "line-links")
+    return written(both.mapInArrow(releasing(_verify(lengths)), "a long, b long"), "line-links")
+
+
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    out = [None] * len(text)
+    for k, (t, g) in enumerate(zip(text, gone)):
+        if t is not None and g is not None:
+            lost = set(g)
+            out[k] = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in lost])
+    return pd.Series(out)
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text`` freed of lines that repeat an earlier one, and two columns: ``n_lines`` and ``n_removed``.
 
     All rows and columns stay (a document all of whose lines are repeats gets an empty
@@ -259,7 +286,7 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     occ = written(base.mapInArrow(releasing(_occurrences), "h long, g long, doc long, line int"), "line-occurrences")
-    roots = line_classes(docs, occ, edits, min_edit, id_col, text_col).select(F.col("id").alias("h"), "component")
+    roots = line_classes(docs, occ, lengths, id_col, text_col).select(F.col("id").alias("h"), "component")
     occ = occ.join(roots, "h", "left").select(
         F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).otherwise(F.lit(0)).alias("g"), "doc", "line")
     where = F.struct("doc", "line")
@@ -270,7 +297,9 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_edit: int = 30, id_col: str
     found = counts.join(gone, "doc", "left").withColumnRenamed("doc", "__line_doc")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*[f"`{c}`" for c in names]).join(found, F.col(id_col).cast("long") == F.col("__line_doc"), "left")
-    kept = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.when(~F.array_contains("__line_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    # Only texts that lose lines go through Python.
+    loses = F.col("__line_gone").isNotNull() & F.col(text_col).isNotNull()
+    out = out.withColumn("__line_text", F.pandas_udf(_without, "string")(F.when(loses, F.col(text_col)), F.col("__line_gone")))
+    text = F.when(loses, F.col("__line_text")).otherwise(F.col(text_col))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
                       F.coalesce("__line_n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("__line_gone"), F.lit(0)).alias("n_removed"))

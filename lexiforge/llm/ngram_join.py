@@ -6,6 +6,9 @@ prefixes. Documents with equal prefixes and sizes are one group; groups, not
 documents, are indexed and filtered, and only surviving group pairs are expanded
 to members and verified on the whole sets.
 
+Nodes of the graph are distinct sets, named by their 64-bit digests, so that copies are one node and different texts
+under one id are nodes that the id ties together.
+
 A group of thousands of near copies has millions of linked pairs, so pairs are
 verified in rounds: first every member against its group's head and every
 group's head against the head of each prefix shingle; then only pairs that no
@@ -120,14 +123,14 @@ def _prefixes(n: int, percent: int, levels):
 
 
 def _whole_sets(n: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            sets = list(shingle_sets(b.column(1), n))
+            sets = list(shingle_sets(b.column(0), n))
             for i in range(0, len(sets), 500):
-                yield pa.RecordBatch.from_arrays([ids[i : i + 500].cast(pa.int64()), as_binary(sets[i : i + 500]).cast(pa.binary())], schema=schema)
+                cls = np.array([_digest(s) for s in sets[i : i + 500]], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls), as_binary(sets[i : i + 500]).cast(pa.binary())], schema=schema)
 
     return run
 
@@ -160,22 +163,22 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     included) and ``n_copies`` (documents with the very same set; 0 without words).
 
     Null or empty text: no shingles, linked with nothing. Null ids are left out, as no
-    id could name them. Rows that share an id count once (of different texts under one
-    id, the set that is first by size and digest is reported; any of them links). Empty input: no rows. Other columns are ignored.
+    id could name them. Rows that share an id are one document: of different texts under one
+    id, the set that is first by size and digest is reported, and the links of all of them count. Empty input: no rows. Other columns are ignored.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequency_levels(base, n))
     sets = base.mapInArrow(releasing(_prefixes(n, percent, levels)), "id long, size long, digest long, prefix long, b0 long, b1 long, b2 long, b3 long, tokens array<long>")
     sets = written(sets, "sets")
-    ids = written(sets.groupBy("id").agg(F.min(F.struct("size", "digest", "prefix", *BITMAP)).alias("s")).select("id", "s.*"), "set-ids")
-    # A class: documents with one and the same set, named by its smallest id.
-    classes = written(
-        ids.where("size > 0").groupBy("size", "digest", "prefix").agg(F.min("id").alias("cls"), F.count("*").alias("n_copies"), *[F.first(b).alias(b) for b in BITMAP]), "classes")
+    ids = written(sets.groupBy("id", "digest").agg(F.min(F.struct("size", "prefix", *BITMAP)).alias("s")).select("id", F.col("digest").alias("cls"), "s.*"), "set-ids")
+    # A class: documents with one and the same set, read again from the smallest id's text.
+    classes = written(ids.where("size > 0").groupBy("cls").agg(
+        F.min("id").alias("rep"), F.count("*").alias("n_copies"), *[F.first(b).alias(b) for b in ("size", "prefix", *BITMAP)]), "classes")
     # A group: classes with one prefix and size; its head is its smallest class.
-    groups = classes.groupBy("size", "prefix").agg(F.min("cls").alias("head"), F.count("*").alias("n"))
-    tokens = sets.join(groups, (sets["id"] == groups["head"]) & (sets["prefix"] == groups["prefix"]) & (sets["size"] == groups["size"]), "left_semi")
-    tokens = tokens.dropDuplicates(["id"]).select(F.col("id").alias("head"), "size", F.explode("tokens").alias("token"))
+    groups = classes.groupBy("size", "prefix").agg(F.min(F.struct("cls", "rep")).alias("h"), F.count("*").alias("n")).select("size", "prefix", F.col("h.cls").alias("head"), F.col("h.rep").alias("rep"), "n")
+    tokens = sets.join(groups.select("head", "rep"), (sets["id"] == F.col("rep")) & (sets["digest"] == F.col("head")), "left_semi")
+    tokens = tokens.dropDuplicates(["digest"]).select(F.col("digest").alias("head"), "size", F.explode("tokens").alias("token"))
     # Entries of prefix shingles that two groups at least share; top: the shingle's head.
     by = W.partitionBy("token")
     entries = (tokens.withColumn("lo", F.min("head").over(by)).withColumn("hi", F.max("head").over(by)).where("lo < hi"))
@@ -195,7 +198,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             .where(_reach("size", "top_size", "shared", percent))
             .select(F.col("head").alias("a"), F.col("top").alias("b")))
     first = _close(first.unionByName(near), sizes, percent)
-    links = _linked(base, first, n, percent)
+    reps = classes.select("cls", F.col("rep").alias("id"))
+    links = _linked(base, reps, first, n, percent)
     roots = components(links)
     # Second round: what the first left apart.
     member = (sizes.join(heads, ["size", "prefix"]).join(roots.withColumnRenamed("id", "cls"), "cls", "left")
@@ -209,11 +213,21 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     bounds = spread.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l < h").select("token")
     wide = entries.join(bounds, "token", "left_semi").join(member.select("head", "cls", "root", *BITMAP), "head")
     pairs = pairs.unionByName(_apart(wide, "token", percent))
-    more = _linked(base, pairs, n, percent)
-    roots = components(links.unionByName(more)).withColumnRenamed("id", "cls")
-    named = (ids.join(classes, ["size", "digest", "prefix"], "left").join(roots, "cls", "left")
-             .select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "cls", "id").alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies")))
-    return named.withColumnRenamed("id", id_col)
+    more = _linked(base, reps, pairs, n, percent)
+    # An id of several sets ties their classes together.
+    tied = ids.where("size > 0").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b")
+    tied = ids.where("size > 0").join(tied.select("id", "a"), "id").where("cls <> a").select("a", F.col("cls").alias("b"))
+    roots = components(links.unionByName(more).unionByName(tied)).withColumnRenamed("id", "cls")
+    member = classes.join(roots, "cls", "left").select("cls", "rep", "n_copies", F.coalesce("component", "cls").alias("root"))
+    member = written(member, "class-roots")
+    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = member.join(least, "root").select("cls", "n_copies", "component_id")
+    shown = ids.groupBy("id").agg(F.min(F.struct("size", "cls")).alias("s"), F.max(F.when(F.col("size") > 0, F.col("cls"))).alias("any"))
+    # A document whose reported set is empty can have others: they say where it belongs.
+    shown = shown.select("id", F.col("s.size").alias("n_shingles"), F.when(F.col("s.size") > 0, F.col("s.cls")).otherwise(F.col("any")).alias("cls"))
+    out = shown.join(named, "cls", "left").select(
+        "id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.coalesce("n_copies", F.lit(0))).otherwise(F.lit(0)).alias("n_copies"))
+    return out.withColumnRenamed("id", id_col)
 
 
 def _reach(a: str, b: str, shared: str, percent: int) -> str:
@@ -252,14 +266,15 @@ def _apart(rows: DataFrame, key: str, percent: int) -> DataFrame:
     return pairs.select("a", "b")
 
 
-def _linked(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole sets reach the threshold."""
+def _linked(base: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold; ``reps``: a document of each class."""
     pairs = written(pairs.distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = semi(base, written(need, "need"), "id")
-    sets = text.mapInArrow(releasing(_whole_sets(n)), "id long, shingles binary")
-    sets = written(sets, "whole-sets")
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    need = written(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "need")
+    holders = written(reps.join(need, "cls").select("id").distinct(), "need-ids")
+    sets = semi(base, holders, "id").select("text").mapInArrow(releasing(_whole_sets(n)), "cls long, shingles binary")
+    # Rows given twice, and other texts under the same id, have sets that nothing asked for or that are here already.
+    sets = written(semi(sets, need, "cls").groupBy("cls").agg(F.first("shingles").alias("shingles")), "whole-sets")
+    x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return written(both.mapInArrow(releasing(_verify(percent)), "a long, b long").distinct(), "links")

@@ -59,11 +59,12 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return w[:, m:]
 
 
-def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, rounds: int = 500) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, gap: float = 1e-4) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use each, covering ``demand`` pieces of each ``size`` with about the fewest stocks.
 
-    Revised simplex over generated columns, at most ``rounds`` of them. The fractional solution is rounded down and what is left is packed
-    first-fit decreasing, so the result covers the demand exactly.
+    Revised simplex over generated columns. The best column's value v bounds the program from below by the present
+    number of stocks over v, so columns are made until that number is within ``gap`` of the optimum. The
+    fractional solution is rounded down and what is left is packed first-fit decreasing, so the result covers the demand exactly.
     """
     m = len(size)
     if not m:
@@ -83,10 +84,11 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, rounds: int =
         left = np.maximum(left - x[j] * basis[:, j], 0)
         left[k], open_[k] = 0, False
     inverse = _inverse(basis)
-    for _ in range(rounds):
+    still, least = 0, x.sum()
+    while still < 50 * m + 100:  # a degenerate basis may stand still for a while
         dual = inverse.sum(0)
         value, column = _knapsack(dual, size, room)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
         d = (inverse * column).sum(1)
         ok = d > 1e-9
@@ -101,6 +103,7 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, rounds: int =
         inverse = inverse - np.outer(d, row)
         inverse[r] = row
         basis[:, r] = column
+        still, least = (0, x.sum()) if x.sum() < least - 1e-9 else (still + 1, least)
     left, out = demand.astype(np.int64).copy(), []
     for r in np.argsort(-x, kind="stable"):
         p = basis[:, r].astype(np.int64)
@@ -146,33 +149,34 @@ def _cut(path: str, end_id: int, room: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, step: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: int = 1, step: int = 8, id_col: str = "doc_id", text_col: str = "text", per_part: int = 100_000) -> DataFrame:
     """Pack all documents into sequences of at most ``room`` tokens with little padding.
 
     Returns a row per piece: the id, ``start`` (the document's tokens before it),
     ``length``, ``ids_crc32``, ``doc_tokens`` (with the ending id), ``sequence_id``
     and ``offset`` in the sequence, gapless from 0. Full pieces are sequences of
     their own; tails are packed by the patterns of the program, over tail lengths
-    rounded up to ``step`` (which bounds it to ``room / step`` sizes).
+    rounded up to ``step`` (which bounds it to ``room / step`` sizes; what is longer than the last of them
+    is a sequence of its own, so any ``room`` and ``step`` do).
 
     Null text is an empty one: its only token is the ending id. Null and repeated ids:
     each row is a document of its own. Empty input: no rows. Other columns are ignored.
     """
-    room = int(room)
+    room, step = int(room), int(step)
+    full = max(1, room // step)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         releasing(_cut(tokenizer, end_id, room)), "doc_id long, start long, length int, crc long, doc_tokens long")
-    pieces = written(pieces.withColumn("bin", F.ceil(F.col("length") / step).cast("int"))
+    pieces = written(pieces.withColumn("bin", F.least(F.ceil(F.col("length") / step), F.lit(full)).cast("int"))
                      .withColumn("mix", F.xxhash64("doc_id", "start", "crc")), "pack-pieces")
     # A rank within each length: a count for each (length, part) and its running sum,
     # so that no single task gets all pieces of a frequent length.
-    parts = max(1, pieces.count() // 100_000)
+    parts = max(1, pieces.count() // per_part)
     pieces = pieces.withColumn("part", F.pmod("mix", F.lit(parts)).cast("int"))
     counts = pieces.groupBy("bin", "part").count()
     base = counts.select("bin", "part", (F.sum("count").over(W.partitionBy("bin").orderBy("part")) - F.col("count")).alias("base"))
     ranked = (pieces.withColumn("r", F.row_number().over(W.partitionBy("bin", "part").orderBy("mix", "doc_id", "start")))
               .join(base, ["bin", "part"]).withColumn("r", F.col("base") + F.col("r") - 1).drop("base", "part", "mix"))
     hist = {r["bin"]: r["n"] for r in counts.groupBy("bin").agg(F.sum("count").alias("n")).collect()}  # at most room / step rows
-    full = room // step
     bins = sorted(b for b in hist if b < full)
     plan = cutting_stock(np.array(bins, np.int64), np.array([hist[b] for b in bins], float), full)
     rows, first, taken = [], hist.get(full, 0), dict.fromkeys(bins, 0)
@@ -184,6 +188,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, end_id: in
         first += n
     if full in hist:
         rows.append((full, 0, hist[full], 1, 0))
+    if taken != {b: hist[b] for b in bins}:
+        raise AssertionError("the patterns don't hold every piece once")
     spark = docs.sparkSession
     # One row for each length in a pattern: bounded by the program's size, not by the data.
     where = spark.createDataFrame(rows, "bin int, lo long, hi long, each int, first long")

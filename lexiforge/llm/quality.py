@@ -1,7 +1,7 @@
 """Quality classifier: gated-attention multiple-instance learning over passages.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded by
-statistics of its words and characters; the encoder, the gated attention that
+statistics of its characters and words and by the shares of its words' hash classes; the encoder, the gated attention that
 weighs passages and the scorer of the weighted representation are learned
 together from document labels alone (gradients by hand, Adam). Fitting takes a
 bounded sample of labelled documents; scoring reads every passage of every text.
@@ -19,7 +19,9 @@ from .common import LOWER, chunks, release, releasing, running, span_hash, words
 
 PASSAGE = 64
 _GROUPS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".", ",;:", "!?", "#$%&*@^~+=<>_", "|\\/", "'\"()[]{}-`")
-N_FEATURES = 2 * len(_GROUPS) + 14
+#: Classes of hashed words, each with its share of a passage.
+WORDS = 64
+N_FEATURES = 2 * len(_GROUPS) + 14 + WORDS
 
 
 def passages(column: pa.Array, size: int = PASSAGE):
@@ -73,6 +75,8 @@ def passages(column: pa.Array, size: int = PASSAGE):
             for v in more:
                 f[filled, k] = v
                 k += 1
+            which = np.bincount(bag * WORDS + (h >> np.uint64(58)).astype(np.int64), minlength=int(bound[-1]) * WORDS)
+            f[:, k:] = which.reshape(-1, WORDS) / np.maximum(which.reshape(-1, WORDS).sum(1, keepdims=True), 1)
         yield row, f, bound
 
 
@@ -102,6 +106,20 @@ def _forward(w, x, bound):
     return h, t, s, att, z, 1 / (1 + np.exp(-np.clip((z * c).sum(1) + b[0], -30, 30)))
 
 
+def _gradients(w, x, bound, y) -> list[np.ndarray]:
+    """Of the mean cross entropy of bags with labels y, by each weight."""
+    size = np.diff(bound)
+    h, t, s, att, z, p = _forward(w, x, bound)
+    _, a, v, u, g, c, _ = w
+    dy = (p - y) / len(y)
+    big = np.repeat(dy[:, None] * c, size, axis=0)
+    datt = (big * h).sum(1)
+    de = att * (datt - np.repeat(np.add.reduceat(att * datt, bound[:-1]), size))
+    dt, ds = de[:, None] * g * s * (1 - t * t), de[:, None] * g * t * s * (1 - s)
+    dh = (att[:, None] * big + dt @ v.T + ds @ u.T) * (1 - h * h)
+    return [dh.sum(0), x.T @ dh, h.T @ dt, h.T @ ds, (de[:, None] * t * s).sum(0), (dy[:, None] * z).sum(0), np.array([dy.sum()])]
+
+
 def fit(bags: list[np.ndarray], label: np.ndarray, hidden: int = 24, gate: int = 12, rounds: int = 30, rate: float = 5e-3, seed: int = 3) -> Model:
     """Learn from bags of passage features and 0/1 labels; classes count by their size, so scores are probabilities."""
     rng = np.random.default_rng(seed)
@@ -118,17 +136,7 @@ def fit(bags: list[np.ndarray], label: np.ndarray, hidden: int = 24, gate: int =
             pick = order[i : i + 64]
             x, y = np.concatenate([bags[j] for j in pick]), label[pick]
             bound = np.concatenate([[0], np.cumsum([len(bags[j]) for j in pick])])
-            size = np.diff(bound)
-            h, t, s, att, z, p = _forward(w, x, bound)
-            _, a, v, u, g, c, _ = w
-            dy = (p - y) / len(y)
-            dz = dy[:, None] * c
-            big = np.repeat(dz, size, axis=0)
-            datt = (big * h).sum(1)
-            de = att * (datt - np.repeat(np.add.reduceat(att * datt, bound[:-1]), size))
-            dt, ds = de[:, None] * g * s * (1 - t * t), de[:, None] * g * t * s * (1 - s)
-            dh = (att[:, None] * big + dt @ v.T + ds @ u.T) * (1 - h * h)
-            grads = [dh.sum(0), x.T @ dh, h.T @ dt, h.T @ ds, (de[:, None] * t * s).sum(0), (dy[:, None] * z).sum(0), np.array([dy.sum()])]
+            grads = _gradients(w, x, bound, y)
             step += 1
             for k, q in enumerate(grads):
                 q = q + 1e-4 * w[k]
@@ -147,7 +155,9 @@ def _encoded(most: int):
         for b in batches:
             label, out = b.column(0), []
             for _, f, bound in passages(b.column(1)):
-                out += [f[bound[i] : min(bound[i + 1], bound[i] + most)].tobytes() for i in range(len(bound) - 1)]
+                for a, n in zip(bound, np.diff(bound)):
+                    pick = a + (np.arange(n) if n <= most else np.arange(most) * n // most)  # spread over the whole text
+                    out.append(f[pick].tobytes())
             yield pa.RecordBatch.from_arrays([label.cast(pa.float64()), pa.array(out, pa.binary())], schema=_BAGS)
 
     return run
@@ -172,8 +182,8 @@ def _fitted(batches):
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = 2000, most: int = 200, id_col: str = "doc_id", text_col: str = "text"):
     """A model of ``labels[target]`` (0 or 1), from at most ``sample`` labelled documents of each class.
 
-    The sample is the first by a hash of the id, and at most ``most`` passages of each
-    document enter it; both bound what one task fits on. Null labels and ids don't
+    The sample is the first by a hash of the id, and of a document of more than ``most`` passages so many
+    enter it, spread evenly over the whole text; both bound what one task fits on. Null labels and ids don't
     count; of several labels of one id the lowest does. With one class only, or
     none, the model is that class's constant (or 0.5).
     """

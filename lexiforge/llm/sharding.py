@@ -1,6 +1,6 @@
 """Sharding as vector bin packing.
 
-Groups of equal texts are vectors (bytes, tokens, rows). Every group goes to the
+Groups of equal texts are vectors (bytes, tokens, rows); a token is a run of other characters than white space. Every group goes to the
 shard whose residual capacity has the largest dot product with the group's
 vector, both scaled by the totals. Groups are dealt to buckets of bounded size;
 each bucket packs against its own share of every shard's capacity, so that
@@ -44,7 +44,7 @@ def _place(room0: np.ndarray):
     return place
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", split: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", split: int = 16, per_bucket: int = PER_BUCKET, head: int = HEAD, per_slot: int = 50_000) -> DataFrame:
     """Assign every row to one of ``shards`` shards with near equal bytes, words and rows.
 
     Returns one row per input row: the id, ``size`` (UTF-8 bytes of the text plus 8),
@@ -60,7 +60,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(t).cast("long") + 8).alias("size"), F.crc32(t.cast("binary")).cast("long").alias("crc"),
         F.xxhash64(t).alias("g1"), F.xxhash64(F.lit(7), t).alias("g2"),
-        (F.length(t) - F.length(F.translate(t, " \n", "")) + 1).cast("long").alias("tokens"))
+        F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"))
     rows = written(rows.withColumn("dealt", F.xxhash64("id", "g1")), "shard-rows")
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     groups = written(groups, "shard-groups")
@@ -72,13 +72,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     large = F.broadcast(groups.where("pieces > 1").select("g1", "g2", "pieces"))
     rows = (rows.join(large, ["g1", "g2"], "left")
             .withColumn("piece", F.coalesce(F.pmod("dealt", F.col("pieces")), F.lit(0)).cast("int")).drop("pieces"))
-    buckets = max(1, -(-n // PER_BUCKET))
+    buckets = max(1, -(-n // per_bucket))
     cut = (rows.join(large, ["g1", "g2"]).groupBy("g1", "g2", "piece")
            .agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
     whole = groups.where("pieces = 1").select("g1", "g2", F.lit(0).alias("piece"), "bytes", "tokens", "rows")
     items = whole.unionByName(cut)
     share = F.greatest(*(F.col(c) / F.lit(x / shards) for c, x in zip(("bytes", "tokens", "rows"), total)))
-    items = items.withColumn("bucket", F.when(share > 1 / HEAD, 0).otherwise(1 + F.pmod(F.xxhash64("g1", "g2", "piece"), F.lit(buckets))).cast("int"))
+    items = items.withColumn("bucket", F.when(share > 1 / head, 0).otherwise(1 + F.pmod(F.xxhash64("g1", "g2", "piece"), F.lit(buckets))).cast("int"))
     made = "g1 long, g2 long, piece int, bytes long, tokens long, rows long, shard int"
     heads = written(items.where("bucket = 0").groupBy("bucket").applyInPandas(_place(np.full((shards, 3), 1 / shards)), made), "shard-heads")
     used = np.zeros((shards, 3))
@@ -89,7 +89,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     placed = heads.unionByName(written(rest, "shard-rest")).select("g1", "g2", "piece", "shard")
     out = rows.join(placed, ["g1", "g2", "piece"])
     # Slots: a count for each (shard, part) and its running sum, then a row number within the part.
-    parts = max(1, -(-int(total[2]) // (shards * 50_000)))
+    parts = max(1, -(-int(total[2]) // (shards * per_slot)))
     out = written(out.select("id", "size", "crc", "shard", "dealt", F.pmod("dealt", F.lit(parts)).cast("int").alias("part")), "shard-out")
     base = out.groupBy("shard", "part").count()
     base = base.select("shard", "part", (F.sum("count").over(W.partitionBy("shard").orderBy("part")) - F.col("count")).alias("base"))

@@ -21,6 +21,8 @@ from .bytebpe import KEPT
 from .common import batch, point_table, powers, releasing, text_runs
 
 MARK = "▁"
+#: Words of more characters are searched one by one.
+LONG = 512
 
 
 class Codec:
@@ -99,6 +101,41 @@ class Codec:
             out[i] = np.array([x for p in out[i].tolist() for x in ([p] if p >= 0 else self.byte[list(chr(-3 - p).encode())].tolist())])
         return out
 
+    def long_word(self, cp: np.ndarray) -> np.ndarray:
+        """viterbi() of one very long word: its pieces are looked up length by length, then ends are passed once."""
+        n = len(cp)
+        s = self._sums(cp)
+        _, q = powers(n + 1)
+        hits: list[list] = [[] for _ in range(3)]
+        for size in range(min(self.longest, n), 0, -1):
+            start = np.arange(n - size + 1)
+            h = (s[size:] - s[: n - size + 1]) * q[: n - size + 1]
+            k = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+            at = np.flatnonzero(self.key[k] == h)
+            for c, v in zip(hits, (start[at] + size, np.full(len(at), size), k[at])):
+                c.append(v)
+        end, size, k = (np.concatenate(c) for c in hits)
+        order = np.argsort(end, kind="stable")  # of one end, the longest piece first: it wins a tie
+        end, size = end[order], size[order].tolist()
+        score, ids = self.score[k[order]].tolist(), self.id[k[order]].tolist()
+        edge = np.searchsorted(end, np.arange(n + 2)).tolist()
+        best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for e in range(1, n + 1):
+            top, b, p = -np.inf, e - 1, -1
+            for j in range(edge[e], edge[e + 1]):
+                v = score[j] + best[e - size[j]]
+                if v > top:
+                    top, b, p = v, e - size[j], ids[j]
+            single = edge[e] < edge[e + 1] and size[edge[e + 1] - 1] == 1
+            if not single and self.unknown + best[e - 1] > top:
+                top, b, p = self.unknown + best[e - 1], e - 1, -1
+            best[e], back[e], piece[e] = top, b, p
+        out, e = [], n
+        while e:
+            out += [piece[e]] if piece[e] >= 0 else self.byte[list(chr(int(cp[e - 1])).encode())].tolist()[::-1]
+            e = back[e]
+        return np.array(out[::-1], np.int64)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         plain = [self.prefix + t.replace(" ", MARK) if t else "" for t in texts]
@@ -132,6 +169,10 @@ class Codec:
             cuts = np.flatnonzero(np.append(True, np.diff(size[order]) != 0))
             for i, j in zip(cuts, np.append(cuts[1:], len(order))):
                 length = int(size[order[i]])
+                if length > LONG:
+                    for w in order[i:j]:
+                        got[w] = self.long_word(cp[a[w] : a[w] + length])
+                    continue
                 step = max(1, 400_000 // (length + 1))
                 for k in range(i, j, step):
                     pick = order[k : min(k + step, j)]
@@ -200,7 +241,10 @@ _DIGEST = pa.schema([("id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: ``n_ids``, ``ids_crc32`` (little-endian 32-bit), ``text_crc32`` of the decoded text, and whether it is the text."""
+    """For every row: ``n_ids``, ``ids_crc32`` (little-endian 32-bit), ``text_crc32`` of the decoded text, and whether it is the text.
+
+    Null or empty text: no ids, the CRC of nothing; which is its own round trip. Null and repeated ids: each row on its own. Empty input: no rows. Other columns are ignored.
+    """
 
     def run(batches):
         c = codec(model)

@@ -81,7 +81,9 @@ def test_lines_against_brute_force(spark):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
     seen = [(i, k, x.strip()) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.strip()]
     names = sorted({x for _, _, x in seen})
-    near = [(a, b) for a, b in itertools.combinations(names, 2) if min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2]
+    most = lambda a, b: (min(len(a), len(b)) >= 12) + (min(len(a), len(b)) >= 30)
+    near = [(a, b) for a, b in itertools.combinations(names, 2) if 0 < most(a, b) >= abs(len(a) - len(b)) and edit_distance(a, b) <= most(a, b)]
+    assert sum(min(len(a), len(b)) < 30 for a, b in near) > 5
     assert len(near) > 5
     root = components_of(near, names)
     first = {}
