@@ -10,19 +10,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch: texts are long, and a worker holds a whole batch at a time.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a whole batch at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker of ``spark`` (once per application).
 
-    Arrow batches are made smaller where their size is Spark's default.
+    Arrow batches are made smaller unless the session or its application sets their size.
     """
     sc = spark.sparkContext
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, str(BATCH_ROWS))
+    own = spark.conf.getAll
+    for key, value in BATCH.items():
+        if key not in own:
+            spark.conf.set(key, value)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
