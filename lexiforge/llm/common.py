@@ -114,6 +114,7 @@ try:
     # Arrays of 256 KB and more go back to the system when they are freed; else a
     # worker that serves many stages keeps the largest of each.
     _libc.mallopt(-3, 256 << 10)
+    pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pool would keep them likewise
 except (OSError, AttributeError):  # another C library
     _libc = None
 
@@ -137,6 +138,17 @@ def releasing(run):
     return wrapped
 
 
+def replaced(column: pa.Array, new: dict[int, str]) -> pa.Array:
+    """``column`` with the values of some rows replaced."""
+    if not new:
+        return column
+    at, values = np.fromiter(new, np.int64, len(new)), pa.array(list(new.values()), column.type)
+    mask = np.zeros(len(column), bool)
+    mask[at] = True
+    order = np.argsort(at, kind="stable")
+    return pc.replace_with_mask(column, pa.array(mask), values.take(pa.array(order)))
+
+
 def text_runs(column: pa.Array, limit: int = 1 << 20):
     """(first row, texts) of runs of about ``limit`` bytes; nulls are empty."""
     if column.null_count:
@@ -163,7 +175,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

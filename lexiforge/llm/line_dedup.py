@@ -19,13 +19,14 @@ of verified links connects yet.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch, components, mixed, point_table, powers, releasing, semi, text_runs, written
+from .common import batch, components, mixed, point_table, powers, releasing, replaced, semi, text_runs, written
 
 #: The least lengths of lines with one edit and with two.
 LENGTHS = (12, 30)
@@ -266,13 +267,21 @@ def _linked(base: DataFrame, occ: DataFrame, pairs: DataFrame, lengths: tuple[in
     return written(both.mapInArrow(releasing(_verify(lengths)), "a long, b long"), "line-links")
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    out = [None] * len(text)
-    for k, (t, g) in enumerate(zip(text, gone)):
-        if t is not None and g is not None:
-            lost = set(g)
-            out[k] = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in lost])
-    return pd.Series(out)
+def _without(text: int):
+    """Rows whose last two columns are the number of lines and the lines that go; their number takes the latter's place."""
+
+    def run(batches):
+        for b in batches:
+            gone, new = b.column(b.num_columns - 1), {}
+            for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)):
+                lost, t = set(gone[k].as_py()), b.column(text)[k].as_py()
+                new[int(k)] = "\n".join([x for i, x in enumerate((t or "").split("\n")) if i not in lost])
+            columns = list(b.columns)
+            columns[text] = replaced(columns[text], new)
+            columns[-1] = pc.fill_null(pc.list_value_length(gone), 0)
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-2], "n_lines", "n_removed"])
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,9 +306,6 @@ def dedup_lines(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str
     found = counts.join(gone, "doc", "left").withColumnRenamed("doc", "__line_doc")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = docs.select(*[f"`{c}`" for c in names]).join(found, F.col(id_col).cast("long") == F.col("__line_doc"), "left")
-    # Only texts that lose lines go through Python.
-    loses = F.col("__line_gone").isNotNull() & F.col(text_col).isNotNull()
-    out = out.withColumn("__line_text", F.pandas_udf(_without, "string")(F.when(loses, F.col(text_col)), F.col("__line_gone")))
-    text = F.when(loses, F.col("__line_text")).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-                      F.coalesce("__line_n", F.lit(0)).alias("n_lines"), F.coalesce(F.size("__line_gone"), F.lit(0)).alias("n_removed"))
+    out = out.select(*[f"`{c}`" for c in names], F.coalesce("__line_n", F.lit(0)).cast("long").alias("__line_n"), "__line_gone")
+    schema = T.StructType([*docs.select(*[f"`{c}`" for c in names]).schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.IntegerType())])
+    return out.mapInArrow(releasing(_without(names.index(text_col))), schema)

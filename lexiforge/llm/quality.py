@@ -10,12 +10,11 @@ bounded sample of labelled documents; scoring reads every passage of every text.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, release, releasing, running, span_hash, words
+from .common import LOWER, chunks, releasing, running, span_hash, words
 
 PASSAGE = 64
 _GROUPS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".", ",;:", "!?", "#$%&*@^~+=<>_", "|\\/", "'\"()[]{}-`")
@@ -221,21 +220,24 @@ def score_quality(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(releasing(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
-def score_column(docs: DataFrame, model, text_col: str = "text"):
-    """The score as a column of ``docs`` itself, so that nothing is joined back."""
+def keep_quality(docs: DataFrame, model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores ``threshold`` at least; nothing is joined back.
+
+    Null text scores as an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def run(batches):
         m = shared.value
-        out = np.full(len(text), m if isinstance(m, float) else 0.0)
-        if not isinstance(m, float) and len(text):
-            for row, f, bound in passages(pa.array(text, pa.string())):
-                out[row : row + len(bound) - 1] = m.scores(f, bound)
-        release()
-        return pd.Series(out)
-
-    return score(F.col(text_col))
+        for b in batches:
+            score = np.full(b.num_rows, m if isinstance(m, float) else 0.0)
+            if not isinstance(m, float):
+                for row, f, bound in passages(b.column(at)):
+                    score[row : row + len(bound) - 1] = m.scores(f, bound)
+            yield b.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -21,13 +21,13 @@ row for each task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, running, semi, span_hash, words, written
+from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, replaced, running, semi, span_hash, words, written
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
@@ -176,7 +176,7 @@ _SPANS = pa.schema([("hash", pa.int64()), ("salt", pa.int64()), ("id", pa.int64(
 _COUNT = -1
 
 
-def _spans(min_words: int, least: int, long: int, held: int = 500_000):
+def _spans(min_words: int, least: int, long: int, held: int = 200_000):
     def flush(parts):
         h, i, a, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((n, a, i, h))
@@ -272,15 +272,16 @@ def _around(passage: int, long: int):
     return run
 
 
-def _alike(x: pd.Series, y: pd.Series) -> pd.Series:
-    """How many leading words are equal."""
-    out = np.zeros(len(x), np.int32)
-    for k, (s, t) in enumerate(zip(x, y)):
-        a, b = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)
-        n = min(len(a), len(b))
-        other = np.flatnonzero(a[:n] != b[:n])
-        out[k] = other[0] if len(other) else n
-    return pd.Series(out)
+def _alike(batches):
+    """Rows whose last two columns are words' hashes: how many leading ones are equal takes their place."""
+    for b in batches:
+        out = np.zeros(b.num_rows, np.int32)
+        for k, (s, t) in enumerate(zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1))):
+            x, y = np.frombuffer(s.as_buffer(), np.uint32), np.frombuffer(t.as_buffer(), np.uint32)
+            n = min(len(x), len(y))
+            other = np.flatnonzero(x[:n] != y[:n])
+            out[k] = other[0] if len(other) else n
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], names=[*b.schema.names[:-2], "more"])
 
 
 def _long_enough(docs: DataFrame, gone: DataFrame, passage: int, long: int, id_col: str, text_col: str) -> DataFrame:
@@ -299,34 +300,45 @@ def _long_enough(docs: DataFrame, gone: DataFrame, passage: int, long: int, id_c
     around = written(around, "span-around")
     there = around.select(F.col("id").alias("id2"), F.col("at").alias("at2"), "side", F.col("around").alias("around2"))
     both = ends.join(around, ["id", "at", "side"]).join(there, ["id2", "at2", "side"])
-    more = both.select("id", "a", "z", "side", "at", F.pandas_udf(_alike, "int")("around", "around2").alias("more"))
+    more = both.select("id", "a", "z", "side", "at", "around", "around2").mapInArrow(releasing(_alike), "id long, a int, z int, side int, at int, more int")
     more = more.groupBy("id", "a", "z").agg(F.max(F.when(F.col("side") == 1, F.col("at") + F.col("more"))).alias("to"), F.min(F.when(F.col("side") == 0, F.col("at") - F.col("more"))).alias("since"))
     return sure.unionByName(more.where(F.col("to") - F.col("since") >= passage).select("id", F.col("a").alias("at"), (F.col("z") - F.col("a")).alias("n")))
 
 
-def _rewrite(long: int):
-    """The texts of the documents that lose something, without the units that begin inside a run; their number of lost units."""
+def _shorter(text: str, gone: list[dict], long: int) -> tuple[str, int]:
+    """The text without the units that begin inside a run (runs count words), and how many those are."""
+    if not text:
+        return text, 0
+    _, data, off = next(chunks(pa.array([text], pa.string())))
+    start, _, _, _, unit = units(data, off, long)
+    n = len(unit)
+    change = np.zeros(n + 1, np.int64)
+    for r in gone:
+        a, z = np.searchsorted(unit, [r["at"], r["at"] + r["n"]])
+        change[a] += 1
+        change[z] -= 1
+    keep = np.flatnonzero(np.cumsum(change)[:n] == 0)
+    if len(keep) == n:
+        return text, 0
+    raw, edge = data.tobytes(), np.append(start[unit], len(data))
+    return b"".join(raw[edge[i] : edge[i + 1]] for i in keep).decode("utf-8").rstrip(), n - len(keep)
+
+
+def _rewrite(text: int, long: int):
+    """Rows whose last two columns are the number of units and the runs that go; the number of lost units takes the latter's place."""
 
-    def rewrite(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out, lost = [None] * len(text), np.zeros(len(text), np.int64)
-        for k, (t, g) in enumerate(zip(text, gone)):
-            if t is None or g is None:
-                continue
-            _, data, off = next(chunks(pa.array([t], pa.string()))) if t else (0, np.zeros(0, np.uint8), np.zeros(2, np.int64))
-            start, _, _, _, unit = units(data, off, long)
-            n = len(unit)
-            change = np.zeros(n + 1, np.int64)
-            for r in g:  # runs count words
-                a, z = np.searchsorted(unit, [r["at"], r["at"] + r["n"]])
-                change[a] += 1
-                change[z] -= 1
-            keep = np.flatnonzero(np.cumsum(change)[:n] == 0)
-            lost[k] = n - len(keep)
-            raw, edge = data.tobytes(), np.append(start[unit], len(data))
-            out[k] = b"".join(raw[edge[i] : edge[i + 1]] for i in keep).decode("utf-8").rstrip() if lost[k] else t
-        return pd.DataFrame({"text": out, "n_removed": lost})
+    def run(batches):
+        for b in batches:
+            gone, new, lost = b.column(b.num_columns - 1), {}, np.zeros(b.num_rows, np.int64)
+            for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)):
+                if b.column(text)[k].is_valid:
+                    new[int(k)], lost[k] = _shorter(b.column(text)[k].as_py(), gone[k].as_py(), long)
+            columns = list(b.columns)
+            columns[text] = replaced(columns[text], new)
+            columns[-1] = pa.array(lost)
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-2], "n_units", "n_removed"])
 
-    return rewrite
+    return run
 
 
 #: The shortest passage that the registered queries remove.
@@ -355,12 +367,9 @@ def dedup_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int
              .unionByName(gone.select("id", F.lit(0).alias("n"), F.struct("at", "n").alias("gone")))
              .groupBy(F.col("id").alias("__span_id")).agg(F.max("n").alias("__span_n"), F.collect_list("gone").alias("__span_gone")))
     about = about.withColumn("__span_gone", F.expr("if(size(__span_gone) > 0, __span_gone, null)"))
-    fix = F.pandas_udf(_rewrite(long), "text string, n_removed long")
     names = [c for c in docs.columns if c not in ("n_units", "n_removed")]
-    out = docs.select(*[f"`{c}`" for c in names]).join(about, F.col(id_col).cast("long") == F.col("__span_id"), "left")
-    # Only texts that lose something go through Python.
-    loses = F.col("__span_gone").isNotNull() & F.col(text_col).isNotNull()
-    out = out.withColumn("__span_new", fix(F.when(loses, F.col(text_col)), F.col("__span_gone")))
-    text = F.when(loses, F.col("__span_new.text")).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.coalesce("__span_n", F.lit(0)).cast("long").alias("n_units"),
-                      F.when(loses, F.col("__span_new.n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
+    own = docs.select(*[f"`{c}`" for c in names])
+    out = own.join(about, F.col(id_col).cast("long") == F.col("__span_id"), "left")
+    out = out.select(*[f"`{c}`" for c in names], F.coalesce("__span_n", F.lit(0)).cast("long").alias("__span_n"), "__span_gone")
+    schema = T.StructType([*own.schema, T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return out.mapInArrow(releasing(_rewrite(names.index(text_col), long)), schema)
