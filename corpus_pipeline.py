@@ -1,8 +1,10 @@
 """A corpus pipeline: quality, lines, near duplicates, passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept;
-all but the last return the columns of ``documents``. Where a stage changes a text,
-``n_chars`` follows it.
+all but the last return the columns of ``documents``, further columns included. Where a stage changes a text,
+``n_chars`` follows it. In every stage null text counts as an empty one and stays null, whole texts
+of any length are read, ties go to the smaller id, rows given twice are treated alike, rows with a null id are matched
+with nothing and stay, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from lexiforge.llm.common import semi, written
 from lexiforge.llm.line_dedup import dedup_lines
 from lexiforge.llm.ngram_join import ngram_components
 from lexiforge.llm.packing import pack_documents
-from lexiforge.llm.quality import held_out, score_column, train
+from lexiforge.llm.quality import held_out, keep_quality, train
 from lexiforge.llm.queries import BYTE_BPE, tokenizer
 from lexiforge.llm.span_dedup import PASSAGE, dedup_spans
 from lexiforge.session import ship
@@ -25,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(~held_out()))
-    return docs.withColumn("__score", score_column(docs, model)).where("__score >= 0.3").drop("__score")
+    return keep_quality(docs, model, 0.3)
 
 
 def _rewritten(docs: DataFrame, new: DataFrame) -> DataFrame:
