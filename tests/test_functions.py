@@ -73,13 +73,19 @@ def test_shield():
     masked, kept = U.masked_of(t, {"Bern": "Berne", "University of Bern": "Uni"})
     assert "http" not in masked and "me@x" not in masked and "[the site" in masked and "Bern" not in masked
     assert U.unmasked_of(masked, kept) == t.replace("University of Bern", "Uni").replace("and Bern,", "and Berne,")
-    assert U.unmasked_of("\x02TL_9\x03", []) == "\x02TL_9\x03"
-
-
-def test_chunks_and_reflow():
-    assert U.sentence_chunks_of("A b. C d.\n\nE.", 6) == ["A b.", "C d.", "E."]
-    assert U.sentence_chunks_of("x" * 10, 4) == ["xxxx", "xxxx", "xx"] and U.sentence_chunks_of("") == []
-    assert U.break_chunks_of("aaa\n\nbbb\nccc", 8) == ["aaa", "bbb", "ccc"] or "".join(U.break_chunks_of("aaa\n\nbbb\nccc", 8)).replace("\n", "") == "aaabbbccc"
+    assert U.unmasked_of("\ue0009\ue001", []) == "\ue0009\ue001"
+    code = "a\n```py\nx = 'http://a.b'\n```\nb"
+    assert U.masked_of(code)[1] == ["```py\nx = 'http://a.b'\n```"] and U.unmasked_of(*U.masked_of(code)) == code
+    assert U.masked_of("![i](u) <b>x</b> \\(y\\) /usr/lib/x %(n)s 5 $ and 6 $")[1] == ["![i](u)", "<b>", "</b>", "\\(y\\)", "/usr/lib/x", "%(n)s"]
+
+
+def test_chunks_and_reflow(spark):
+    chunks = lambda t, n: of(spark, lambda c: U.sentence_chunks(c, n), t)
+    assert chunks("A b. C d.\n\nE.", 6) == ["A b.", "C d.", "E."] and chunks("A b. C d.\n\nE.", 9) == ["A b. C d.", "E."]
+    assert chunks("x" * 10, 4) == ["xxxx", "xxxx", "xx"] and chunks("", 4) == [] and chunks(None, 4) == []
+    breaks = lambda t, n: of(spark, lambda c: U.break_chunks(c, n), t)
+    assert breaks("aaa\n\nbbb\nccc", 8) == ["aaa", "bbb", "ccc"] and breaks("abcdefgh", 3) == ["abc", "def", "gh"]
+    assert breaks("aaa\nbbb\nccc", 9) == ["aaa\nbbb", "ccc"] and breaks("", 3) == [] and breaks(None, 3) == []
     assert U.split_by_shares_of("one two three four", [1, 1]) == ["one two three", "four"] or len(U.split_by_shares_of("one two three four", [1, 1])) == 2
     t = "This is a wrap-\nped line that\ngoes on.\nNew one\n\n- item\ncontinues\n```\ncode a\nb\n```"
     once = U.reflowed_of(t)
