@@ -68,7 +68,7 @@ def text_options(text: Column) -> Column:
     """Options of a line of glyphs and labels: (state, label); a bare glyph is ``option i``."""
     glyph = f"[{X.CHECKED_GLYPHS}{X.UNCHECKED_GLYPHS}]"
     parts = F.regexp_extract_all(text, F.lit(f"({glyph}[^{X.CHECKED_GLYPHS}{X.UNCHECKED_GLYPHS}]*)"), F.lit(1))
-    label = lambda p: F.regexp_replace(F.substring(p, 2, 10_000), r"^[\s|:;,\-]+|[\s|:;,\-]+$", "")
+    label = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?s)^.", ""), r"^[\s|:;,\-]+|[\s|:;,\-]+$", "")
     return F.transform(parts, lambda p, i: F.struct(F.when(F.substring(p, 1, 1).rlike(f"[{X.CHECKED_GLYPHS}]"), "checked").otherwise("unchecked").alias("state"),
                                                     F.when(label(p) == "", F.concat(F.lit("option "), (i + 1).cast("string"))).otherwise(label(p)).alias("label")))
 

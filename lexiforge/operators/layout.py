@@ -49,38 +49,47 @@ def regions_of(pages: DataFrame) -> DataFrame:
     return rows.select("page_number", F.format_string("p%d_r%03d", "page_number", F.col("i") + 1).alias("region_id"), "type", "content", "box", "reading_order", F.when(F.col("best.iou") >= 0.3, F.col("best.score")).alias("score"))
 
 
+def place_of(*frames: DataFrame) -> list[str]:
+    """The columns that say which page of which document a row is of: ``document`` counts where all frames have it."""
+    return ["document", "page"] if all("document" in f.columns for f in frames) else ["page"]
+
+
 def words_in_regions(words: DataFrame, regions: DataFrame, margin: float = 0.02) -> DataFrame:
     """Each word in the first region, in reading order, that holds its centre; words in none are left out."""
+    at = place_of(words, regions)
     b, r = F.col("bbox"), F.col("box")
     cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
     mx, my = F.greatest(F.lit(1.0), (r[2] - r[0]) * margin), F.greatest(F.lit(1.0), (r[3] - r[1]) * margin)
-    hit = words.join(regions.select("page", "region_id", "reading_order", "box"), "page").where((cx >= r[0] - mx) & (cx <= r[2] + mx) & (cy >= r[1] - my) & (cy <= r[3] + my))
-    first = F.row_number().over(W.partitionBy("page", "word_id").orderBy("reading_order", "region_id"))
-    return hit.withColumn("__r", first).where("__r = 1").select("page", "word_id", "region_id")
+    hit = words.join(regions.select(*at, "region_id", "reading_order", "box"), at).where((cx >= r[0] - mx) & (cx <= r[2] + mx) & (cy >= r[1] - my) & (cy <= r[3] + my))
+    first = F.row_number().over(W.partitionBy(*at, "word_id").orderBy("reading_order", "region_id"))
+    return hit.withColumn("__r", first).where("__r = 1").select(*at, "word_id", "region_id")
 
 
 def controls_in_sections(controls: DataFrame, sections: DataFrame) -> DataFrame:
     """The first section that holds a control's centre."""
+    at = place_of(controls, sections)
     b, s = F.col("bbox"), F.col("box")
     cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-    hit = controls.join(sections, "page").where((cx >= s[0]) & (cx <= s[2]) & (cy >= s[1]) & (cy <= s[3]))
-    return hit.groupBy("page", "control_id").agg(F.min_by("section_id", "ord").alias("section_id"))
+    hit = controls.join(sections, at).where((cx >= s[0]) & (cx <= s[2]) & (cy >= s[1]) & (cy <= s[3]))
+    return hit.groupBy(*at, "control_id").agg(F.min_by("section_id", "ord").alias("section_id"))
 
 
 def nearest_labels(controls: DataFrame, blocks: DataFrame, gap: float, band: float = 0.8) -> DataFrame:
     """The nearest text on a control's line that begins within ``gap`` to its right (or covers it); ties: the first block."""
+    at = place_of(controls, blocks)
     c, b = F.col("bbox"), F.col("box")
     mid, high = (c[1] + c[3]) / 2, F.greatest(F.lit(1.0), c[3] - c[1])
-    near = controls.join(blocks, "page").where((b[3] >= mid - high * band) & (b[1] <= mid + high * band) & (b[2] > c[0]) & (b[0] <= c[2] + gap))
-    return near.groupBy("page", "control_id").agg(F.min_by("text", F.struct(F.greatest(F.lit(0.0), b[0] - c[2]), "ord")).alias("label"))
+    near = controls.join(blocks, at).where((b[3] >= mid - high * band) & (b[1] <= mid + high * band) & (b[2] > c[0]) & (b[0] <= c[2] + gap))
+    return near.groupBy(*at, "control_id").agg(F.min_by("text", F.struct(F.greatest(F.lit(0.0), b[0] - c[2]), "ord")).alias("label"))
 
 
 def grids(tables: DataFrame, controls: DataFrame, least: int = 2) -> DataFrame:
     """Table regions that hold the centres of at least ``least`` controls, and whether all of those are labelled."""
+    at = place_of(tables, controls)
     b, t = F.col("bbox"), F.col("box")
     cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-    hit = tables.join(controls, "page").where((cx >= t[0]) & (cx <= t[2]) & (cy >= t[1]) & (cy <= t[3]))
-    return hit.groupBy("page", "region_id").agg(F.count("*").alias("controls"), F.bool_and(F.coalesce("label", F.lit("")) != "").alias("labelled")).where(F.col("controls") >= least)
+    hit = tables.join(controls, at).where((cx >= t[0]) & (cx <= t[2]) & (cy >= t[1]) & (cy <= t[3]))
+    return hit.groupBy(*at, "region_id").agg(F.count("*").alias("controls"), F.bool_and(F.coalesce("label", F.lit("")) != "").alias("labelled")).where(F.col("controls") >= least)
 
 
 def page_stream(regions: DataFrame, groups: DataFrame) -> DataFrame:
@@ -89,14 +98,15 @@ def page_stream(regions: DataFrame, groups: DataFrame) -> DataFrame:
     A group follows the last region that it overlaps, else the last one above it, else all; check boxes
     that a group covers by half are left out.
     """
-    r = regions.select("page", "region_id", "type", "reading_order", F.col("box").alias("rb"))
-    both = groups.select("page", "group_id", F.col("box").alias("gb")).join(r, "page", "left")
-    place = both.groupBy("page", "group_id").agg(F.max(F.when(G.covered(F.col("rb"), F.col("gb")) > 0, F.col("reading_order"))).alias("over"), F.max(F.when(F.col("rb")[3] <= F.col("gb")[1], F.col("reading_order"))).alias("above"))
-    place = place.select("page", F.col("group_id").alias("item"), F.lit("form_group").alias("kind"), F.coalesce("over", "above", F.lit(2**31 - 1)).alias("at"), F.lit(1).alias("after"))
-    hidden = both.where((F.col("type") == "checkbox") & (G.covered(F.col("rb"), F.col("gb")) >= 0.5)).select("page", "region_id").distinct()
-    shown = r.join(hidden, ["page", "region_id"], "left_anti").select("page", F.col("region_id").alias("item"), F.lit("region").alias("kind"), F.col("reading_order").alias("at"), F.lit(0).alias("after"))
-    order = W.partitionBy("page").orderBy("at", "after", "item")
-    return shown.unionByName(place).withColumn("position", F.row_number().over(order)).select("page", "position", "kind", "item")
+    at = place_of(regions, groups)
+    r = regions.select(*at, "region_id", "type", "reading_order", F.col("box").alias("rb"))
+    both = groups.select(*at, "group_id", F.col("box").alias("gb")).join(r, at, "left")
+    place = both.groupBy(*at, "group_id").agg(F.max(F.when(G.covered(F.col("rb"), F.col("gb")) > 0, F.col("reading_order"))).alias("over"), F.max(F.when(F.col("rb")[3] <= F.col("gb")[1], F.col("reading_order"))).alias("above"))
+    place = place.select(*at, F.col("group_id").alias("item"), F.lit("form_group").alias("kind"), F.coalesce("over", "above", F.lit(2**31 - 1)).alias("at"), F.lit(1).alias("after"))
+    hidden = both.where((F.col("type") == "checkbox") & (G.covered(F.col("rb"), F.col("gb")) >= 0.5)).select(*at, "region_id").distinct()
+    shown = r.join(hidden, [*at, "region_id"], "left_anti").select(*at, F.col("region_id").alias("item"), F.lit("region").alias("kind"), F.col("reading_order").alias("at"), F.lit(0).alias("after"))
+    order = W.partitionBy(*at).orderBy("at", "after", "item")
+    return shown.unionByName(place).withColumn("position", F.row_number().over(order)).select(*at, "position", "kind", "item")
 
 
 def markdown(regions: DataFrame) -> DataFrame:
@@ -115,7 +125,7 @@ def plain(regions: DataFrame) -> DataFrame:
 
 def _ordered(rows: DataFrame) -> DataFrame:
     items = F.array_sort(F.collect_list(F.struct("reading_order", "region_id", F.col("__b").alias("b"))))
-    return rows.where("__b <> ''").groupBy("page").agg(F.array_join(F.transform(items, lambda s: s["b"]), "\n\n").alias("text"))
+    return rows.where("__b <> ''").groupBy(*place_of(rows)).agg(F.array_join(F.transform(items, lambda s: s["b"]), "\n\n").alias("text"))
 
 
 def region_counts(regions: DataFrame, by: str = "page") -> DataFrame:
@@ -126,9 +136,10 @@ def region_counts(regions: DataFrame, by: str = "page") -> DataFrame:
 def reading_order(controls: DataFrame) -> DataFrame:
     """By line (centre over the page's median height, rounded half to even), then from the left."""
     b = F.col("bbox")
-    tall = controls.groupBy("page").agg(F.median(b[3] - b[1]).alias("__h"))
+    at = place_of(controls)
+    tall = F.median(b[3] - b[1]).over(W.partitionBy(*at))  # of one page
     line = F.bround((b[1] + b[3]) / 2 / F.greatest(F.lit(1.0), F.col("__h")), 0)
-    return controls.join(F.broadcast(tall), "page").withColumn("position", F.row_number().over(W.partitionBy("page").orderBy(line, b[0], "control_id"))).drop("__h")
+    return controls.withColumn("__h", tall).withColumn("position", F.row_number().over(W.partitionBy(*at).orderBy(line, b[0], "control_id"))).drop("__h")
 
 
 def _rows(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -198,7 +198,7 @@ def topics_over_time(rows: DataFrame, topic: str, stamp: str, unit: str = "month
 
 
 # Phrases of errors that mean a corpus is too small.
-SMALL_CORPUS_SIGNS = ["n_neighbors", "k must be", "min_cluster_size", "zero-size array", "n_samples", "scipy.linalg.eigh", "need at least one array"]
+SMALL_CORPUS_SIGNS = ["need at least one array to concatenate", "k >= n", "found array with 0 sample"]
 
 
 def is_small_corpus_error(message) -> F.Column:

@@ -15,22 +15,48 @@ MEMBERS, MEMBER_BYTES, TOTAL_BYTES, RATIO = 1000, 500 << 20, 1 << 30, 200
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema=None) -> DataFrame:
-    """Delimited text with a header; UTF-8, or Latin-1 where a file isn't valid UTF-8.
+    """Delimited text with a header; each file is UTF-8, or Latin-1 where its bytes aren't valid UTF-8.
 
-    Validity is checked in the files' bytes, in parallel.
+    Lines are checked in parallel; files of either kind are read together. Where inferred types
+    differ between the two kinds, the column is text.
     """
-    raw = spark.read.format("binaryFile").load(path)
-    odd = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", "ISO-8859-1" if odd else "UTF-8")
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    kinds = lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect()  # a row for each file, which a scan's driver lists too
+    frames = []
+    for ok, encoding in ((True, "UTF-8"), (False, "ISO-8859-1")):
+        if files := [r["file"] for r in kinds if r["ok"] == ok]:
+            reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
+            frames.append((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(files))
+    if not frames:
+        return spark.read.option("header", True).option("sep", separator).csv(path)
+    return _together(frames)
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    """The rows of one or two frames by column name; a column of two types becomes text."""
+    if len(frames) == 1:
+        return frames[0]
+    kinds = [dict(f.dtypes) for f in frames]
+    mixed = {c for c, k in kinds[0].items() if kinds[1].get(c, k) != k}
+    cast = lambda f: f.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in f.columns])
+    return cast(frames[0]).unionByName(cast(frames[1]), allowMissingColumns=True)
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON lines; whole documents where any line is broken as JSON."""
-    df = (spark.read.schema(schema) if schema else spark.read).json(path)
-    if schema is None and "_corrupt_record" in df.columns:
-        df = spark.read.option("multiLine", True).json(path)
-    return df
+    """Each file as JSON lines, or as one document where none of its lines is an object of its own.
+
+    A broken line of a file of JSON lines is a row with ``_corrupt_record``; its other lines are read as ever.
+    """
+    line = F.trim(F.col("value"))
+    object_ = line.startswith("{") & line.endswith("}") & F.get_json_object("value", "$").isNotNull()
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), object_.alias("own"), line.startswith("[").alias("list"))
+    kinds = rows.groupBy("file").agg((F.bool_or("own") & ~F.bool_or("list")).alias("lines")).collect()  # a row for each file
+    reader = spark.read.schema(schema) if schema else spark.read
+    frames = []
+    for lines in (True, False):
+        if files := [r["file"] for r in kinds if r["lines"] == lines]:
+            frames.append(reader.option("multiLine", not lines).json(files))
+    return _together(frames) if frames else reader.json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -153,8 +179,25 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _DOC = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def sheet_rows_of(content: bytes, most: int = 300_000) -> list[list[str | None]]:
-    """A2: cell texts of a workbook's first sheet, row by row; the first row is its header."""
+def _active_sheet(z: zipfile.ZipFile) -> str:
+    """The member of a workbook's active sheet; without a workbook part, of the first by number."""
+    import re
+    from xml.etree import ElementTree
+
+    names = [n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    try:
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        view = next(book.iter(f"{_MAIN}workbookView"), None)
+        sheet = list(book.iter(f"{_MAIN}sheet"))[int(view.get("activeTab", 0)) if view is not None else 0]
+        target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+        return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    except (KeyError, IndexError, StopIteration):
+        return min(names, key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
+def sheet_rows_of(content: bytes, most: int | None = None) -> list[list[str | None]]:
+    """A2: cell texts of a workbook's active sheet, row by row; the first row is its header. ``most``: rows to stop after."""
     import re
     from xml.etree import ElementTree
 
@@ -163,7 +206,7 @@ def sheet_rows_of(content: bytes, most: int = 300_000) -> list[list[str | None]]
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        sheet = _active_sheet(z)
         out = []
         with z.open(sheet) as f:
             for _, row in ElementTree.iterparse(f):
@@ -180,12 +223,12 @@ def sheet_rows_of(content: bytes, most: int = 300_000) -> list[list[str | None]]
                     cells.append(shared[int(v.text)] if kind == "s" and v is not None else text if kind == "inlineStr" else v.text if v is not None else None)
                 out.append(cells)
                 row.clear()
-                if len(out) > most:
+                if most is not None and len(out) > most:
                     break
     return out
 
 
-def read_sheets(spark: SparkSession, path: str, most: int = 300_000) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """A2: workbooks as ``(path, row, cells array<string>)``; row 0 is the header. A bad file has one row with null cells."""
 
     def rows(frames):

@@ -36,20 +36,31 @@ def write_corpus(rows: DataFrame, path: str) -> None:
 
 
 def replace_parquet(df: DataFrame, path: str, backup: str | None = None) -> None:
-    """B2: written aside, then moved into place, the old one to ``backup``: readers never see half a table."""
+    """B2: written aside, then moved into place, the old one to ``backup``.
+
+    Readers never see half a table; for a moment between the two moves they may see none. A move that fails is an
+    error, and the old table is then moved back.
+    """
     spark = df.sparkSession
     new = f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.parquet(new)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     old, aside = hadoop(path), hadoop(new)
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        if backup:
-            fs.delete(hadoop(backup), True)
-            fs.rename(old, hadoop(backup))
-        else:
-            fs.delete(old, True)
-    fs.rename(aside, old)
+    before = hadoop(f"{path}.{uuid.uuid4().hex}.old")
+    had = fs.exists(old)
+    if had and not fs.rename(old, before):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(aside, old):
+        if had:
+            fs.rename(before, old)
+        raise OSError(f"{new} can't be moved to {path}")
+    if had and backup:
+        fs.delete(hadoop(backup), True)
+        if not fs.rename(before, hadoop(backup)):
+            raise OSError(f"the old table stays at {before}")
+    elif had:
+        fs.delete(before, True)
 
 
 def write_template(controls: DataFrame, path: str) -> None:
