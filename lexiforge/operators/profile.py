@@ -96,10 +96,18 @@ def column_profile(df: DataFrame) -> DataFrame:
         F.min(F.when(seen, F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))))["v"].alias("most_frequent"))
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, by: str | None = None) -> DataFrame:
-    """Rows in each of ``bins`` equal bins of [low, high], the last one closed; optionally split."""
+def histogram(df: DataFrame, column: str, bins: int, by: str | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Rows in each of ``bins`` equal bins of [low, high], the last one closed; optionally split.
+
+    Without bounds they are the column's least and greatest finite values.
+    """
     x = F.col(column).cast("double")
-    width = (high - low) / bins
+    if low is None or high is None:
+        ends = df.where(~F.isnan(x) & (F.abs(x) != float("inf"))).agg(F.min(x).alias("a"), F.max(x).alias("z")).first()
+        low, high = ends["a"] if low is None else low, ends["z"] if high is None else high
+        if low is None:
+            low = high = 0.0  # no values: no bins
+    width = (high - low) / bins or 1.0
     at = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int").alias("bin")
     keys = [at] + ([F.col(by)] if by else [])
     return df.where((x >= low) & (x <= high)).groupBy(*keys).agg(F.count("*").alias("n"))

@@ -84,6 +84,11 @@ def worst_registration(documents: DataFrame, column: str = "registration") -> Da
     return documents.select("document", F.round(F.coalesce(F.array_min(F.map_values(column)), F.lit(0.0)), 3).alias("registration"))
 
 
+def registrations(pages: DataFrame) -> DataFrame:
+    """E16 over long rows ``(document, registration)``, one for each page: the lowest of each document, combined before the shuffle."""
+    return pages.groupBy("document").agg(F.round(F.coalesce(F.min("registration"), F.lit(0.0)), 3).alias("registration"))
+
+
 def overview(readings: DataFrame, controls: DataFrame) -> DataFrame:
     """Each answer row: options, who marked any of them, its controls."""
     marked = readings.where("state = 'checked'").join(F.broadcast(controls.select("control_id", "row_id")), "control_id").groupBy("row_id").agg(F.count_distinct("document").alias("answered_by"))

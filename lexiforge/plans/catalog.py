@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus, marts, more, tables
+from . import corpus, marts, more, pages, tables
 
 FLAGSHIP = "h_class_tfidf"
-QUERIES: dict = {**tables.R.queries, **corpus.R.queries, **marts.R.queries, **more.R.queries}
-ORACLE: dict[str, str] = {**tables.R.oracle, **corpus.R.oracle, **marts.R.oracle, **more.R.oracle}
+QUERIES: dict = {**tables.R.queries, **corpus.R.queries, **marts.R.queries, **more.R.queries, **pages.R.queries}
+ORACLE: dict[str, str] = {**tables.R.oracle, **corpus.R.oracle, **marts.R.oracle, **more.R.oracle, **pages.R.oracle}

@@ -100,22 +100,21 @@ def c_overlong(spark, d):
     return T.overlong(table(spark, d, "documents"))
 
 
-@R.query(r"""select doc_id, len(list_filter(list_transform(string_split(regexp_replace(trim(text, chr(10) || ' '), '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) as sentences from documents""")
+@R.query(r"""select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(text, chr(10) || ' '), '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), '|') as sentences from documents""")
 def i_sentences(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.sentences(F.col("text")), "|").alias("sentences"))
 
 
-@R.query(r"select doc_id, len(regexp_extract_all(text, '(\n+|[^\n]+)')) as parts, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) = '')) as blank from documents")
+@R.query(r"select doc_id, array_to_string(regexp_extract_all(text, '(\n+|[^\n]+)'), '|') as parts from documents")
 def i_line_parts(spark, d):
-    lines = F.split("text", "\n", -1)
-    return table(spark, d, "documents").select("doc_id", F.size(X.line_parts(F.col("text"))).alias("parts"), F.size(F.filter(lines, lambda x: F.trim(x) == "")).alias("blank"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.line_parts(F.col("text")), "|").alias("parts"))
 
 
-@R.query(r"""select page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'))) as plain_chars, len(regexp_extract_all(html, '(?i)<p\b')) as paragraphs from pages""")
+@R.query(r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) as plain, len(regexp_extract_all(html, '(?i)<p\b')) as paragraphs from pages""")
 def i_html_plain(spark, d):
     h = F.col("html")
-    return table(spark, d, "pages").select("page_id", F.length(X.html_plain(h)).alias("plain_chars"), F.regexp_count(h, F.lit(r"(?i)<p\b")).alias("paragraphs"))
+    return table(spark, d, "pages").select("page_id", X.html_plain(h).alias("plain"), F.regexp_count(h, F.lit(r"(?i)<p\b")).alias("paragraphs"))
 
 
 @R.query(r"""with b as (select page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<(h1|p|li|a)\b[^>]*>', 1)) as tag from pages)
@@ -140,23 +139,38 @@ def f_break_chunks(spark, d):
     return chunks.select("doc_id", "chunk", F.length("text").alias("chars"))
 
 
-@R.query("select doc_id, true as same from documents")
-def p_shield_round_trip(spark, d):
-    rows = table(spark, d, "documents").withColumn("m", U.mask("text"))
-    return rows.select("doc_id", (U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text")).alias("same"))
+# The text's own dollars, slashes and brackets go, so that both sides read the same spans behind a known head.
+_HEAD = ("Read [page ", "](http://a.b/", ") and `x_", "` or {slot} ")
+_SPANS = r"(`[^`\n]+`|</?[A-Za-z][^>]*>|www\.\S+|[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+|\{[A-Za-z_][\w.]*\}|%\([^)]+\)[sdif]|%[\-0-9.+ #]*[sdifxXoeEgG])"
 
 
-@R.query("select doc_id, true as stable from documents")
+@R.query(f"""with t as (select doc_id, translate(coalesce(text, ''), '$\\/[]', '     ') as t from documents)
+select doc_id, array_to_string(list_concat(['](http://a.b/' || doc_id || ')', '`x_' || doc_id || '`', '{{slot}}'], regexp_extract_all(t, '{_SPANS}')), chr(1)) as kept, true as same from t""")
+def p_shield_round_trip(spark, d):
+    n = F.col("doc_id").cast("string")
+    head = F.concat(F.lit(_HEAD[0]), n, F.lit(_HEAD[1]), n, F.lit(_HEAD[2]), n, F.lit(_HEAD[3]))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(head, F.translate(F.coalesce("text", F.lit("")), "$\\/[]", "     ")).alias("text")).withColumn("m", U.mask("text"))
+    return rows.select("doc_id", F.array_join("m.kept", "\x01").alias("kept"), (U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text")).alias("same"))
+
+
+@R.query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+k as (select *, case when regexp_full_match(line, '\s*') or regexp_matches(line, '^(\s*(`{3}|~{3})| {0,3}#{1,6}\s|\s*([-*+]|\d+[.)])\s|\s*>|\s*\|| {4}|\t)') or regexp_matches(line, '^ {0,3}((-\s*){3,}|(\*\s*){3,}|(_\s*){3,})$') then 'other' else 'prose' end as kind from l),
+g as (select *, lag(kind) over (partition by doc_id order by i) as pk, lag(line) over (partition by doc_id order by i) as pl from k),
+b as (select *, sum(case when kind = 'prose' and pk = 'prose' and not regexp_matches(pl, '(  |[.!?:;。！？…][\]''")»”’]*\s*)$') then 0 else 1 end) over (partition by doc_id order by i) as block from g),
+f as (select *, min(i) over (partition by doc_id, block) as first, count(*) over (partition by doc_id, block) as n from b),
+j as (select doc_id, block, replace(regexp_replace(string_agg(case when n = 1 then line when i = first then regexp_replace(line, '\s+$', '') else regexp_replace(line, '^\s+|\s+$', '', 'g') end, chr(1) order by i), '-\x01(\p{Ll})', '\1', 'g'), chr(1), ' ') as line from f group by 1, 2),
+o as (select doc_id, string_agg(line, chr(10) order by block) as text from j group by 1)
+select documents.doc_id as doc_id, o.text as text, true as stable from documents left join o using (doc_id)""")
 def f_reflow(spark, d):
-    rows = table(spark, d, "documents").withColumn("once", U.reflowed("text"))
-    return rows.select("doc_id", (U.reflowed("once") == F.col("once")).alias("stable"))
+    rows = table(spark, d, "documents").select("doc_id", U.reflowed("text").alias("text"))
+    return rows.withColumn("stable", F.coalesce(U.reflowed("text") == F.col("text"), F.lit(True)))
 
 
-@R.query(r"""select doc_id, regexp_replace(doc_id::varchar || ' ' || substr(text, 1, 40), '[^A-Za-z0-9_.\-]+', '_', 'g') as slug, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]') as corrupt,
-lower(regexp_replace(substr(text, 1, 80), '[^\p{L}\p{N}_]', '', 'g')) as key from documents""")
+@R.query(r"""select doc_id, regexp_replace(doc_id::varchar || ' ' || text, '[^A-Za-z0-9_.\-]+', '_', 'g') as slug, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}]') as corrupt,
+lower(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) as key from documents""")
 def i_slugs(spark, d):
-    head = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.substring("text", 1, 40))
-    return table(spark, d, "documents").select("doc_id", X.slug(head).alias("slug"), X.is_corrupt(F.col("text")).alias("corrupt"), X.alphanumeric(F.substring("text", 1, 80)).alias("key"))
+    head = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.col("text"))
+    return table(spark, d, "documents").select("doc_id", X.slug(head).alias("slug"), X.is_corrupt(F.col("text")).alias("corrupt"), X.alphanumeric(F.col("text")).alias("key"))
 
 
 @R.query("select conv_id, string_agg('**' || upper(role[1]) || lower(role[2:]) || '**' || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as text from conversations group by 1")
@@ -185,4 +199,4 @@ def l_embedding_topics(spark, d):
 
 @R.query()
 def l_lda(spark, d):
-    return T.lda(table(spark, d, "documents").where("length(text) > 0"), 5, iterations=5)[1]
+    return T.lda(table(spark, d, "documents"), 5, iterations=5)[1]

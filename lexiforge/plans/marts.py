@@ -64,9 +64,9 @@ def g_review_queue(spark, d):
     return V.review_queue(V.long_table(_readings(spark, d), _controls(spark, d)))
 
 
-@R.query(f"with {READ}, few as (select * from rd where control_id like '%_0'), m as (select distinct control_id from few where state = 'checked') select control_id, page, row_id, label, row_id not in (select row_id from ctl where control_id in (select control_id from m)) as whole_row_unused from ctl where control_id not in (select control_id from m)")
+@R.query(f"with {READ}, m as (select distinct control_id from rd where state = 'checked' and score > 0.9) select control_id, page, row_id, label, row_id not in (select row_id from ctl where control_id in (select control_id from m)) as whole_row_unused from ctl where control_id not in (select control_id from m)")
 def e_unused_controls(spark, d):
-    return V.unused_controls(_readings(spark, d).where(F.col("control_id").endswith("_0")), _controls(spark, d))
+    return V.unused_controls(_readings(spark, d).withColumn("state", F.when(F.col("score") > 0.9, F.col("state")).otherwise("unchecked")), _controls(spark, d))
 
 
 @R.query(f"with {READ} select count(distinct document) as documents, count(*) // count(distinct document) as controls_per_document, count(*) filter (state = 'checked') as checked, count(*) filter (state = 'uncertain') as uncertain, round(count(*) filter (state = 'uncertain') * 1.0e0 / count(*), 4) as uncertain_rate from rd")
@@ -80,16 +80,16 @@ def e_survey_overview(spark, d):
     return V.overview(_readings(spark, d), _controls(spark, d))
 
 
-@R.query(f"""with {READ}, sht as (select document, row_id, case when document::int % 5 = 0 then '?' else 'l' || (document::int % 4) end as answer from ans where document::int % 3 = 0),
+@R.query(f"""with {READ}, sht as (select document, row_id, case when document::int % 5 = 0 then '?' else 'l' || (document::int % 4) end as answer from ans),
 s as (select a.document as document, a.row_id as row_id, answer, value, certainty::double as certainty, value in ('MULTIPLE', 'UNCERTAIN') as flagged, answer = '?' as human_unsure from ans a join sht using (document, row_id))
-select document, row_id, answer, value, certainty, flagged, human_unsure, (not flagged and answer <> '?' and lower(value) = answer) or (not flagged and answer = '?' and lower(value) = '' and false) as correct from s""")
+select document, row_id, answer, value, certainty, flagged, human_unsure, (not flagged and answer <> '?' and lower(value) = answer) as correct from s""")
 def j_score_sheet(spark, d):
     found = V.answers(V.complete(_readings(spark, d), _controls(spark, d)))
     n = F.col("document").cast("int")
-    sheet = found.where(n % 3 == 0).select("document", "row_id", F.when(n % 5 == 0, "?").otherwise(F.concat(F.lit("l"), (n % 4).cast("string"))).alias("answer"))
+    sheet = found.select("document", "row_id", F.when(n % 5 == 0, "?").otherwise(F.concat(F.lit("l"), (n % 4).cast("string"))).alias("answer"))
     options = _controls(spark, d).select("row_id", F.col("label").alias("option"))
     rows = V.scored(found, sheet, options)
-    return rows.select("document", "row_id", "answer", "value", "certainty", "flagged", "human_unsure", (F.col("correct") & ~F.col("human_unsure")).alias("correct"))
+    return rows.select("document", "row_id", "answer", "value", "certainty", "flagged", "human_unsure", "correct")
 
 
 # ------------------------------------------------------------------ graph

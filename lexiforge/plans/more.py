@@ -21,11 +21,11 @@ R = Registry()
 
 
 @R.query(r"""select doc_id, len(regexp_extract_all(text, '[\x{2200}-\x{22FF}\x{391}-\x{3C9}]')) >= 8 as math, regexp_matches(text, '[☑☒✓✔✗✘√●■▣▪◼✕⨯×☐□○◯▢▭▯❍◌◦]') as marked,
-length(trim(substr(text, 1, 70))) > 0 as labelled, len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w in ('ja', 'yes', 'oui'))) > 0 as yes from documents""")
+length(trim(text)) > 0 as labelled, len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w in ('ja', 'yes', 'oui'))) > 0 as yes from documents""")
 def c_text_flags(spark, d):
     t = F.col("text")
     words = F.split(F.lower(t), "[^a-z]+")
-    return table(spark, d, "documents").select("doc_id", O.math_page(t, F.array().cast("array<string>")).alias("math"), (F.size(X.mark_glyphs(t)) > 0).alias("marked"), (F.length(F.trim(F.substring(t, 1, 70))) > 0).alias("labelled"),
+    return table(spark, d, "documents").select("doc_id", O.math_page(t, F.array().cast("array<string>")).alias("math"), (F.size(X.mark_glyphs(t)) > 0).alias("marked"), (F.length(F.trim(t)) > 0).alias("labelled"),
                                                F.exists(words, lambda w: w.isin("ja", "yes", "oui")).alias("yes"))
 
 
@@ -67,8 +67,7 @@ def e_timings(spark, d):
 
 @R.query("select user_id::varchar as document, round(min(value), 3) as registration from events group by 1")
 def e_registration(spark, d):
-    e = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("document")).agg(F.map_from_entries(F.collect_list(F.struct("event_id", "value"))).alias("registration"))
-    return V.worst_registration(e)
+    return V.registrations(table(spark, d, "events").select(F.col("user_id").cast("string").alias("document"), F.col("value").alias("registration")))
 
 
 @R.query(f"""with {READ}, s as (select document, row_id, count(*) filter (state = 'checked') as c from ful group by 1, 2), w as (select document, row_id, min(control_id) as win from ful where state = 'checked' group by 1, 2)

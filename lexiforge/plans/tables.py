@@ -40,14 +40,14 @@ def e_column_profile(spark, d):
     return P.column_profile(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
 
 
-@R.query("select least(floor((o_totalprice - 0) / 25000.0e0), 19)::int as bin, count(*) as n from orders where o_totalprice between 0 and 500000 group by 1")
+@R.query("with m as (select min(o_totalprice)::double as a, max(o_totalprice)::double as z from orders) select least(floor((o_totalprice::double - a) / ((z - a) / 20)), 19)::int as bin, count(*) as n from orders, m where o_totalprice is not null group by 1")
 def e_histogram(spark, d):
-    return P.histogram(table(spark, d, "orders"), "o_totalprice", 0, 500_000, 20)
+    return P.histogram(table(spark, d, "orders"), "o_totalprice", 20)
 
 
-@R.query("select least(floor((o_totalprice - 0) / 50000.0e0), 9)::int as bin, o_orderpriority, count(*) as n from orders where o_totalprice between 0 and 500000 group by 1, 2")
+@R.query("with m as (select min(o_totalprice)::double as a, max(o_totalprice)::double as z from orders) select least(floor((o_totalprice::double - a) / ((z - a) / 10)), 9)::int as bin, o_orderpriority, count(*) as n from orders, m where o_totalprice is not null group by 1, 2")
 def s_histogram_by(spark, d):
-    return P.histogram(table(spark, d, "orders"), "o_totalprice", 0, 500_000, 10, "o_orderpriority")
+    return P.histogram(table(spark, d, "orders"), "o_totalprice", 10, "o_orderpriority")
 
 
 def _bars(how: str, sql: str, keys: list[str]):
