@@ -82,7 +82,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE), room=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents"), unit="line", seed=7, rate=100, spm=50)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing, op11_fill_in_middle)}
 #: SQL for what it can express; the others are tested against brute force, round trips or held-out labels.
 ORACLE: dict[str, str] = {
     "op2_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
@@ -95,4 +103,11 @@ e as (select doc_id, unnest(sh) as g from s), p as (select a.doc_id as a, b.doc_
 l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * c >= 85 * (len(x.sh) + len(y.sh) - c)), t as (select a, b from l union all select b, a from l),
 r(id, c) as (select doc_id, doc_id from s union select r.id, t.b from r join t on r.c = t.a), m as (select id, min(c) as component_id from r group by 1)
 select doc_id, len(sh) as n_shingles, component_id, case when len(sh) > 0 then count(*) over (partition by sh) else 0 end as n_copies from s join m on m.id = doc_id""",
+    "op11_fill_in_middle": r"""with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as us, ('0x' || h[1:8])::ubigint as h1, ('0x' || h[9:16])::ubigint as h2, ('0x' || h[17:24])::ubigint as h3, ('0x' || h[25:32])::ubigint as h4 from d),
+k as (select *, len(us) as n, least(h1 % (len(us) + 1), h2 % (len(us) + 1))::bigint as a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1))::bigint as b from u),
+f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+coalesce(array_to_string(us[1:a], ''), '') as p, coalesce(array_to_string(us[a + 1:b], ''), '') as m, coalesce(array_to_string(us[b + 1:], ''), '') as s from k)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(p || m || s) as restored_sha256 from f""",
 }
