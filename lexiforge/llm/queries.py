@@ -90,7 +90,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing, op11_fill_in_middle)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, covered=80, most=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing, op11_fill_in_middle, op13_collocations)}
 #: SQL for what it can express; the others are tested against brute force, round trips or held-out labels.
 ORACLE: dict[str, str] = {
     "op2_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
@@ -110,4 +116,11 @@ f as (select *, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or
 coalesce(array_to_string(us[1:a], ''), '') as p, coalesce(array_to_string(us[a + 1:b], ''), '') as m, coalesce(array_to_string(us[b + 1:], ''), '') as s from k)
 select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
 sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(p || m || s) as restored_sha256 from f""",
+    "op13_collocations": r"""with p as (select lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[ \t]+'), lambda x: x <> '') as ws
+from (select coalesce(lang, 'und') as lang, text from documents)), g as (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from p, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k),
+f as (select lang, ws[i:i + k - 1] as ph, k, count(*) as f from g group by 1, 2, 3), t as (select lang, sum(f)::bigint as n from f where k = 1 group by 1), c as (select * from f where k > 1 and f >= 30),
+q as (select c.lang as lang, c.ph as ph, c.k as k, c.f as a, x.f as l, y.f as r, (2000000::hugeint * c.f // (x.f + y.f))::bigint as score, j from (select *, unnest(range(1, k)) as j from c) c
+join f x on x.lang = c.lang and x.ph = c.ph[1:j] join f y on y.lang = c.lang and y.ph = c.ph[j + 1:]), b as (select * from q qualify row_number() over (partition by lang, ph order by score, j) = 1),
+d as (select * from b where not exists (select 1 from c z where z.lang = b.lang and z.k > b.k and 100::hugeint * z.f >= 80 * b.a and (z.ph[1:b.k] = b.ph or z.ph[2:b.k + 1] = b.ph or (z.k = 4 and z.ph[3:b.k + 2] = b.ph))))
+select lang, rank, phrase, a, l, r, n, score from (select lang, array_to_string(ph, ' ') as phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) as rank from d) join t using (lang) where rank <= 2000""",
 }
