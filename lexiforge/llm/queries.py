@@ -90,13 +90,20 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score_texts
+
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), held, sweeps=3, burn=1)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, covered=80, most=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing, op11_fill_in_middle, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_top_k, op3_license_scan, op4_sentencepiece, op5_quality_classifier, op6_nearest_neighbours, op7_ngram_jaccard_join, op8_substring_dedup, op9_sharding, op10_packing, op11_fill_in_middle, op12_pitman_yor, op13_collocations)}
 #: SQL for what it can express; the others are tested against brute force, round trips or held-out labels.
 ORACLE: dict[str, str] = {
     "op2_exact_top_k": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
