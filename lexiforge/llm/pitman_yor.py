@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, _remove, chunks, forget, mixed, releasing, running, shared_dir, span_hash, words, written
-from .packed import RUN, among, firsts, gathered, joined, n_ranges, pieces, range_of
+from .packed import RUN, among, firsts, gathered, joined, n_ranges, order_of, pieces, range_of
 
 #: Words that have a three-byte code in messages (the most frequent ones; 8 bytes each are broadcast). Others are sent whole.
 BOOK = 1 << 18
 OTHER = 0xFFFFFF
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-PAIRS, DOCS, ASK, HEAVY, REPLY, TOTAL, SUMS, SCALARS = range(8)
+PAIRS, DOCS, ASK, HEAVY, REPLY, TOTAL, SEATS, SUMS, SCALARS = range(9)
 NAMES = "abcdefgh"
 ROW = pa.schema([("kind", pa.int32()), ("at", pa.int32()), ("src", pa.int64()), *[(c, pa.binary()) for c in NAMES]])
 ROW_SQL = "kind int, at int, src long, " + ", ".join(f"{c} binary" for c in NAMES)
@@ -51,6 +51,13 @@ def _one(kind: int, at: int, src: int, **arrays) -> pa.Table:
     return _rows(kind, at, src, 1, **{c: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for c, v in arrays.items()})
 
 
+def _changes(l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Where a pair differs from the one before."""
+    new = np.ones(len(l), bool)
+    new[1:] = (l[1:] != l[:-1]) | (r[1:] != r[:-1])
+    return np.flatnonzero(new)
+
+
 def _of(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pa.array(table.column("kind").to_numpy() == kind))
 
@@ -90,41 +97,52 @@ def seat(customers, owner, fixed, live, base, discount: float, strength: float,
     together don't see each other; dishes of fewer than 16 customers move one at a time.
     """
     k = len(customers)
-    size, dish = customers.astype(np.int64).copy(), np.arange(k)
+    size, dish, tables = customers.astype(np.int64).copy(), np.arange(k), np.ones(k, np.int64)
     few, many = customers < 16, customers > 4096
     share = np.maximum(1, customers // 8) / customers
     for _ in range(rounds):
-        first = np.searchsorted(dish, np.arange(k))
+        first = np.cumsum(tables) - tables
         gone = np.zeros(len(size), np.int64)
+        gone[first[few & (tables == 1)]] = 1
+        some = np.flatnonzero(few & (tables > 1))
         end = np.cumsum(size)
-        chosen = (end - size)[first[few]] + (rng.random(few.sum()) * customers[few]).astype(np.int64)
+        chosen = (end - size)[first[some]] + (rng.random(len(some)) * customers[some]).astype(np.int64)
         gone[np.searchsorted(end, chosen, "right")] = 1
         rest = np.flatnonzero(~few[dish])
         gone[rest] = rng.binomial(size[rest], share[dish[rest]])
         up = np.bincount(dish, gone, k).astype(np.int64)
         size = size - gone
-        size, dish = size[size > 0], dish[size > 0]
-        tables = np.bincount(dish, minlength=k)
+        if not size.all():
+            dish = dish[size > 0]
+            size = size[size > 0]
+            tables = np.bincount(dish, minlength=k)
+            first = np.cumsum(tables) - tables
         there = fixed + np.where(live, np.bincount(owner, tables, len(fixed)), 0)
         fresh = (strength + discount * there[owner]) * base
         old = np.maximum(customers - up - discount * tables, 0)
-        new = rng.binomial(up, np.where(old > 0, fresh / (fresh + old), 1.0))
+        new = np.where(up == 1, rng.random(k) * (fresh + old) < fresh, 0)
+        more = np.flatnonzero(up > 1)
+        new[more] = rng.binomial(up[more], fresh[more] / (fresh + old)[more])
         back = up - new
+        only = np.flatnonzero((tables == 1) & (back > 0))
+        size[first[only]] += back[only]
+        several = np.flatnonzero((tables > 1) & ~many & (back > 0))
         weight = np.cumsum(size - discount)
-        first = np.searchsorted(dish, np.arange(k))
-        low = np.concatenate([[0.0], weight])[first]
-        one = np.repeat(np.flatnonzero(~many), back[~many])
-        at = np.searchsorted(weight, low[one] + rng.random(len(one)) * old[one], "right")
+        one = np.repeat(several, back[several])
+        low = (weight - size + discount)[first[one]]
+        at = np.searchsorted(weight, low + rng.random(len(one)) * (weight[first[one] + tables[one] - 1] - low), "right")
         at = np.clip(at, first[one], first[one] + tables[one] - 1)
         size = size + np.bincount(at, minlength=len(size))
-        for i in np.flatnonzero(many & (back > 0)):
+        for i in np.flatnonzero((tables > 1) & many & (back > 0)):
             a, b = first[i], first[i] + tables[i]
             p = size[a:b] - discount
             size[a:b] += rng.multinomial(back[i], p / p.sum())
-        more = np.repeat(np.arange(k), new)
+        opened = np.flatnonzero(new)
+        more = np.repeat(opened, new[opened])
         where = (first + tables)[more]
         size, dish = np.insert(size, where, 1), np.insert(dish, where, more)
-    return np.bincount(dish, minlength=k)
+        tables = tables + new
+    return tables
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -136,21 +154,27 @@ def _discount(ones: int, twos: int) -> float:
 
 
 def _texts(batches):
-    """(run, ids, held, offsets of tokens, names) of each run; each text ends with END."""
+    """(run, ids, held, offsets of tokens, names) of each run; each text ends with END. Bytes are hashed in smaller parts."""
     part, k = TaskContext.get().partitionId(), 0
     for batch in gathered(batches, 2):
         ids, held = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-        for at, data, off in chunks(batch.column(2), RUN):
+        names, counts, size, begin = [], [], 0, 0
+        for at, data, off in chunks(batch.column(2)):
             data, n = LOWER[data], len(off) - 1
             start, end, text = words(data, off)
             per = np.bincount(text, minlength=n) + 1
-            edge = np.concatenate([[0], np.cumsum(per)])
+            edge = np.cumsum(per)
             name = np.full(edge[-1], END)
             mask = np.ones(edge[-1], bool)
-            mask[edge[1:] - 1] = False
+            mask[edge - 1] = False
             name[mask] = span_hash(running(data), start, end)
-            yield (part << 32) + k, ids.slice(at, n), held[at : at + n], edge, name
-            k += 1
+            names.append(name)
+            counts.append(per)
+            size += len(data)
+            last = at + n
+            if size >= RUN or last == len(ids):
+                yield (part << 32) + k, ids.slice(begin, last - begin), held[begin:last], np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(names)
+                k, names, counts, size, begin = k + 1, [], [], 0, last
 
 
 def _frequent(batches):
@@ -182,11 +206,12 @@ def _send(ranges: int, shared):
             left = np.empty_like(right)
             left[1:], left[edge[:-1]] = right[:-1], START
             at = _spread(left, right, ranges, heavy, parts)
-            order = np.lexsort((right, left, at))
+            word, number = np.unique(right, return_inverse=True)  # START has the number behind the last
+            before = np.empty_like(number)
+            before[1:], before[edge[:-1]] = number[:-1], len(word)
+            order = order_of(at, before, number)
             l, r, at, doc = left[order], right[order], at[order], doc[order]
-            new = np.ones(len(l), bool)
-            new[1:] = (l[1:] != l[:-1]) | (r[1:] != r[:-1])
-            pair = np.flatnonzero(new)
+            pair = _changes(l, r)
             lp, ap = l[pair], at[pair]
             lead = np.ones(len(pair), bool)
             lead[1:] = (lp[1:] != lp[:-1]) | (ap[1:] != ap[:-1])
@@ -204,36 +229,37 @@ def _send(ranges: int, shared):
     return run
 
 
-def _gather(shared):
+def _gather(ranges: int, shared):
     """A range's pairs from all runs' messages: each pair once with its training count and the documents of its occurrences.
 
-    Documents are numbered over the runs that sent something; column h has the runs and their first numbers.
+    A row has the left words (a, how many pairs each b), the pairs' right words (c) as places in the list d of all, which is ordered
+    by the ranges of dishes, counts in training (e), occurrences (f) and the documents of these (g), which
+    are numbered over the runs that sent something; h has the runs and their first numbers.
     """
 
     def run(table: pa.Table) -> pa.Table:
         out = [_of(table, DOCS)]
         m = _of(table, PAIRS).sort_by("src")
         if len(m):
-            book = shared.value[0]
-            l = np.repeat(joined(m.column("a"), np.uint64)[0], joined(m.column("b"), np.uint32)[0])
-            r, _ = _names(m.column("c"), m.column("d"), book)
+            first, owner = np.unique(joined(m.column("a"), np.uint64)[0], return_inverse=True)
+            l = np.repeat(owner, joined(m.column("b"), np.uint32)[0])
+            word, r = np.unique(_names(m.column("c"), m.column("d"), shared.value[0])[0], return_inverse=True)
+            to = range_of(word, ranges)
+            by = np.argsort(to, kind="stable")
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
             seen, held = joined(m.column("e"), np.uint32)[0].astype(np.int64), joined(m.column("f"), np.uint32)[0].astype(np.int64)
             doc, per = joined(m.column("g"), np.uint32)
             base = np.concatenate([[0], np.cumsum(joined(m.column("h"), np.int64)[0])])[:-1]
-            doc = (doc + np.repeat(base, per)).astype(np.int64)
-            order = np.lexsort((r, l))
-            l, r, held_o = l[order], r[order], held[order]
-            begin = np.cumsum(held) - held
-            doc = doc[np.repeat(begin[order] - (np.cumsum(held_o) - held_o), held_o) + np.arange(len(doc))]
-            new = np.ones(len(l), bool)
-            new[1:] = (l[1:] != l[:-1]) | (r[1:] != r[:-1])
-            pair = np.flatnonzero(new)
-            c, f = np.add.reduceat(seen[order], pair), np.add.reduceat(held_o, pair)
-            lead = firsts(l[pair])
-            codes, others = _coded(r[pair], book, np.array([0, len(pair)]))
-            row = _one(PAIRS, m.column("at")[0].as_py(), 0, a=l[pair][lead], b=np.diff(np.append(lead, len(pair))).astype(np.uint32), e=c, f=f.astype(np.uint32),
-                       g=doc.astype(np.uint32 if doc.max() < 2**32 else np.int64), h=np.concatenate([m.column("src").to_numpy(), base]))
-            out.append(row.set_column(row.column_names.index("c"), "c", codes).set_column(row.column_names.index("d"), "d", others))
+            doc = doc + np.repeat(base, per)
+            order = order_of(l, r)
+            l, r, many = l[order], place[r[order]], held[order]
+            begin = (np.cumsum(held) - held)[order]
+            doc = doc[np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(len(doc))]
+            pair = _changes(l, r)
+            c, f = np.add.reduceat(seen[order], pair), np.add.reduceat(many, pair)
+            out.append(_one(PAIRS, m.column("at")[0].as_py(), 0, a=first, b=np.bincount(l[pair], minlength=len(first)).astype(np.uint32), c=r[pair].astype(np.uint32), d=word[by], e=c, f=f.astype(np.uint32),
+                            g=doc.astype(np.uint32 if doc.max() < 2**32 else np.int64), h=np.concatenate([m.column("src").to_numpy(), base])))
         return pa.concat_tables(out)
 
     return run
@@ -242,19 +268,14 @@ def _gather(shared):
 class _Range:
     """A range's pairs, read from its row."""
 
-    def __init__(self, row: pa.Table, book: np.ndarray, heavy: np.ndarray, ranges: int):
+    def __init__(self, row: pa.Table, heavy: np.ndarray, ranges: int):
         self.at = row.column("at")[0].as_py()
         self.left = joined(row.column("a"), np.uint64)[0]
         self.owner = np.repeat(np.arange(len(self.left)), joined(row.column("b"), np.uint32)[0])
-        right, _ = _names(row.column("c"), row.column("d"), book)
+        self.of, self.word = joined(row.column("c"), np.uint32)[0], joined(row.column("d"), np.uint64)[0]
         self.count = joined(row.column("e"), np.int64)[0]
         self.hot = among(self.left, heavy)
-        word, back = np.unique(right, return_inverse=True)
-        by = range_of(word, ranges)
-        order = np.argsort(by, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.word, self.of, by = word[order], place[back], by[order]
+        by = range_of(self.word, ranges)
         first = firsts(by)
         self.ends, self.to = np.append(first, len(by)), by[first]
 
@@ -308,7 +329,7 @@ def _ask_first(ranges: int, shared):
         book, heavy, _ = shared.value
         for batch in batches:
             for k in range(len(batch)):
-                r = _Range(pa.Table.from_batches([batch.slice(k, 1)]), book, heavy, ranges)
+                r = _Range(pa.Table.from_batches([batch.slice(k, 1)]), heavy, ranges)
                 yield from r.ask((r.count > 0).astype(np.int64), book, ranges).to_batches()
 
     return run
@@ -319,8 +340,10 @@ def _sweep(ranges: int, shared, model: dict, sweep: int):
         if not len(pairs):
             return ROW.empty_table()
         book, heavy, _ = shared.value
-        r = _Range(pairs, book, heavy, ranges)
-        return r.ask(r.seated(replies, model, sweep), book, ranges)
+        r = _Range(pairs, heavy, ranges)
+        tables = r.seated(replies, model, sweep)
+        kept = _one(SEATS, r.at, 0, a=tables[r.count > 1].astype(np.uint32))
+        return pa.concat_tables([kept, r.ask(tables, book, ranges)])
 
     return run
 
@@ -334,6 +357,7 @@ def _dishes(ranges: int, shared, model: dict | None, sweep: int, settings: dict)
     def run(table: pa.Table) -> pa.Table:
         book, out = shared.value[0], []
         at = table.column("at")[0].as_py()
+        out.append(_of(table, SEATS))
         h = _of(table, HEAVY)
         if len(h):
             name, per = joined(h.column("a"), np.uint64)
@@ -370,14 +394,14 @@ def _score(ranges: int, shared, models: list[dict], burn: int):
     def run(pairs: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(pairs):
             return ROW.empty_table()
-        book, heavy, _ = shared.value
-        r = _Range(pairs, book, heavy, ranges)
+        r = _Range(pairs, shared.value[1], ranges)
         sweep = joined(replies.column("h"), np.int64)[0]
         of = [replies.filter(pa.array(sweep == s)) for s in range(len(models))]
         mean = np.zeros(len(r.count))
         for s in range(burn, len(models) - 1):
             m = models[s]
-            tables = r.seated(of[s], m, s)
+            tables = (r.count > 0).astype(np.int64)
+            tables[r.count > 1] = joined(_of(of[s + 1], SEATS).column("a"), np.uint32)[0]
             there, sat = np.bincount(r.owner, r.count, len(r.left)), np.bincount(r.owner, tables, len(r.left))
             customers, total = r.totals(of[s + 1])
             there, sat = np.where(r.hot, customers, there), np.where(r.hot, total, sat)
@@ -460,7 +484,7 @@ def score_texts(docs: DataFrame, held: Column, sweeps: int = 3, burn: int = 1, r
     forget(often)
 
     messages = texts.mapInArrow(releasing(_send(ranges, shared)), ROW_SQL)
-    pairs = _bucketed(messages.groupBy("at").applyInArrow(_gather(shared), ROW_SQL), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = _bucketed(messages.groupBy("at").applyInArrow(_gather(ranges, shared), ROW_SQL), int(spark.conf.get("spark.sql.shuffle.partitions")))
     _swept(spark)
     only = pairs.where(F.col("kind") == PAIRS)
     small = only.select("kind", "at", "src", *"abcde")
@@ -477,12 +501,12 @@ def score_texts(docs: DataFrame, held: Column, sweeps: int = 3, burn: int = 1, r
         kinds, tokens, customers, tables, ones, twos = np.sum([np.frombuffer(r.a, np.int64) for r in rows] or [np.zeros(6, np.int64)], axis=0).tolist()
         models.append(settings | {"kinds": kinds, "tokens": tokens, "customers": customers, "tables": tables, "parent_discount": _discount(ones, twos)})
         _swept(spark)
-    # The last sweep only says how many tables very frequent words' restaurants had in the one before.
+    # A sweep's answers also keep the seats that its questions came from, and the totals of very frequent words' restaurants.
     needed = []
     for s, r in enumerate(replies):
         used = burn <= s < sweeps
-        kept = r.where(F.col("kind").isin(REPLY, TOTAL) if used or s == 0 else F.col("kind") == TOTAL)
-        total = F.col("kind") == TOTAL
+        kept = r.where(F.col("kind").isin(REPLY, TOTAL, SEATS) if used or s == 0 else F.col("kind").isin(TOTAL, SEATS))
+        total = F.col("kind") != REPLY
         if not used:
             kept = kept.withColumns({c: F.when(total, F.col(c)) for c in "ab"})
         if s > 0:
