@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, forget, mixed, releasing, running, span_hash, written
-from .packed import RUN, among, arrays, firsts, gathered, joined, n_ranges, pieces, range_of
+from .packed import RUN, among, arrays, firsts, gathered, joined, n_ranges, numbered, order_of, pieces, range_of
 
 #: Frequent words that are broadcast at most (8 bytes each); with more, words aren't filtered before their pairs are.
 FEW = 500_000
@@ -101,12 +101,12 @@ def _count_words(ranges: int):
             yield from _table(MESSAGE, len(kinds), kind=TOTAL, dst=src % ranges, src=src, lang=kinds, n=size).to_batches()
             if not len(name):
                 continue
-            order = np.argsort(name)
-            one = order[firsts(name[order])]
-            count = np.diff(np.append(firsts(name[order]), len(order))).astype(np.uint32)
-            dst = range_of(name[one], ranges)
-            by = np.argsort(dst, kind="stable")
-            one, count, dst = one[by], count[by], dst[by]
+            distinct, number = numbered(name)
+            one = np.empty(len(distinct), np.int64)
+            one[number] = np.arange(len(number))
+            dst = range_of(distinct, ranges)
+            by = order_of(dst)
+            one, count, dst = one[by], np.bincount(number).astype(np.uint32)[by], dst[by]
             length = (end - start)[one]
             raw = np.concatenate([[0], np.cumsum(length)])
             body = data[np.repeat(start[one] - raw[:-1], length) + np.arange(raw[-1])]
@@ -119,8 +119,11 @@ def _count_words(ranges: int):
 
 def pair_messages(l: np.ndarray, r: np.ndarray, at: np.ndarray, src: int, ranges: int, heavy: np.ndarray) -> pa.Table:
     """One row for each range: its distinct pairs by left name (a, how many b), right names (c), counts (d) and positions (e)."""
-    dst = np.where(among(l, heavy), range_of(mixed(l + np.uint64(3) * r), ranges), range_of(l, ranges))
-    order = np.lexsort((r, l, dst))
+    word, left = numbered(l)
+    other, right = numbered(r)
+    hot = among(word, heavy)[left]
+    dst = np.where(hot, range_of(mixed(l + np.uint64(3) * r), ranges), range_of(word, ranges)[left])
+    order = order_of(dst, left, right)
     l, r, at, dst = l[order], r[order], at[order], dst[order]
     new = np.ones(len(l), bool)
     new[1:] = (l[1:] != l[:-1]) | (r[1:] != r[:-1])
@@ -158,7 +161,7 @@ def _pair_names(ranges: int, heavy):
         name, n = joined(table.column("a"), np.uint64)
         name = np.repeat(name, joined(table.column("b"), np.uint32)[0])
         at = joined(table.column("c"), np.uint32)[0]
-        order = np.argsort(at, kind="stable")
+        order = order_of(at)
         return _near(name[order], at[order], table.column("src")[0].as_py(), ranges, heavy.value)
 
     return run
@@ -172,10 +175,11 @@ def _settle(least: int, level: int):
         count, length = joined(m.column("b"), np.uint32)[0].astype(np.int64), joined(m.column("c"), np.uint32)[0]
         body, code = joined(m.column("d"), np.uint8)[0], joined(m.column("e"), np.uint16)[0]
         end = np.cumsum(length.astype(np.int64))
-        order = np.argsort(name, kind="stable")
-        first = firsts(name[order])
-        f = np.add.reduceat(count[order], first) if len(first) else count
-        one, f = order[first][f >= least], f[f >= least]
+        distinct, number = numbered(name)
+        f = np.bincount(number, count, len(distinct)).astype(np.int64)
+        one = np.empty(len(distinct), np.int64)
+        one[number] = np.arange(len(number))
+        one, f = one[f >= least], f[f >= least]
         message = np.repeat(np.arange(len(per)), per)[one]
         kinds = [json.loads(x) for x in m.column("lang").to_pylist()]
         return _table(SETTLED, len(one), kind=WORD, name=name[one].view(np.int64), f=f, lang=[kinds[i][c] for i, c in zip(message, code[one])],
@@ -183,9 +187,11 @@ def _settle(least: int, level: int):
 
     def pairs(m: pa.Table) -> list[pa.Table]:
         r, per = joined(m.column("c"), np.uint64)
-        l = np.repeat(joined(m.column("a"), np.uint64)[0], joined(m.column("b"), np.uint32)[0])
+        word, left = numbered(joined(m.column("a"), np.uint64)[0])
+        left = np.repeat(left, joined(m.column("b"), np.uint32)[0])
+        l = word[left]
         n, at = joined(m.column("d"), np.uint32)[0], arrays(m.column("e"), np.uint32)
-        order = np.lexsort((r, l))
+        order = order_of(left, numbered(r)[1])
         new = np.ones(len(l), bool)
         new[1:] = (l[order][1:] != l[order][:-1]) | (r[order][1:] != r[order][:-1])
         first = np.flatnonzero(new)

@@ -83,11 +83,24 @@ def among(key: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def order_of(*keys: np.ndarray) -> np.ndarray:
-    """The order by several numbers from 0, the first one counting most: one sort where they fit 64 bits together."""
-    bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
-    if sum(bits) > 63:
+    """The stable order by several numbers from 0, the first one counting most: one plain sort where they and the place fit 64 bits together."""
+    n = len(keys[0])
+    bits, low = [int(k.max()).bit_length() if n else 0 for k in keys], np.uint64(n.bit_length())
+    if sum(bits) + int(low) > 64:
         return np.lexsort(keys[::-1])
-    key = np.zeros(len(keys[0]), np.uint64)
+    key = np.zeros(n, np.uint64)
     for k, b in zip(keys, bits):
         key = key << np.uint64(b) | k.astype(np.uint64)
-    return np.argsort(key)
+    key = key << low | np.arange(n, dtype=np.uint64)
+    key.sort()
+    return (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and each value's place among them (by hashing; only distinct values are sorted)."""
+    d = pa.array(values).dictionary_encode()
+    word = d.dictionary.to_numpy()
+    order = np.argsort(word)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return word[order], place[d.indices.to_numpy()]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, _remove, chunks, forget, mixed, releasing, running, shared_dir, span_hash, words, written
-from .packed import RUN, among, firsts, gathered, joined, n_ranges, order_of, pieces, range_of
+from .packed import RUN, among, firsts, gathered, joined, n_ranges, numbered, order_of, pieces, range_of
 
 #: Words that have a three-byte code in messages (the most frequent ones; 8 bytes each are broadcast). Others are sent whole.
 BOOK = 1 << 18
@@ -180,19 +180,20 @@ def _texts(batches):
 def _frequent(batches):
     """Words that occur three times in a run, with their counts; under a null name the number of all words."""
     for _, _, _, edge, name in _texts(batches):
-        name, n = np.unique(name, return_counts=True)
+        found = pa.array(name).value_counts()
+        name, n = found.field(0).to_numpy(), found.field(1).to_numpy()
         keep = n >= 3
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(name[keep].view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.append(n[keep], n.sum()), pa.int64())], names=["name", "n"])
 
 
-def _spread(left: np.ndarray, right: np.ndarray, ranges: int, heavy: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """The range of each pair: that of its left word; a very frequent one's are several in a row."""
-    at = range_of(left, ranges).astype(np.int64)
-    if len(heavy):
-        k = parts[np.minimum(np.searchsorted(heavy, left), len(heavy) - 1)]
-        hot = among(left, heavy)
-        at = np.where(hot, (at + (mixed(right) % np.maximum(k, 1).astype(np.uint64)).astype(np.int64)) % ranges, at)
-    return at.astype(np.int32)
+def _spread(word: np.ndarray, before: np.ndarray, right: np.ndarray, ranges: int, heavy: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The range of each pair: that of its left word, word[before]; a very frequent one's are several in a row."""
+    at = range_of(word, ranges)[before]
+    hot = among(word, heavy)
+    some = np.flatnonzero(hot[before])
+    k = parts[np.searchsorted(heavy, word[before[some]])].astype(np.uint64)
+    at[some] = (at[some] + (mixed(right[some]) % k).astype(np.int64)) % ranges
+    return at
 
 
 def _send(ranges: int, shared):
@@ -203,20 +204,17 @@ def _send(ranges: int, shared):
         for src, ids, held, edge, right in _texts(batches):
             n = len(edge) - 1
             doc = np.repeat(np.arange(n, dtype=np.uint32), np.diff(edge))
-            left = np.empty_like(right)
-            left[1:], left[edge[:-1]] = right[:-1], START
-            at = _spread(left, right, ranges, heavy, parts)
-            word, number = np.unique(right, return_inverse=True)  # START has the number behind the last
+            word, number = numbered(right)
+            word = np.append(word, START)  # its number is the last
             before = np.empty_like(number)
-            before[1:], before[edge[:-1]] = number[:-1], len(word)
+            before[1:], before[edge[:-1]] = number[:-1], len(word) - 1
+            at = _spread(word, before, right, ranges, heavy, parts)
             order = order_of(at, before, number)
-            l, r, at, doc = left[order], right[order], at[order], doc[order]
-            pair = _changes(l, r)
+            before, number, at, doc = before[order], number[order], at[order], doc[order]
+            l, r = word[before], word[number]
+            pair = _changes(before, number)
             lp, ap = l[pair], at[pair]
-            lead = np.ones(len(pair), bool)
-            lead[1:] = (lp[1:] != lp[:-1]) | (ap[1:] != ap[:-1])
-            lead = np.flatnonzero(lead)
-            part = firsts(ap)
+            lead, part = _changes(lp, ap), firsts(ap)
             pair_edges, lead_edges = np.append(part, len(pair)), np.append(np.searchsorted(lead, part), len(lead))
             token_edges = np.append(pair[part], len(l))
             seen = np.add.reduceat(~held[doc], pair, dtype=np.int64).astype(np.uint32)
@@ -241,9 +239,9 @@ def _gather(ranges: int, shared):
         out = [_of(table, DOCS)]
         m = _of(table, PAIRS).sort_by("src")
         if len(m):
-            first, owner = np.unique(joined(m.column("a"), np.uint64)[0], return_inverse=True)
+            first, owner = numbered(joined(m.column("a"), np.uint64)[0])
             l = np.repeat(owner, joined(m.column("b"), np.uint32)[0])
-            word, r = np.unique(_names(m.column("c"), m.column("d"), shared.value[0])[0], return_inverse=True)
+            word, r = numbered(_names(m.column("c"), m.column("d"), shared.value[0])[0])
             to = range_of(word, ranges)
             by = np.argsort(to, kind="stable")
             place = np.empty(len(by), np.int64)
@@ -361,14 +359,14 @@ def _dishes(ranges: int, shared, model: dict | None, sweep: int, settings: dict)
         h = _of(table, HEAVY)
         if len(h):
             name, per = joined(h.column("a"), np.uint64)
-            u, back = np.unique(name, return_inverse=True)
+            u, back = numbered(name)
             both = [np.bincount(back, joined(h.column(c), np.int64)[0], len(u)).astype(np.int64)[back] for c in "bc"]
             edges = np.concatenate([[0], np.cumsum(per)])
             out.append(_rows(TOTAL, h.column("src").to_numpy(), at, len(h), a=pieces(name, edges), b=pieces(both[0], edges), c=pieces(both[1], edges)))
         m = _of(table, ASK)
         if len(m):
             name, per = _names(m.column("c"), m.column("d"), book)
-            u, back = np.unique(name, return_inverse=True)
+            u, back = numbered(name)
             customers, seen = (np.bincount(back, joined(m.column(c), np.int64)[0], len(u)).astype(np.int64) for c in "ef")
             tables = (customers > 0).astype(np.int64)
             several = np.flatnonzero(customers > 1)
