@@ -25,18 +25,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, forget, mixed, releasing, running, span_hash, written
-from .packed import RUN, among, arrays, firsts, gathered, joined, n_ranges, numbered, order_of, pieces, range_of
+from .packed import BOOK, RUN, among, arrays, coded, decoded, firsts, from_three, gathered, joined, n_ranges, numbered, order_of, pieces, range_of, swept, three_bytes
 
 #: Frequent words that are broadcast at most (8 bytes each); with more, words aren't filtered before their pairs are.
 FEW = 500_000
 #: Rows of a language are ranked in so many parts before the parts' best are.
 PARTS = 200
-MESSAGE = pa.schema([("kind", pa.int32()), ("dst", pa.int32()), ("src", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), *[(c, pa.binary()) for c in "abcde"]])
-MESSAGE_SQL = "kind int, dst int, src long, lang string, n long, a binary, b binary, c binary, d binary, e binary"
+MESSAGE = pa.schema([("kind", pa.int32()), ("dst", pa.int32()), ("src", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), *[(c, pa.binary()) for c in "abcdefg"]])
+MESSAGE_SQL = "kind int, dst int, src long, lang string, n long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 SETTLED = pa.schema([("kind", pa.int32()), ("src", pa.int64()), ("lang", pa.string()), ("word", pa.string()), *[(c, pa.int64()) for c in ("name", "l", "r", "f")], *[(c, pa.binary()) for c in "abc"]])
 SETTLED_SQL = "kind int, src long, lang string, word string, name long, l long, r long, f long, a binary, b binary, c binary"
 TOTAL, WORD, PAIR, KEPT = range(4)
 
+NO_BOOK = np.zeros(0, np.uint64)
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
 _BLANK[[32, 9]] = True
@@ -117,8 +118,11 @@ def _count_words(ranges: int):
     return run
 
 
-def pair_messages(l: np.ndarray, r: np.ndarray, at: np.ndarray, src: int, ranges: int, heavy: np.ndarray) -> pa.Table:
-    """One row for each range: its distinct pairs by left name (a, how many b), right names (c), counts (d) and positions (e)."""
+def pair_messages(l: np.ndarray, r: np.ndarray, at: np.ndarray, src: int, ranges: int, heavy: np.ndarray, book: np.ndarray) -> pa.Table:
+    """One row for each range: its distinct pairs by left name (a and f, how many b), right names (c and g), counts (d) and positions (e).
+
+    Names are coded by ``book``; positions have ``n`` bytes each.
+    """
     word, left = numbered(l)
     other, right = numbered(r)
     hot = among(word, heavy)[left]
@@ -132,16 +136,21 @@ def pair_messages(l: np.ndarray, r: np.ndarray, at: np.ndarray, src: int, ranges
     part = firsts(dst)
     edges = [np.append(np.searchsorted(x, part), len(x)) for x in (left, pair)]
     lefts = np.searchsorted(pair, left)
-    return _table(MESSAGE, len(part), kind=PAIR, dst=pa.array(dst[part]), src=src, a=pieces(l[left], edges[0]), b=pieces(np.diff(np.append(lefts, len(pair))).astype(np.uint32), edges[0]),
-                  c=pieces(r[pair], edges[1]), d=pieces(np.diff(np.append(pair, len(l))).astype(np.uint32), edges[1]), e=pieces(at, np.append(part, len(at)))) if len(part) else _table(MESSAGE, 0)
+    if not len(part):
+        return _table(MESSAGE, 0)
+    width = 3 if at.max() < 1 << 24 else 4
+    where = three_bytes(at) if width == 3 else at.view(np.uint8)
+    (a, f), (c, g) = coded(l[left], book, edges[0]), coded(r[pair], book, edges[1])
+    return _table(MESSAGE, len(part), kind=PAIR, dst=pa.array(dst[part]), src=src, n=width, a=a, b=pieces(np.diff(np.append(lefts, len(pair))).astype(np.uint32), edges[0]), c=c,
+                  d=pieces(np.diff(np.append(pair, len(l))).astype(np.uint32), edges[1]), e=pieces(where, np.append(part, len(at)) * width), f=f, g=g)
 
 
-def _near(name: np.ndarray, at: np.ndarray, src: int, ranges: int, heavy: np.ndarray):
+def _near(name: np.ndarray, at: np.ndarray, src: int, ranges: int, heavy: np.ndarray, book: np.ndarray):
     near = np.flatnonzero(at[1:] == at[:-1] + np.uint32(1))
-    return pair_messages(name[near], name[near + 1], at[near], src, ranges, heavy)
+    return pair_messages(name[near], name[near + 1], at[near], src, ranges, heavy, book)
 
 
-def _pair_words(ranges: int, heavy, frequent):
+def _pair_words(ranges: int, heavy, frequent, book):
     """Sends the neighbouring words of each run; ``frequent`` (None: unknown) leaves only pairs of frequent words."""
 
     def run(batches):
@@ -149,7 +158,7 @@ def _pair_words(ranges: int, heavy, frequent):
             if frequent is not None:
                 few = among(name, frequent.value)
                 name, at = name[few], at[few]
-            yield from _near(name, at, src, ranges, heavy.value).to_batches()
+            yield from _near(name, at, src, ranges, heavy.value, book.value).to_batches()
 
     return run
 
@@ -162,12 +171,12 @@ def _pair_names(ranges: int, heavy):
         name = np.repeat(name, joined(table.column("b"), np.uint32)[0])
         at = joined(table.column("c"), np.uint32)[0]
         order = order_of(at)
-        return _near(name[order], at[order], table.column("src")[0].as_py(), ranges, heavy.value)
+        return _near(name[order], at[order], table.column("src")[0].as_py(), ranges, heavy.value, NO_BOOK)
 
     return run
 
 
-def _settle(least: int, level: int):
+def _settle(least: int, level: int, book=None):
     """What a range makes of all runs' messages: frequent words or pairs, and for each run its frequent pairs' names and positions."""
 
     def words(m: pa.Table) -> pa.Table:
@@ -186,11 +195,13 @@ def _settle(least: int, level: int):
                       word=[body[b - n : b].tobytes().decode() for b, n in zip(end[one], length[one].astype(np.int64))])
 
     def pairs(m: pa.Table) -> list[pa.Table]:
-        r, per = joined(m.column("c"), np.uint64)
-        word, left = numbered(joined(m.column("a"), np.uint64)[0])
+        codes = NO_BOOK if book is None else book.value
+        r, per = decoded(m.column("c"), m.column("g"), codes)
+        word, left = numbered(decoded(m.column("a"), m.column("f"), codes)[0])
         left = np.repeat(left, joined(m.column("b"), np.uint32)[0])
         l = word[left]
-        n, at = joined(m.column("d"), np.uint32)[0], arrays(m.column("e"), np.uint32)
+        n = joined(m.column("d"), np.uint32)[0]
+        at = [from_three(x) if width == 3 else x.view(np.uint32) for x, width in zip(arrays(m.column("e"), np.uint8), m.column("n").to_pylist())]
         order = order_of(left, numbered(r)[1])
         new = np.ones(len(l), bool)
         new[1:] = (l[order][1:] != l[order][:-1]) | (r[order][1:] != r[order][:-1])
@@ -257,20 +268,24 @@ def mined(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame
     n = totals.agg(F.sum("n")).first()[0] or 0
     few = levels[0].limit(FEW + 1).count() <= FEW
     frequent = spark.sparkContext.broadcast(_column(levels[0].select("name"))) if few else None
-    sent, heavy = None, None
+    book = spark.sparkContext.broadcast(_column(levels[0].orderBy(F.desc("f"), "name").limit(BOOK).select("name")))
+    sent = None
+    swept(spark)
     for k in range(2, longest + 1):
         # Names with an eighth of a range's words or more: at most eight for each range.
         big = levels[-1].where(F.col("f") * 8 * ranges > n).select("name")
         heavy = spark.sparkContext.broadcast(_column(big))
         if k == 2:
-            messages = texts.mapInArrow(releasing(_pair_words(ranges, heavy, frequent)), MESSAGE_SQL)
+            messages = texts.mapInArrow(releasing(_pair_words(ranges, heavy, frequent, book)), MESSAGE_SQL)
         else:
             messages = sent.where(F.col("kind") == KEPT).groupBy("src").applyInArrow(_pair_names(ranges, heavy), MESSAGE_SQL)
-        old, sent = sent, written(messages.groupBy("dst").applyInArrow(_settle(least, k), SETTLED_SQL), f"phrases-{k}")
+        sent = written(messages.groupBy("dst").applyInArrow(_settle(least, k, book if k == 2 else None), SETTLED_SQL), f"phrases-{k}")
         levels.append(sent.where(F.col("kind") == PAIR).select("name", "l", "r", "f"))
         heavy.destroy()
-        if k == 2 and frequent is not None:
-            frequent.destroy()
+        swept(spark)
+    book.destroy()
+    if frequent is not None:
+        frequent.destroy()
     return totals, levels
 
 

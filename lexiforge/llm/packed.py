@@ -17,6 +17,8 @@ from .common import as_binary
 
 #: Bytes of text of a run, and of text for each range of keys.
 RUN, SHARE = 4 << 20, 8 << 20
+#: Words that have a three-byte code in messages (the most frequent ones; 8 bytes each are broadcast). Others are sent whole.
+BOOK, OTHER = 1 << 18, 0xFFFFFF
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,3 +106,36 @@ def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return word[order], place[d.indices.to_numpy()]
+
+
+def three_bytes(values: np.ndarray) -> np.ndarray:
+    """The low three bytes of each number."""
+    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]).reshape(-1)
+
+
+def from_three(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 3, 4), np.uint8)
+    out[:, :3] = raw.reshape(-1, 3)
+    return out.view(np.uint32).reshape(-1)
+
+
+def coded(name: np.ndarray, book: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Binary rows of the names' three-byte places in the sorted ``book``, and of the names that have none."""
+    known = among(name, book)
+    code = np.where(known, np.searchsorted(book, name), OTHER)
+    rest = np.concatenate([[0], np.cumsum(~known)])
+    return pieces(three_bytes(code), np.asarray(edges) * 3), pieces(name[~known], rest[edges])
+
+
+def decoded(codes, others, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What coded() took, of all rows, and how many each row has."""
+    raw, per = joined(codes, np.uint8)
+    code = from_three(raw)
+    name = book[np.minimum(code, len(book) - 1)] if len(book) else np.zeros(len(code), np.uint64)
+    name[code == OTHER] = joined(others, np.uint64)[0]
+    return name, per // 3
+
+
+def swept(spark) -> None:
+    """Asks the driver's JVM to collect, after which Spark removes the shuffle files of steps whose results are written."""
+    spark.sparkContext._jvm.System.gc()

@@ -28,11 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, _remove, chunks, forget, mixed, releasing, running, shared_dir, span_hash, words, written
-from .packed import RUN, among, firsts, gathered, joined, n_ranges, numbered, order_of, pieces, range_of
+from .packed import BOOK, RUN, among, coded, decoded, firsts, gathered, joined, n_ranges, numbered, order_of, pieces, range_of, swept
 
-#: Words that have a three-byte code in messages (the most frequent ones; 8 bytes each are broadcast). Others are sent whole.
-BOOK = 1 << 18
-OTHER = 0xFFFFFF
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 PAIRS, DOCS, ASK, HEAVY, REPLY, TOTAL, SEATS, SUMS, SCALARS = range(9)
 NAMES = "abcdefgh"
@@ -62,28 +59,6 @@ def _of(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pa.array(table.column("kind").to_numpy() == kind))
 
 
-def _coded(name: np.ndarray, book: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Binary rows of three-byte codes, and of the names that have none."""
-    code = np.minimum(np.searchsorted(book, name), max(len(book) - 1, 0)).astype(np.uint32)
-    known = among(name, book)
-    code[~known] = OTHER
-    three = np.ascontiguousarray(code.view(np.uint8).reshape(-1, 4)[:, :3]).reshape(-1)
-    rest = np.concatenate([[0], np.cumsum(~known)])
-    return pieces(three, np.asarray(edges) * 3), pieces(name[~known], rest[edges])
-
-
-def _names(codes, others, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What _coded() took, of all rows, and how many each row has."""
-    three, per = joined(codes, np.uint8)
-    code = np.zeros((len(three) // 3, 4), np.uint8)
-    code[:, :3] = three.reshape(-1, 3)
-    code = code.view(np.uint32).reshape(-1)
-    name = book[np.minimum(code, len(book) - 1)] if len(book) else np.zeros(len(code), np.uint64)
-    other = code == OTHER
-    name[other] = joined(others, np.uint64)[0]
-    return name, per // 3
-
-
 # ---------------------------------------------------------------- seating
 
 
@@ -218,7 +193,7 @@ def _send(ranges: int, shared):
             pair_edges, lead_edges = np.append(part, len(pair)), np.append(np.searchsorted(lead, part), len(lead))
             token_edges = np.append(pair[part], len(l))
             seen = np.add.reduceat(~held[doc], pair, dtype=np.int64).astype(np.uint32)
-            codes, others = _coded(r[pair], book, pair_edges)
+            codes, others = coded(r[pair], book, pair_edges)
             yield from _rows(PAIRS, ap[part], src, len(part), a=pieces(lp[lead], lead_edges), b=pieces(np.diff(np.append(lead, len(pair))).astype(np.uint32), lead_edges), c=codes, d=others,
                              e=pieces(seen, pair_edges), f=pieces(np.diff(np.append(pair, len(l))).astype(np.uint32), pair_edges), g=pieces(doc, token_edges),
                              h=pa.array([np.int64(n).tobytes()] * len(part), pa.binary())).to_batches()
@@ -241,7 +216,7 @@ def _gather(ranges: int, shared):
         if len(m):
             first, owner = numbered(joined(m.column("a"), np.uint64)[0])
             l = np.repeat(owner, joined(m.column("b"), np.uint32)[0])
-            word, r = numbered(_names(m.column("c"), m.column("d"), shared.value[0])[0])
+            word, r = numbered(decoded(m.column("c"), m.column("d"), shared.value[0])[0])
             to = range_of(word, ranges)
             by = np.argsort(to, kind="stable")
             place = np.empty(len(by), np.int64)
@@ -281,7 +256,7 @@ class _Range:
         """Rows for the dishes of all words (customers sent, training occurrences), and for the totals of very frequent words' restaurants."""
         n = len(self.word)
         sent, seen = np.bincount(self.of, tables, n).astype(np.int64), np.bincount(self.of, self.count, n).astype(np.int64)
-        codes, others = _coded(self.word, book, self.ends)
+        codes, others = coded(self.word, book, self.ends)
         out = [_rows(ASK, self.to, self.at, len(self.to), c=codes, d=others, e=pieces(sent, self.ends), f=pieces(seen, self.ends))]
         if self.hot.any():
             name = self.left[self.hot]
@@ -365,7 +340,7 @@ def _dishes(ranges: int, shared, model: dict | None, sweep: int, settings: dict)
             out.append(_rows(TOTAL, h.column("src").to_numpy(), at, len(h), a=pieces(name, edges), b=pieces(both[0], edges), c=pieces(both[1], edges)))
         m = _of(table, ASK)
         if len(m):
-            name, per = _names(m.column("c"), m.column("d"), book)
+            name, per = decoded(m.column("c"), m.column("d"), book)
             u, back = numbered(name)
             customers, seen = (np.bincount(back, joined(m.column(c), np.int64)[0], len(u)).astype(np.int64) for c in "ef")
             tables = (customers > 0).astype(np.int64)
@@ -447,11 +422,6 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return out
 
 
-def _swept(spark) -> None:
-    """Asks the driver's JVM to collect, after which Spark removes the shuffle files of steps whose results are written."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, held: Column, sweeps: int = 3, burn: int = 1, rounds: int = 8, strength: float = 0.5, seed: int = 12) -> DataFrame:
     """Scores every text of ``docs(doc_id, text)`` by a model learnt from those where ``held`` isn't true.
 
@@ -483,7 +453,7 @@ def score_texts(docs: DataFrame, held: Column, sweeps: int = 3, burn: int = 1, r
 
     messages = texts.mapInArrow(releasing(_send(ranges, shared)), ROW_SQL)
     pairs = _bucketed(messages.groupBy("at").applyInArrow(_gather(ranges, shared), ROW_SQL), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    _swept(spark)
+    swept(spark)
     only = pairs.where(F.col("kind") == PAIRS)
     small = only.select("kind", "at", "src", *"abcde")
     counts = small.select("e").mapInArrow(_ones_and_twos, "ones long, twos long").agg(F.sum("ones"), F.sum("twos")).first()
@@ -498,7 +468,7 @@ def score_texts(docs: DataFrame, held: Column, sweeps: int = 3, burn: int = 1, r
         rows = replies[-1].where(F.col("kind") == SCALARS).select("a").collect()  # six numbers for each range
         kinds, tokens, customers, tables, ones, twos = np.sum([np.frombuffer(r.a, np.int64) for r in rows] or [np.zeros(6, np.int64)], axis=0).tolist()
         models.append(settings | {"kinds": kinds, "tokens": tokens, "customers": customers, "tables": tables, "parent_discount": _discount(ones, twos)})
-        _swept(spark)
+        swept(spark)
     # A sweep's answers also keep the seats that its questions came from, and the totals of very frequent words' restaurants.
     needed = []
     for s, r in enumerate(replies):

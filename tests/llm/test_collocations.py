@@ -56,18 +56,20 @@ def test_small_runs_and_no_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(t, x) for x, t in rows], "text string, lang string").repartition(3)
     want = counted(rows, 4)
     monkeypatch.setattr(C, "FEW", 3)
+    monkeypatch.setattr(C, "BOOK", 4)
     assert sorted(tuple(r) for r in C.collocations(docs, 4).collect()) == want
 
 
 def test_messages_keep_every_pair():
     rng = np.random.default_rng(1)
     l, r = rng.integers(0, 9, 5000).astype(np.uint64), rng.integers(0, 9, 5000).astype(np.uint64)
-    at = np.arange(5000, dtype=np.uint32)
-    for heavy in (np.zeros(0, np.uint64), np.array([2, 3], np.uint64)):
-        m = C.pair_messages(l, r, at, 7, 5, heavy)
-        left = np.repeat(packed.joined(m.column("a"), np.uint64)[0], packed.joined(m.column("b"), np.uint32)[0])
-        right, n = packed.joined(m.column("c"), np.uint64)[0], packed.joined(m.column("d"), np.uint32)[0]
-        where = packed.joined(m.column("e"), np.uint32)[0]
+    for first, heavy, book in ((0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)), (1 << 25, np.array([2, 3], np.uint64), np.array([0, 4, 5], np.uint64))):
+        at = first + np.arange(5000, dtype=np.uint32)
+        m = C.pair_messages(l, r, at, 7, 5, heavy, book)
+        left = np.repeat(packed.decoded(m.column("a"), m.column("f"), book)[0], packed.joined(m.column("b"), np.uint32)[0])
+        right, n = packed.decoded(m.column("c"), m.column("g"), book)[0], packed.joined(m.column("d"), np.uint32)[0]
+        raw = packed.joined(m.column("e"), np.uint8)[0]
+        where = packed.from_three(raw) if m.column("n")[0].as_py() == 3 else raw.view(np.uint32)
         assert sorted(zip(np.repeat(left, n), np.repeat(right, n), where)) == sorted(zip(l, r, at))
         assert len(set(zip(left, right))) == len(left)  # one range a pair
 

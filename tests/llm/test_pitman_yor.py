@@ -161,7 +161,7 @@ def test_codes_round_trip():
     for name in (rng.choice(book, 200), rng.integers(0, 2**63, 30).astype(np.uint64), np.concatenate([book[:5], [np.uint64(7)], book[5:9]])):
         edges = np.array([0, len(name) // 3, len(name)])
         for b in (book, book[:0]):
-            back, per = P._names(*P._coded(name, b, edges), b)
+            back, per = P.decoded(*P.coded(name, b, edges), b)
             assert (back == name).all() and per.tolist() == np.diff(edges).tolist()
 
 
