@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .inversions import discordant
+
 # Names of a positive class.
 POSITIVE = ["m", "malignant", "yes", "true", "1", "positive", "pos", "disease", "infected", "bad", "high", "abnormal"]
 
@@ -57,7 +59,7 @@ def ranked(df: DataFrame, column: str, name: str) -> DataFrame:
 def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
     """Pearson, spearman (pearson over average ranks) or kendall (tau-b), over rows with both values; n must be 3 at least (else null).
 
-    Kendall counts concordant pairs among the distinct value pairs, joined on the x-range only.
+    Kendall counts pairs in opposite order by distributed merging (inversions.py), over any number of points.
     """
     both = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     if method == "spearman":
@@ -67,18 +69,18 @@ def correlation(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataF
     return both.agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("x", "y")).alias("r"))
 
 
-def _kendall(both: DataFrame, most: int = 5000) -> DataFrame:
+def _kendall(both: DataFrame) -> DataFrame:
     cells = both.groupBy("x", "y").agg(F.count("*").alias("n"))
-    if cells.limit(most + 1).count() > most:
-        raise ValueError(f"Kendall's tau compares all pairs of distinct points; there are more than {most}")
-    a, b = cells.alias("a"), cells.alias("b")
-    sign = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
-    pairs = a.join(F.broadcast(b), F.col("a.x") > F.col("b.x")).agg(F.sum(sign * F.col("a.n") * F.col("b.n")).alias("s"))
-    tie = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
-    total = cells.agg(F.sum("n").alias("n"))
-    row = total.crossJoin(pairs).crossJoin(tie("x", "tx")).crossJoin(tie("y", "ty"))  # one row each
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    return row.select("n", F.when(F.col("n") >= 3, F.try_divide(F.col("s"), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))).alias("r"))
+    whole = "decimal(38,0)"
+    pairs = lambda c: ((c.cast("decimal(19,0)") * (c - 1).cast("decimal(19,0)")).cast(whole) / 2).cast(whole)
+    tie = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0).cast(whole)).alias(name))
+    total = cells.agg(F.sum("n").alias("n"), F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0).cast(whole)).alias("txy"))
+    row = total.crossJoin(tie("x", "tx")).crossJoin(tie("y", "ty")).crossJoin(discordant(cells))  # one row each
+    n0 = pairs(F.col("n"))
+    # Of all pairs those are concordant that are neither tied nor discordant.
+    s = (n0 - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d") - F.col("d")).cast("double")
+    r = F.try_divide(s, F.sqrt((n0 - F.col("tx")).cast("double")) * F.sqrt((n0 - F.col("ty")).cast("double")))
+    return row.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 3, r).alias("r"))
 
 
 def encoded_target(df: DataFrame, target: str) -> DataFrame:

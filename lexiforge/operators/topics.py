@@ -58,27 +58,6 @@ def reassigned(doc_terms: DataFrame, weights: DataFrame) -> DataFrame:
     return dots.join(F.broadcast(norms), "class").groupBy("id").agg(F.max_by("class", F.struct(F.col("dot") / F.col("norm"), "class")).alias("class"))
 
 
-def cooccurrence(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that hold each pair of the given words: ``(a, b, both, n_a, n_b, total)``. ``words`` is a bounded list (top words)."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("word"))
-    held = tokens.join(F.broadcast(words.select("word").distinct()), "word").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("ws"))
-    pairs = held.select(F.explode("ws").alias("a"), "ws").select("a", F.explode("ws").alias("b")).groupBy("a", "b").agg(F.count("*").alias("both"))
-    single = pairs.where("a = b").select(F.col("a").alias("w"), F.col("both").alias("n"))
-    total = docs.agg(F.count("*").alias("total"))
-    return (pairs.where("a <> b").join(F.broadcast(single.select(F.col("w").alias("a"), F.col("n").alias("n_a"))), "a")
-            .join(F.broadcast(single.select(F.col("w").alias("b"), F.col("n").alias("n_b"))), "b").crossJoin(F.broadcast(total)))
-
-
-def coherence(tops: DataFrame, pairs: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """Mean U_mass (``ln((D(a,b) + 1) / D(b))``, b ranked before a) and mean NPMI of each class's top words, by documents."""
-    a, b = tops.select("class", F.col("word").alias("a"), F.col("rank").alias("ra")), tops.select("class", F.col("word").alias("b"), F.col("rank").alias("rb"))
-    both = a.join(b, "class").where("rb < ra").join(F.broadcast(pairs), ["a", "b"], "left")
-    mass = F.log((F.coalesce("both", F.lit(0)) + 1) / F.col("n_b"))
-    p = F.col("both") / F.col("total") + eps
-    npmi = F.log(p * F.col("total") * F.col("total") / (F.col("n_a") * F.col("n_b"))) / -F.log(p)
-    return both.groupBy("class").agg(F.avg(mass).alias("u_mass"), F.avg(npmi).alias("npmi"), F.count("both").alias("pairs"))
-
-
 def best_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each class of ``left`` its best word-set overlap with a class of ``right``. Both are a row for each topic."""
     sets = lambda t, n: t.groupBy("class").agg(F.collect_set("word").alias(n)).withColumnRenamed("class", f"{n}_class")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import udfs as U
+from ..operators import coherence as C
 from ..operators import topics as T
 from .common import Registry, table
 
@@ -39,26 +40,39 @@ def e_topic_diversity(spark, d):
     return T.diversity(_top(spark, d, "source"))
 
 
-@R.query(f"""with {_weights('lang')}, doc as (select doc_id, list_distinct({TOKENS}) as ws from documents), held as (select doc_id, word from (select doc_id, unnest(ws) as word from doc) where word in (select word from top)),
-one as (select word, count(*) as n from held group by 1), two as (select x.word as a, y.word as b, count(*) as both_n from held x join held y using (doc_id) where x.word <> y.word group by 1, 2), m as (select count(*) as total from documents)
-select a.class as class, count(both_n) as pairs, round(avg(case when both_n is not null then ln((both_n + 1) * 1.0e0 / o2.n) end), 6) as u_mass
-from top a join top b on a.class = b.class and b.rank < a.rank left join two on two.a = a.word and two.b = b.word left join one o2 on o2.word = b.word, m group by 1""")
+def _windows(size: int) -> str:
+    """Every window of every text on its own, and the top words in it."""
+    return f"""{_weights('lang')}, doc as (select row_number() over () as d, {TOKENS.replace('text', "coalesce(text, '')")} as ws from documents), occ as (select d, word, p, length from
+(select d, len(ws) as length, unnest(ws) as word, unnest(range(len(ws))) as p from doc) where word in (select word from top)), num as (select sum(greatest(len(ws) - {size} + 1, 1)) as total from doc),
+win as (select distinct d, word, unnest(range(greatest(p - {size} + 1, 0), least(p, greatest(length - {size}, 0)) + 1)) as w from occ), one as (select word, count(*) as n from win group by 1),
+two as (select x.word as a, y.word as b, count(*) as n from win x join win y on x.d = y.d and x.w = y.w group by 1, 2),
+prs as (select s.class, s.rank as i, t.rank as j, o.n as n_i, q.n as n_j, coalesce(two.n, 0) as n, total from top s join top t on s.class = t.class join one o on o.word = s.word join one q on q.word = t.word
+left join two on two.a = s.word and two.b = t.word, num), val as (select *, ln((n::double / total + 1e-12) / ((n_i::double / total) * (n_j::double / total))) / -ln(n::double / total + 1e-12) as x from prs)"""
+
+
+@R.query(f"with {_windows(2_000_000_000)} select class, count(*) as pairs, round(avg(ln((n::double / total + 1e-12) / (n_j::double / total))), 6) as u_mass from prs where j < i group by 1")
 def e_coherence(spark, d):
-    tops = _top(spark, d, "lang")
-    pairs = T.cooccurrence(table(spark, d, "documents"), tops)
-    return T.coherence(tops, pairs).select("class", "pairs", F.round("u_mass", 6).alias("u_mass"))
+    docs, tops = table(spark, d, "documents"), C.fixed(_top(spark, d, "lang"))
+    return C.u_mass(tops, C.window_counts(docs, tops, C.WHOLE)).withColumn("u_mass", F.round("u_mass", 6))
 
 
-@R.query()
+@R.query(f"with {_windows(10)} select class, count(*) as pairs, round(avg(x), 6) as npmi from val where j < i group by 1")
 def e_coherence_npmi(spark, d):
-    tops = _top(spark, d, "lang")
-    return T.coherence(tops, T.cooccurrence(table(spark, d, "documents"), tops)).select("class", F.round("npmi", 6).alias("npmi"))
+    docs, tops = table(spark, d, "documents"), C.fixed(_top(spark, d, "lang"))
+    return C.c_npmi(tops, C.window_counts(docs, tops, C.NPMI_WINDOW)).withColumn("npmi", F.round("npmi", 6))
+
+
+@R.query(f"""with {_windows(110)}, sm as (select class, j, sum(x) as s from val group by 1, 2), cs as (select class, i, sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) as c from val join sm using (class, j) group by 1, 2)
+select class, count(*) as words, round(avg(c), 6) as c_v from cs group by 1""")
+def e_coherence_cv(spark, d):
+    docs, tops = table(spark, d, "documents"), C.fixed(_top(spark, d, "lang"))
+    return C.c_v(tops, C.window_counts(docs, tops, C.CV_WINDOW)).withColumn("c_v", F.round("c_v", 6))
 
 
 @R.query(f"""with {_weights('lang')}, {_weights('source', '_s')}, l as (select class, list(word) as ws from top group by 1), r as (select class, list(word) as ws from top_s group by 1)
 select l.class as class, round(max(len(list_intersect(l.ws, r.ws)) * 1.0e0 / len(list_distinct(list_concat(l.ws, r.ws)))), 6) as best from l, r group by 1""")
 def d_best_jaccard(spark, d):
-    return T.best_jaccard(_top(spark, d, "lang"), _top(spark, d, "source")).withColumn("best", F.round("best", 6))
+    return T.best_jaccard(C.fixed(_top(spark, d, "lang")), C.fixed(_top(spark, d, "source"))).withColumn("best", F.round("best", 6))
 
 
 @R.query(f"select word, count(*) as n from (select unnest({TOKENS}) as word from documents) group by 1 order by n desc, word limit 200")

@@ -115,6 +115,15 @@ def e_kendall(spark, d):
     return S.correlation(table(spark, d, "lineitem"), "l_linenumber", "l_quantity", "kendall").withColumn("r", F.round("r", 6))
 
 
+@R.query("""with c as (select l_extendedprice::double as x, l_quantity::double as y, count(*) as n from lineitem where l_extendedprice is not null and l_quantity is not null group by 1, 2),
+v as (select distinct y as v from c), w as (select x, y, n, v, case when y = v then n else 0 end as m from c, v),
+b as (select y, n, v, sum(m) over (partition by v order by x) - sum(m) over (partition by v, x) as earlier from w), d as (select sum(n::hugeint * earlier) as d from b where v > y),
+s as (select sum(n)::hugeint as n, sum(n::hugeint * (n - 1)) / 2 as txy from c), tx as (select sum(n::hugeint * (n - 1)) / 2 as tx from (select x, sum(n) as n from c group by 1)), ty as (select sum(n::hugeint * (n - 1)) / 2 as ty from (select y, sum(n) as n from c group by 1))
+select s.n::bigint as n, round((s.n * (s.n - 1) / 2 - tx - ty + txy - 2 * d)::double / (sqrt(s.n * (s.n - 1) / 2 - tx) * sqrt(s.n * (s.n - 1) / 2 - ty)), 6) as r from s, tx, ty, d""")
+def e_kendall_continuous(spark, d):
+    return S.correlation(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "kendall").withColumn("r", F.round("r", 6))
+
+
 @R.query("""with g as (select c_mktsegment as k, count(*)::double as n, avg(c_acctbal) as m, var_samp(c_acctbal) as v from customer where c_mktsegment in ('AUTOMOBILE', 'BUILDING') group by 1),
 w as (select a.n as n1, a.m as m1, a.v as v1, b.n as n2, b.m as m2, b.v as v2 from g a, g b where a.k = 'AUTOMOBILE' and b.k = 'BUILDING')
 select round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) as t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) as df from w""")
