@@ -10,28 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .delimited import read_delimited  # noqa: F401  the scans of this package are found here
+
 # Limits of an archive.
 MEMBERS, MEMBER_BYTES, TOTAL_BYTES, RATIO = 1000, 500 << 20, 1 << 30, 200
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema=None) -> DataFrame:
-    """Delimited text with a header; each file is UTF-8, or Latin-1 where its bytes aren't valid UTF-8.
-
-    Lines are checked in parallel; files of either kind are read together. Where inferred types
-    differ between the two kinds, the column is text.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
-    kinds = lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect()  # a row for each file, which a scan's driver lists too
-    frames = []
-    for ok, encoding in ((True, "UTF-8"), (False, "ISO-8859-1")):
-        if files := [r["file"] for r in kinds if r["ok"] == ok]:
-            reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
-            frames.append((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(files))
-    if not frames:
-        return spark.read.option("header", True).option("sep", separator).csv(path)
-    return _together(frames)
-
-
 def _together(frames: list[DataFrame]) -> DataFrame:
     """The rows of one or two frames by column name; a column of two types becomes text."""
     if len(frames) == 1:
@@ -43,14 +27,14 @@ def _together(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Each file as JSON lines, or as one document where none of its lines is an object of its own.
+    """Each file as JSON lines where its first line that isn't blank is a whole value, else as one document.
 
     A broken line of a file of JSON lines is a row with ``_corrupt_record``; its other lines are read as ever.
     """
-    line = F.trim(F.col("value"))
-    object_ = line.startswith("{") & line.endswith("}") & F.get_json_object("value", "$").isNotNull()
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), object_.alias("own"), line.startswith("[").alias("list"))
-    kinds = rows.groupBy("file").agg((F.bool_or("own") & ~F.bool_or("list")).alias("lines")).collect()  # a row for each file
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), "value").where("trim(value) <> ''")
+    first = rows.groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    kinds = first.select("file", F.try_parse_json("value").isNotNull().alias("lines")).collect()  # a row for each file
     reader = spark.read.schema(schema) if schema else spark.read
     frames = []
     for lines in (True, False):
