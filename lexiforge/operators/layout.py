@@ -128,9 +128,10 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.where("__b <> ''").groupBy(*place_of(rows)).agg(F.array_join(F.transform(items, lambda s: s["b"]), "\n\n").alias("text"))
 
 
-def region_counts(regions: DataFrame, by: str = "page") -> DataFrame:
-    """E22."""
-    return regions.groupBy(by, "type").agg(F.count("*").alias("n"))
+def region_counts(regions: DataFrame, by: str | list[str] | None = None) -> DataFrame:
+    """Regions of each type, on each page of each document unless other columns are named."""
+    keys = place_of(regions) if by is None else [by] if isinstance(by, str) else by
+    return regions.groupBy(*keys, "type").agg(F.count("*").alias("n"))
 
 
 def reading_order(controls: DataFrame) -> DataFrame:
@@ -153,31 +154,34 @@ def _rows(pdf: pd.DataFrame) -> pd.DataFrame:
             centres.append(mid)
             k = len(centres) - 1
         out.append(centres[k])
-    return pdf.sort_values("ord").assign(row_y=out)[["page", "question_id", "shape", "control_id", "ord", "row_y", "x"]]
+    return pdf.sort_values("ord").assign(row_y=out).drop(columns="bbox")
 
 
 def answer_groups(controls: DataFrame) -> DataFrame:
-    """Rows of controls and the answers that they form.
+    """Rows of controls and the answers that they form, on each page of each document.
 
-    ``controls(page, question_id, shape, control_id, ord, bbox)``. Rows of several controls are an answer each;
+    ``controls([document, ]page, question_id, shape, control_id, ord, bbox)``. Rows of several controls are an answer each;
     consecutive rows of one control are one answer together. Boxes allow several choices.
     """
-    w = W.partitionBy("page", "question_id", "shape")
-    rows = controls.withColumn("x", F.col("bbox")[0]).groupBy("page", "question_id", "shape").applyInPandas(
-        _rows, "page int, question_id string, shape string, control_id string, ord int, row_y int, x double")
-    rows = rows.withColumn("n", F.count("*").over(W.partitionBy("page", "question_id", "shape", "row_y")))
-    lines = rows.select("page", "question_id", "shape", "row_y", "n").distinct().withColumn("before", F.lag("n").over(w.orderBy("row_y")))
-    lines = lines.withColumn("start", F.when((F.col("n") == 1) & (F.coalesce("before", F.lit(2)) == 1), 0).otherwise(1)).withColumn("g", F.sum("start").over(w.orderBy("row_y")))
-    out = rows.join(lines.select("page", "question_id", "shape", "row_y", "g"), ["page", "question_id", "shape", "row_y"])
-    numbers = out.groupBy("page", "question_id", "shape", "g").agg(F.min("ord").alias("o")).withColumn("k", F.row_number().over(W.partitionBy("page", "question_id").orderBy("shape", "g")))
-    out = out.join(numbers.drop("o"), ["page", "question_id", "shape", "g"])
-    return out.select("page", "question_id", "control_id", F.concat("question_id", F.format_string("_r%02d", "k")).alias("row_id"), F.when(F.col("shape") == "box", "multiple").otherwise("single").alias("rule"),
-                      F.row_number().over(W.partitionBy("page", "question_id", "k").orderBy("row_y", "x")).alias("position"))
+    at = [*place_of(controls), "question_id"]
+    by = [*at, "shape"]
+    rows = controls.select(*by, "control_id", F.col("ord").cast("int"), "bbox", F.col("bbox")[0].cast("double").alias("x"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "bbox")
+    rows = rows.groupBy(*by).applyInPandas(_rows, kinds + ", row_y int")
+    rows = rows.withColumn("n", F.count("*").over(W.partitionBy(*by, "row_y")))
+    w = W.partitionBy(*by).orderBy("row_y")
+    lines = rows.select(*by, "row_y", "n").distinct().withColumn("before", F.lag("n").over(w))
+    lines = lines.withColumn("start", F.when((F.col("n") == 1) & (F.coalesce("before", F.lit(2)) == 1), 0).otherwise(1)).withColumn("g", F.sum("start").over(w))
+    out = rows.join(lines.select(*by, "row_y", "g"), [*by, "row_y"])
+    numbers = out.groupBy(*by, "g").agg(F.min("ord").alias("o")).withColumn("k", F.row_number().over(W.partitionBy(*at).orderBy("shape", "g")))
+    out = out.join(numbers.drop("o"), [*by, "g"])
+    return out.select(*at, "control_id", F.concat("question_id", F.format_string("_r%02d", "k")).alias("row_id"), F.when(F.col("shape") == "box", "multiple").otherwise("single").alias("rule"),
+                      F.row_number().over(W.partitionBy(*at, "k").orderBy("row_y", "x")).alias("position"))
 
 
 def row_bands(rows: DataFrame) -> DataFrame:
-    """each row's band, from midway to the row before to midway to the next."""
-    w = W.partitionBy("page").orderBy("centre")
+    """each row's band, from midway to the row before to midway to the next, on its page."""
+    w = W.partitionBy(*place_of(rows)).orderBy("centre")
     return rows.withColumn("top", (F.lag("centre").over(w) + F.col("centre")) / 2).withColumn("bottom", (F.lead("centre").over(w) + F.col("centre")) / 2)
 
 

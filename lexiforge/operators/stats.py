@@ -79,7 +79,7 @@ def _kendall(both: DataFrame) -> DataFrame:
     n0 = pairs(F.col("n"))
     # Of all pairs those are concordant that are neither tied nor discordant.
     s = (n0 - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d") - F.col("d")).cast("double")
-    r = F.try_divide(s, F.sqrt((n0 - F.col("tx")).cast("double")) * F.sqrt((n0 - F.col("ty")).cast("double")))
+    r = F.try_divide(s, F.sqrt((n0 - F.col("tx")).cast("double") * (n0 - F.col("ty")).cast("double")))
     return row.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 3, r).alias("r"))
 
 

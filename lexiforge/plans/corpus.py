@@ -153,18 +153,26 @@ def f_break_chunks(spark, d):
     return chunks.select("doc_id", "chunk", F.length("text").alias("chars"))
 
 
-# The text's own dollars, slashes and brackets go, so that both sides read the same spans behind a known head.
-_HEAD = ("Read [page ", "](http://a.b/", ") and `x_", "` or {slot} ")
-_SPANS = r"(`[^`\n]+`|</?[A-Za-z][^>]*>|www\.\S+|[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+|\{[A-Za-z_][\w.]*\}|%\([^)]+\)[sdif]|%[\-0-9.+ #]*[sdifxXoeEgG])"
+# Spans of every kind with the document's number (#) in them, between words that stay open; the text's own signs go, so that these are all.
+_KINDS = ["](http://a.b/#)", "`x_#`", "{slot.n}", "$$a_#$$", r"\(b_#\)", r"\[c_#\]", "$d_#$", "![i #](u_#)", "<b id='#'>", "</b>", "www.x#.org", "me+#@mail.x.org", "/usr/lib_#/x", "%(n)s", "%05.2f", "https://c.d/#?q=1"]
+_SHOWN = ["[page #" + _KINDS[0], *_KINDS[1:]]
+_SIGNS = "`~$\\![]<>{}%/@:#"
 
 
-@R.query(f"""with t as (select doc_id, translate(coalesce(text, ''), '$\\/[]', '     ') as t from documents)
-select doc_id, array_to_string(list_concat(['](http://a.b/' || doc_id || ')', '`x_' || doc_id || '`', '{{slot}}'], regexp_extract_all(t, '{_SPANS}')), chr(1)) as kept, true as same from t""")
+@R.query("""with t as (select doc_id, replace(translate(coalesce(text, ''), '{signs}', ''), 'www.', 'www') as t from documents)
+select doc_id, replace('{kept}', '#', doc_id::varchar) as kept, true as same, length(t) > 0 as filled from t""".format(signs=_SIGNS, kept="\x01".join(_KINDS).replace("'", "''")))
 def p_shield_round_trip(spark, d):
-    n = F.col("doc_id").cast("string")
-    head = F.concat(F.lit(_HEAD[0]), n, F.lit(_HEAD[1]), n, F.lit(_HEAD[2]), n, F.lit(_HEAD[3]))
-    rows = table(spark, d, "documents").select("doc_id", F.concat(head, F.translate(F.coalesce("text", F.lit("")), "$\\/[]", "     ")).alias("text")).withColumn("m", U.mask("text"))
-    return rows.select("doc_id", F.array_join("m.kept", "\x01").alias("kept"), (U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text")).alias("same"))
+    own = F.replace(F.translate(F.coalesce("text", F.lit("")), _SIGNS, ""), F.lit("www."), F.lit("www"))
+    head = F.replace(F.lit(" word ".join(_SHOWN) + " "), F.lit("#"), F.col("doc_id").cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(head, own).alias("text"), (F.length(own) > 0).alias("filled")).withColumn("m", U.mask("text"))
+    return rows.select("doc_id", F.array_join("m.kept", "\x01").alias("kept"), (U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text")).alias("same"), "filled")
+
+
+@R.query("select doc_id, true as same, 0 as addresses from documents")
+def p_shield_texts(spark, d):
+    rows = table(spark, d, "documents").withColumn("m", U.mask("text"))
+    return rows.select("doc_id", F.coalesce(U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text"), F.lit(True)).alias("same"),
+                       F.regexp_count(F.coalesce("m.masked", F.lit("")), F.lit(r"https?://[a-z]")).alias("addresses"))
 
 
 @R.query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),

@@ -152,15 +152,14 @@ def f_dominant_band(spark, d):
 
 
 @R.query("""with s as (select user_id as g, value as low, nth_value(value, 3) over (partition by user_id order by value rows between current row and 2 following) as high from events)
-select g as "group", round(min(high - low), 6) as spread from s where high is not null group by 1""")
+select g as "group", low, high from (select *, row_number() over (partition by g order by high - low, low) as i from s where high is not null) where i = 1""")
 def f_most_uniform(spark, d):
-    out = L.most_uniform(table(spark, d, "events").select(F.col("user_id").alias("group"), "value"), 3)
-    return out.select("group", F.round(F.col("high") - F.col("low"), 6).alias("spread"))
+    return L.most_uniform(table(spark, d, "events").select(F.col("user_id").alias("group"), "value"), 3)
 
 
-@R.query("""with r as (select user_id as page, value as centre from events group by 1, 2) select page, centre, (lag(centre) over w + centre) / 2 as top, (lead(centre) over w + centre) / 2 as bottom from r window w as (partition by page order by centre)""")
+@R.query("""with r as (select event_type as document, user_id as page, value as centre from events group by 1, 2, 3) select document, page, centre, (lag(centre) over w + centre) / 2 as top, (lead(centre) over w + centre) / 2 as bottom from r window w as (partition by document, page order by centre)""")
 def f_row_bands(spark, d):
-    return L.row_bands(table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("value").alias("centre")).distinct()).select("page", "centre", "top", "bottom")
+    return L.row_bands(table(spark, d, "events").select(F.col("event_type").alias("document"), F.col("user_id").alias("page"), F.col("value").alias("centre")).distinct()).select("document", "page", "centre", "top", "bottom")
 
 
 @R.query("""with g as (select event_type as text, event_id % 5 as body, min(event_id) as group_id from events group by 1, 2) select group_id, text, body from g""")

@@ -74,7 +74,7 @@ def g_control_order(spark, d):
     return L.reading_order(_controls(spark, d)).select("document", "page", "control_id", "position")
 
 
-@R.query(f"with {LINES}, {REGIONS} select page, type, count(*) as n from reg group by 1, 2")
+@R.query(f"with {LINES}, {REGIONS} select document, page, type, count(*) as n from reg group by 1, 2, 3")
 def e_region_counts(spark, d):
     return L.region_counts(_regions(spark, d))
 
@@ -96,3 +96,17 @@ def e_score_summary(spark, d):
     q, n = F.col("l_quantity"), F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select((q > 20).alias("flagged"), (q % 7 != 3).alias("correct"), (n == 7).alias("human_unsure"), F.when(n == 6, "x").otherwise("").alias("unmatched"), F.col("l_discount").cast("double").alias("certainty"))
     return V.score_summary(rows)
+
+
+@R.query("""with c as (select distinct l_suppkey % 40 as document, l_partkey % 3 as page, 'q' || l_linenumber % 3 as q, case when l_returnflag = 'R' then 'box' else 'circle' end as shape, (l_quantity::int % 9) * 60 as y, (l_partkey % 4) * 60 as x from lineitem),
+r as (select document, page, q, shape, y, count(*) as n from c group by all), s as (select *, lag(n) over (partition by document, page, q, shape order by y) as before from r),
+g as (select *, sum(case when n = 1 and coalesce(before, 2) = 1 then 0 else 1 end) over (partition by document, page, q, shape order by y) as g from s),
+k as (select *, dense_rank() over (partition by document, page, q order by shape, g) as k from g)
+select c.document as document, c.page as page, c.q as question_id, c.shape || c.y || '_' || c.x as control_id, c.q || '_r' || lpad(k::varchar, 2, '0') as row_id, case c.shape when 'box' then 'multiple' else 'single' end as rule,
+row_number() over (partition by c.document, c.page, c.q, k order by c.y, c.x) as position from c join k using (document, page, q, shape, y)""")
+def f_answer_groups(spark, d):
+    n, y, x = F.col("l_linenumber") % 3, (F.col("l_quantity").cast("int") % 9) * 60, (F.col("l_partkey") % 4) * 60
+    shape = F.when(F.col("l_returnflag") == "R", "box").otherwise("circle")
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("document"), (F.col("l_partkey") % 3).alias("page"), F.concat(F.lit("q"), n).alias("question_id"), shape.alias("shape"),
+                                              F.concat(shape, y, F.lit("_"), x).alias("control_id"), (x * 100 + y).alias("ord"), F.array(*[v.cast("double") for v in (x, y, x + 34, y + 34)]).alias("bbox")).distinct()
+    return L.answer_groups(rows)

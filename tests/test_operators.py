@@ -92,6 +92,15 @@ def test_answer_groups(spark):
     assert got == {**{f"q1_r0{k}": (5, "single") for k in (1, 2, 3, 4)}, "q2_r01": (5, "multiple")}
 
 
+def test_answer_groups_of_several_documents(spark):
+    rows = [(doc, 1, "q", "box", f"k{k}", k, [0.0, k * 60.0, 34.0, k * 60.0 + 34]) for doc in ("a", "b") for k in range(3)]
+    df = spark.createDataFrame(rows, "document string, page int, question_id string, shape string, control_id string, ord int, bbox array<double>")
+    got = {(r.document, r.row_id): r.n for r in L.answer_groups(df).groupBy("document", "row_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", "q_r01"): 3, ("b", "q_r01"): 3}
+    bands = L.row_bands(spark.createDataFrame([("a", 1, 0.0), ("a", 1, 10.0), ("b", 1, 4.0)], "document string, page int, centre double"))
+    assert sorted((r.document, r.centre, r.top, r.bottom) for r in bands.collect()) == [("a", 0.0, None, 5.0), ("a", 10.0, 5.0, None), ("b", 4.0, None, None)]
+
+
 def test_sequences(spark):
     m = spark.createDataFrame([("c", float(y)) for y in (0, 10, 20, 40, 50)], "column string, y double")
     assert [(r.column, r.y) for r in L.recovered_gap(m).collect()] == [("c", 30.0)]
