@@ -75,6 +75,27 @@ def semi(big: DataFrame, ids: DataFrame, key: str, limit: int = 500_000, how: st
     return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``docs`` with a column ``key``: the id, but a number of its own for each further text of an id that has several.
+
+    Rows that share id and text share the key. Of an id's texts the one with the smallest hash keeps the id, the others' keys
+    are beyond all ids. Usually no id has several texts, which one aggregation of two numbers for each row finds out.
+    """
+    own = docs.withColumn(key, F.col(id_col).cast("long"))
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), h.alias("h"))
+    per = rows.groupBy("i").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    found = per.agg(F.max("i").alias("most"), F.count_if(F.col("lo") < F.col("hi")).alias("n")).first()
+    if not found["n"]:
+        return own
+    if found["most"] >= 2**62:
+        raise ValueError("ids with several texts need ids below 2 ** 62")
+    others = rows.join(per.where("lo < hi"), "i").where("h > lo").select("i", "h").distinct()
+    others = written(others.withColumn("new", F.lit(found["most"] + 1) + F.monotonically_increasing_id()), "further-texts")
+    out = own.withColumn("__h", h).join(others.withColumnsRenamed({"i": "__i", "h": "__g"}), (F.col(key) == F.col("__i")) & (F.col("__h") == F.col("__g")), "left")
+    return out.withColumn(key, F.coalesce("new", key)).drop("__h", "__i", "__g", "new")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` (longs): one row ``(id, component)`` per node.
 

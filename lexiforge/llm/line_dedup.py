@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, components, mixed, point_table, powers, releasing, replaced, semi, text_runs, written
+from .common import batch, components, mixed, point_table, powers, releasing, replaced, semi, text_runs, told_apart, written
 
 #: The least lengths of lines with one edit and with two.
 LENGTHS = (12, 30)
@@ -290,9 +290,11 @@ def dedup_lines(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str
     All rows and columns stay (a document all of whose lines are repeats gets an empty
     text); columns named ``n_lines`` or ``n_removed`` are replaced. Blank lines count for
     nothing and stay. Null or empty text has no lines. Rows with a null id are kept
-    unchanged and matched with nothing. Rows that share an id are one document given
-    twice: they keep and lose the same line numbers. Ties: the smallest id, then the first line.
+    unchanged and matched with nothing. Rows that share id and text are one document given
+    twice: they keep and lose the same line numbers. Rows that share an id with different texts are documents of
+    their own, the further ones behind all others. Ties: the smallest id, then the first line. An empty table stays empty.
     """
+    given, docs, id_col = docs.columns, told_apart(docs, id_col, text_col, "__line_key"), "__line_key"
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     occ = written(base.mapInArrow(releasing(_occurrences), "h long, g long, doc long, line int"), "line-occurrences")
     roots = line_classes(docs, occ, lengths, id_col, text_col).select(F.col("id").alias("h"), "component")
@@ -304,8 +306,8 @@ def dedup_lines(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, id_col: str
     counts = occ.groupBy("doc").agg(F.count_distinct("line").alias("__line_n"))
     gone = gone.groupBy("doc").agg(F.collect_set("line").alias("__line_gone"))  # at most the lines of one document
     found = counts.join(gone, "doc", "left").withColumnRenamed("doc", "__line_doc")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*[f"`{c}`" for c in names]).join(found, F.col(id_col).cast("long") == F.col("__line_doc"), "left")
+    names = [c for c in given if c not in ("n_lines", "n_removed")]
+    out = docs.join(found, F.col(id_col) == F.col("__line_doc"), "left")
     out = out.select(*[f"`{c}`" for c in names], F.coalesce("__line_n", F.lit(0)).cast("long").alias("__line_n"), "__line_gone")
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in names]).schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.IntegerType())])
     return out.mapInArrow(releasing(_without(names.index(text_col))), schema)

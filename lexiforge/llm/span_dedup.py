@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, replaced, running, semi, span_hash, words, written
+from .common import IS_SPACE, batch, chunks, mixed, powers, releasing, replaced, running, semi, span_hash, told_apart, words, written
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
@@ -354,10 +354,12 @@ def dedup_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int
     All rows and columns stay (also a document all of whose text was repeated: its
     text is then empty); an unchanged text stays byte for byte, and columns named
     ``n_units`` or ``n_removed`` are replaced. Null or empty text has no units and stays. Rows with a
-    null id are kept unchanged, with 0 units, and matched with nothing. Rows that share an id are
-    one document given twice: they keep and lose the same sentences. Ties of
-    position: the smallest id comes first.
+    null id are kept unchanged, with 0 units, and matched with nothing. Rows that share id and text are
+    one document given twice: they keep and lose the same sentences. Rows that share an id with different texts are
+    documents of their own, the further ones behind all others. Ties of
+    position: the smallest id comes first. An empty table stays empty.
     """
+    given, docs, id_col = docs.columns, told_apart(docs, id_col, text_col, "__span_key"), "__span_key"
     found = written(_found(docs, min_words, least, long, id_col, text_col), "span-repeats")
     gone = found.where("id2 is not null")
     if passage:
@@ -367,9 +369,9 @@ def dedup_spans(docs: DataFrame, min_words: int = 20, least: int = 2, long: int
              .unionByName(gone.select("id", F.lit(0).alias("n"), F.struct("at", "n").alias("gone")))
              .groupBy(F.col("id").alias("__span_id")).agg(F.max("n").alias("__span_n"), F.collect_list("gone").alias("__span_gone")))
     about = about.withColumn("__span_gone", F.expr("if(size(__span_gone) > 0, __span_gone, null)"))
-    names = [c for c in docs.columns if c not in ("n_units", "n_removed")]
+    names = [c for c in given if c not in ("n_units", "n_removed")]
     own = docs.select(*[f"`{c}`" for c in names])
-    out = own.join(about, F.col(id_col).cast("long") == F.col("__span_id"), "left")
+    out = docs.join(about, F.col(id_col) == F.col("__span_id"), "left")
     out = out.select(*[f"`{c}`" for c in names], F.coalesce("__span_n", F.lit(0)).cast("long").alias("__span_n"), "__span_gone")
     schema = T.StructType([*own.schema, T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType())])
     return out.mapInArrow(releasing(_rewrite(names.index(text_col), long)), schema)
