@@ -106,3 +106,34 @@ def test_udfs_run(spark):
     df = spark.createDataFrame([("a `x` b",), (None,), ("",)], "t string")
     rows = df.select(U.unmask(U.mask("t")["masked"], U.mask("t")["kept"]).alias("u"), U.sentence_chunks("t").alias("c"), U.reflowed("t").alias("r"), U.shielded_translation(F.col("t"), lambda s: s.str.upper()).alias("p")).collect()
     assert [r.u for r in rows] == ["a `x` b", None, ""] and rows[1].c == [] and rows[0].p == "A `x` B" and rows[1].p is None
+
+
+def longest_run(a, b):
+    """The longest common run, the first in a and then in b, by trying every place."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if k > best[2]:
+                best = (i, j, k)
+    return best
+
+
+def naive_pairs(a, b, i0=0, j0=0):
+    i, j, k = longest_run(a, b)
+    if not k:
+        return []
+    return naive_pairs(a[:i], b[:j], i0, j0) + [(i0 + i + t, j0 + j + t) for t in range(k)] + naive_pairs(a[i + k :], b[j + k :], i0 + i + k, j0 + j + k)
+
+
+def test_longest_blocks():
+    import random
+
+    rng = random.Random(11)
+    for n in range(120):
+        a, b = ([rng.choice("abcd"[: 2 + n % 3]) for _ in range(rng.randrange(25))] for _ in range(2))
+        assert U.common_pairs(a, b) == naive_pairs(a, b)
+    # the longest run wins over more anchors
+    assert U.common_pairs(list("abxcd"), list("cdab")) == [(0, 2), (1, 3)]
