@@ -247,7 +247,7 @@ def markdown_kind(line: Column) -> Column:
     return (F.when(line.rlike(r"^\s*(```|~~~)"), "fence").when(line.rlike(r"^\s{0,3}#{1,6}\s"), "heading")
             .when(line.rlike(r"^\s{0,3}([-*_])(\s*\1){2,}\s*$"), "rule").when(line.rlike(r"^\s*>"), "quote")
             .when(line.rlike(r"^\s*([-*+]|\d+[.)])\s"), "list").when(line.rlike(r"^\s*\|"), "table")
-            .when(F.trim(line) == "", "blank").otherwise("text"))
+            .when(line.rlike(r"^\s*$"), "blank").otherwise("text"))
 
 
 def translatable(cell: Column) -> Column:
