@@ -5,8 +5,8 @@ shard whose residual capacity has the largest dot product with the group's
 vector, both scaled by the totals. Groups are dealt to buckets of bounded size;
 each bucket packs against its own share of every shard's capacity, so that
 placing is parallel and each task holds a bounded number of groups. A group that
-is larger than ``1 / split`` of a shard in any dimension is first split into
-pieces, since no whole placement of a group of a third of all rows is level.
+is larger than ``1 / whole`` of a shard in any dimension is first split into
+pieces of ``1 / split`` of one, since no whole placement of a group of a third of all rows is level.
 """
 
 from __future__ import annotations
@@ -44,15 +44,15 @@ def _place(room0: np.ndarray):
     return place
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", split: int = 16, per_bucket: int = PER_BUCKET, head: int = HEAD, per_slot: int = 50_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", whole: int = 3, split: int = 16, per_bucket: int = PER_BUCKET, head: int = HEAD, per_slot: int = 50_000) -> DataFrame:
     """Assign every row to one of ``shards`` shards with near equal bytes, words and rows.
 
     Returns one row per input row: the id, ``size`` (UTF-8 bytes of the text plus 8),
     ``text_crc32``, ``law`` (always ``bytes``), ``shard``, ``slot`` (gapless from 0
     within a shard) and ``grown_shard`` (null: only the law ``key`` has it).
 
-    Equal texts share a shard unless their group exceeds ``1/split`` of a shard;
-    it is then dealt out in equal pieces by row hash. Null text: no bytes, CRC 0,
+    Equal texts share a shard unless their group exceeds ``1/whole`` of a shard;
+    it is then dealt out in pieces of about ``1/split`` of one by row hash. Null text: no bytes, CRC 0,
     grouped with the empty text. Null and repeated ids: each row is placed as any other.
     Empty input: no rows. Other columns are ignored, whatever their names.
     """
@@ -67,16 +67,16 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     n, *total = groups.agg(F.count("*"), F.sum("bytes"), F.sum("tokens"), F.sum("rows")).first()
     total = [float(x or 1) for x in total]
     share = F.greatest(*(F.col(c) / F.lit(x / shards) for c, x in zip(("bytes", "tokens", "rows"), total)))
-    groups = groups.withColumn("pieces", F.when(share > 1 / split, F.ceil(share * split)).otherwise(1).cast("int"))
-    # At most 3 * shards * split groups can be that large.
+    groups = groups.withColumn("pieces", F.when(share > 1 / whole, F.ceil(share * split)).otherwise(1).cast("int"))
+    # At most 3 * shards * whole groups can be that large.
     large = F.broadcast(groups.where("pieces > 1").select("g1", "g2", "pieces"))
     rows = (rows.join(large, ["g1", "g2"], "left")
             .withColumn("piece", F.coalesce(F.pmod("dealt", F.col("pieces")), F.lit(0)).cast("int")).drop("pieces"))
     buckets = max(1, -(-n // per_bucket))
     cut = (rows.join(large, ["g1", "g2"]).groupBy("g1", "g2", "piece")
            .agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
-    whole = groups.where("pieces = 1").select("g1", "g2", F.lit(0).alias("piece"), "bytes", "tokens", "rows")
-    items = whole.unionByName(cut)
+    entire = groups.where("pieces = 1").select("g1", "g2", F.lit(0).alias("piece"), "bytes", "tokens", "rows")
+    items = entire.unionByName(cut)
     share = F.greatest(*(F.col(c) / F.lit(x / shards) for c, x in zip(("bytes", "tokens", "rows"), total)))
     items = items.withColumn("bucket", F.when(share > 1 / head, 0).otherwise(1 + F.pmod(F.xxhash64("g1", "g2", "piece"), F.lit(buckets))).cast("int"))
     made = "g1 long, g2 long, piece int, bytes long, tokens long, rows long, shard int"
