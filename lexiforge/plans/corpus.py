@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions import udfs as U
 from ..operators import coherence as C
 from ..operators import topics as T
+from ..operators.density import density_clusters
 from .common import Registry, table
 
 R = Registry()
@@ -219,6 +220,11 @@ def l_embedding_topics(spark, d):
     return T.embedding_topics(table(spark, d, "embeddings"), 10)
 
 
+@R.query()
+def l_density_clusters(spark, d):
+    return density_clusters(table(spark, d, "embeddings"))
+
+
 @R.query()
 def l_lda(spark, d):
     return T.lda(table(spark, d, "documents"), 5, iterations=5)[1]
