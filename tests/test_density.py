@@ -23,8 +23,7 @@ def plain_clusters(x, least):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     core = np.sort(d, axis=1)[:, least]
     links = sorted((max(d[a, b], core[a], core[b]), a, b) for a in range(n) for b in range(a + 1, n))
-    group, tree = {i: (i,) for i in range(n)}, {}
-    find = {i: (i,) for i in range(n)}
+    find, tree = {i: (i,) for i in range(n)}, {}
     for w, a, b in links:
         ga, gb = find[a], find[b]
         if ga != gb:
@@ -32,7 +31,6 @@ def plain_clusters(x, least):
             tree[both] = (ga, gb, w)
             for i in both:
                 find[i] = both
-    assert group
 
     def walk(rows, birth):
         """(own excess, best excess, chosen clusters) of the cluster that begins as ``rows``."""
