@@ -107,7 +107,7 @@ def clean_label(text: Column, most: int = 70) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after sentence punctuation and white space; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?。！？])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(text, F.lit("\n ")), r"(?<=[.!?。！？])\s+"), lambda s: F.trim(s)), lambda s: s != "")  # a bare F.trim would take the position for the characters to trim
 
 
 def line_parts(text: Column) -> Column:
