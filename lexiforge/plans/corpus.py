@@ -154,16 +154,29 @@ def f_break_chunks(spark, d):
     return chunks.select("doc_id", "chunk", F.length("text").alias("chars"))
 
 
-# Spans of every kind with the document's number (#) in them, between words that stay open; the text's own signs go, so that these are all.
+# Spans of every kind with the document's number (#) in them stand before the whole text, whose own spans stay as well.
 _KINDS = ["](http://a.b/#)", "`x_#`", "{slot.n}", "$$a_#$$", r"\(b_#\)", r"\[c_#\]", "$d_#$", "![i #](u_#)", "<b id='#'>", "</b>", "www.x#.org", "me+#@mail.x.org", "/usr/lib_#/x", "%(n)s", "%05.2f", "https://c.d/#?q=1"]
 _SHOWN = ["[page #" + _KINDS[0], *_KINDS[1:]]
-_SIGNS = "`~$\\![]<>{}%/@:#"
+# The same spans as one pattern for SQL, which can't look behind: U+F8F2 marks slashes that may open a path, U+F8F3 escaped dollars.
+_BLANK = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPANS = "|".join([
+    r"(?m:^)[ \t]*`{3}[^\n]*\n(?:[^\n]*\n)*?[ \t]*`{3}[ \t]*(?m:$)", r"(?m:^)[ \t]*~{3}[^\n]*\n(?:[^\n]*\n)*?[ \t]*~{3}[ \t]*(?m:$)", r"`[^`\n]+`",
+    r"\x{F8F3}?\$\$(?s:.+?)\$\$", r"\x{F8F3}\$", rf"\$[^${_BLANK}](?:[^$\n]*[^${_BLANK}])?\$", r"\\\[(?s:.+?)\\\]", r"\\\((?s:.+?)\\\)", r"!\[[^\]]*\]\((?s:.)[^)]*\)",
+    rf"\[[^\]\n]+\]\([^){_BLANK}]+(?:[{_BLANK}]+\"[^\"]*\")?\)", r"<\x{F8F2}?/?[A-Za-z][^>]*>", r"\{[A-Za-z_][A-Za-z0-9_.]*\}", r"%\([^)]+\)[sdif]", r"%[0-9+\-#. ]*[dioxXeEfgGs]",
+    rf"(?:https?|ftp)://[^{_BLANK}]+", rf"www\.[^{_BLANK}]+", r"\x{F8F2}(?:/[A-Za-z0-9_.\-]+){2,}/?", r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+"])
 
 
-@R.query("""with t as (select doc_id, replace(translate(coalesce(text, ''), '{signs}', ''), 'www.', 'www') as t from documents)
-select doc_id, replace('{kept}', '#', doc_id::varchar) as kept, true as same, length(t) > 0 as filled from t""".format(signs=_SIGNS, kept="\x01".join(_KINDS).replace("'", "''")))
+def _spans_sql(text: str) -> str:
+    """SQL for the list of spans in a text, a link without its label."""
+    marked = rf"regexp_replace(regexp_replace({text}, '(^|[^A-Za-z0-9_/])(/[A-Za-z0-9_.\-])', '\1' || chr(63730) || '\2', 'g'), '\\\$', '\\' || chr(63731) || '$', 'g')"
+    found = f"list_filter(regexp_extract_all({marked}, '{_SPANS}'), lambda s: s <> chr(63731) || '$')"
+    return rf"list_transform({found}, lambda s: replace(replace(case when s[1] = '[' then regexp_replace(s, '^\[[^\]\n]+', '') else s end, chr(63730), ''), chr(63731), ''))"
+
+
+@R.query("""with t as (select doc_id, coalesce(text, '') as own, replace('{head}', '#', doc_id::varchar) || own as t from documents)
+select doc_id, array_to_string({spans}, chr(1)) as kept, true as same, length(own) > 0 as filled from t""".format(head=(" word ".join(_SHOWN) + " ").replace("'", "''"), spans=_spans_sql("t")))
 def p_shield_round_trip(spark, d):
-    own = F.replace(F.translate(F.coalesce("text", F.lit("")), _SIGNS, ""), F.lit("www."), F.lit("www"))
+    own = F.coalesce("text", F.lit(""))
     head = F.replace(F.lit(" word ".join(_SHOWN) + " "), F.lit("#"), F.col("doc_id").cast("string"))
     rows = table(spark, d, "documents").select("doc_id", F.concat(head, own).alias("text"), (F.length(own) > 0).alias("filled")).withColumn("m", U.mask("text"))
     return rows.select("doc_id", F.array_join("m.kept", "\x01").alias("kept"), (U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text")).alias("same"), "filled")
