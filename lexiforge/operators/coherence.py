@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lineage import cut
 
 #: Windows of the two windowed measures; a window as long as any document counts documents.
 NPMI_WINDOW, CV_WINDOW, WHOLE = 10, 110, 2_000_000_000
@@ -47,19 +48,20 @@ def window_counts(docs: DataFrame, tops: DataFrame, size: int, text: str = "text
         raise ValueError(f"more than {MOST} top words")
     a, b = tops.select("class", F.col("word").alias("a")), tops.select("class", F.col("word").alias("b"))
     wanted = a.join(b, "class").where("a <= b").select("a", "b").distinct()
-    tokens = F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>"))
-    held = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(words))
-    rows = docs.select(tokens.alias("ws")).select(F.size("ws").alias("length"), held.alias("held"))
-    total = rows.agg(F.sum(windows(F.col("length"), size)).alias("total"))
-    places = lambda *who: F.transform(F.filter("held", lambda s: s["w"].isin(*who)), lambda s: s["i"])
-    some = rows.where(F.size("held") > 0).withColumn("here", F.array_distinct(F.transform("held", lambda s: s["w"])))
-    one = some.select("*", F.explode("here").alias("a"))
-    two = one.select("*", F.explode("here").alias("b")).join(F.broadcast(wanted), ["a", "b"])
-    union = covered(places(F.col("a"), F.col("b")), F.col("length"), size)
-    # Windows with either word of a pair; those with both are what the single counts have too much.
-    either = two.groupBy("a", "b").agg(F.sum(union).alias("either"), F.sum(covered(places(F.col("a")), F.col("length"), size) + covered(places(F.col("b")), F.col("length"), size)).alias("singles"))
-    n = F.when(F.col("a") == F.col("b"), F.col("either")).otherwise(F.col("singles") - F.col("either"))
-    found = either.select("a", "b", n.alias("n"))
+    rows = docs.select(X.tokens(F.col(text)).alias("ws")).select(F.size("ws").alias("length"), F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(words)).alias("held"))
+    here = F.array_distinct(F.transform("held", lambda s: s["w"]))
+    places = F.transform(here, lambda w: F.struct(w.alias("w"), F.transform(F.filter("held", lambda s: s["w"] == w), lambda s: s["i"]).alias("p")))
+    # Each word's places and windows once; a nameless word with none stands for the document itself, whose windows are the total.
+    seen = rows.select("length", places.alias("here")).select("length", F.transform("here", lambda h: F.struct(h["w"].alias("w"), h["p"].alias("p"), covered(h["p"], F.col("length"), size).alias("n"))).alias("here"))
+    none = F.array(F.struct(F.lit("").alias("w"), F.array().cast("array<int>").alias("p"), F.lit(0).cast("long").alias("n")))
+    one = seen.withColumn("here", F.concat(none, "here")).select("*", F.explode("here").alias("x"))
+    two = one.select("length", "x", F.explode(F.filter("here", lambda h: F.when(F.col("x.w") == "", h["w"] == "").otherwise(h["w"] >= F.col("x.w")))).alias("y"))
+    pairs = two.select("length", "x", "y", F.col("x.w").alias("a"), F.col("y.w").alias("b")).join(F.broadcast(wanted.unionByName(wanted.sparkSession.createDataFrame([("", "")], "a string, b string"))), ["a", "b"])
+    # Windows with both words are those with the first and those with the second less those with either.
+    either = covered(F.array_sort(F.concat("x.p", "y.p")), F.col("length"), size)
+    n = F.when(F.col("a") == "", windows(F.col("length"), size)).when(F.col("a") == F.col("b"), F.col("x.n")).otherwise(F.col("x.n") + F.col("y.n") - either)
+    found = cut(pairs.groupBy("a", "b").agg(F.sum(n).alias("n")))  # a row for each pair: read several times, counted once
+    total = found.where("a = ''").agg(F.sum("n").alias("total"))
     return wanted.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(total))  # total: one row
 
 
