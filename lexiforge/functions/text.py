@@ -16,6 +16,11 @@ YES_NO = [("ja", "nein"), ("yes", "no"), ("oui", "non"), ("sí", "no")]
 WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used: the optimiser may copy a column's expression into lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column, least: int = 3) -> Column:
     """Lower-case word tokens of at least ``least`` characters, without pure numbers."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{WORD}{{{least},}}"), F.lit(0))
@@ -77,7 +82,8 @@ def escaped(text: Column) -> Column:
 def html_plain(html: Column) -> Column:
     """Text of HTML, scripts and styles left out, white space collapsed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"[\s\x{A0}]+", " "))
+    open_ = F.when(html.contains("<"), F.regexp_replace(bare, r"(?s)<[^>]*>", " ")).otherwise(html)  # most cells have neither tags nor entities
+    return F.trim(F.regexp_replace(F.when(html.contains("&"), unescaped(open_)).otherwise(open_), r"[\s\x{A0}]+", " "))
 
 
 def html_rows(html: Column) -> Column:
@@ -147,6 +153,12 @@ def mark_glyphs(text: Column) -> Column:
     return F.filter(chars, lambda m: m["state"].isNotNull())
 
 
+def first_mark(text: Column) -> Column:
+    """The state of a text's first mark glyph, null if it has none."""
+    glyph = F.regexp_extract(text, f"[{CHECKED_GLYPHS}{UNCHECKED_GLYPHS}]", 0)
+    return F.when(glyph.isin(list(CHECKED_GLYPHS)), "checked").when(glyph.isin(list(UNCHECKED_GLYPHS)), "unchecked")
+
+
 def mark_state(text: Column) -> Column:
     """State and score that a text's check boxes show, null if none or ambiguous."""
     on, off = text.rlike(f"[{CHECKED_GLYPHS}]"), text.rlike(f"[{UNCHECKED_GLYPHS}]")

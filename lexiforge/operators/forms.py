@@ -41,7 +41,7 @@ def leaks(label: Column) -> Column:
 def resolved(label: Column) -> Column:
     """A label with something besides marks, punctuation and placeholders."""
     bare = F.trim(F.regexp_replace(X.html_plain(label), f"[{X.CHECKED_GLYPHS}{X.UNCHECKED_GLYPHS}|,.;:-]", ""))
-    return F.coalesce(~X.alphanumeric(bare).isin(*UNRESOLVED) & (bare != ""), F.lit(False))
+    return F.coalesce(X.let(bare, lambda b: ~X.alphanumeric(b).isin(*UNRESOLVED) & (b != "")), F.lit(False))
 
 
 def defect(question: Column, condition: Column, response: Column, rule: Column, choices: Column, rows: Column) -> Column:
@@ -77,7 +77,7 @@ def reliable(rows: Column) -> Column:
     """Whether table rows ``array<struct(label, options array<string>)>`` agree well enough to be a question."""
     key = lambda o: X.alphanumeric(o)
     first = F.transform(rows[0]["options"], key)
-    agree = F.forall(rows, lambda r: F.transform(r["options"], key) == first) & F.forall(rows, lambda r: F.forall(r["options"], lambda o: (F.trim(o) != "") & ~F.lower(o).startswith("option ")))
+    agree = X.let(first, lambda f: F.forall(rows, lambda r: F.transform(r["options"], key) == f)) & F.forall(rows, lambda r: F.forall(r["options"], lambda o: (F.trim(o) != "") & ~F.lower(o).startswith("option ")))
     labels = F.transform(rows, lambda r: X.alphanumeric(r["label"]))
     wide = (F.size(rows) == 1) & (F.size(first) >= 4)
     many = (F.size(rows) > 1) & F.forall(rows, lambda r: resolved(r["label"])) & (F.size(F.array_distinct(labels)) == F.size(rows))

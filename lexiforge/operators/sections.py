@@ -22,6 +22,7 @@ BOX_NAMES, BOX_SIGNS = ["bigotimes", "boxtimes", "square", "Box", "bigcirc"], "
 QUESTION_CHARS = 600
 
 OPTIONS = "array<struct<option_id: string, label: string, state: string>>"
+ROWS = f"array<struct<row: int, row_id: string, label: string, options: {OPTIONS}>>"
 
 
 def _key(regions: DataFrame) -> list[str]:
@@ -32,6 +33,35 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t|:;,\-]+|[ \t|:;,\-]+$", "")
 
 
+def _table(html: Column, region_id: Column) -> Column:
+    """The response rows of a region's table, made of its own row alone."""
+    cols = lambda r: F.filter(F.transform(r["states"], lambda s, i: F.when(s.isNotNull(), i)), lambda i: i.isNotNull())
+    read = F.transform(X.html_rows(html), lambda c: F.struct(c.alias("cells"), F.transform(c, X.first_mark).alias("states")))
+    parsed = F.transform(read, lambda r, i: F.struct(i.alias("row"), r["cells"].alias("cells"), r["states"].alias("states"), cols(r).alias("cols"), F.transform(r["cells"], resolved).alias("named")))
+    fits = lambda r, w: (F.size(r["cells"]) > F.array_max(w)) & (F.size(F.filter(w, lambda i: F.get(r["named"], i))) >= 2)
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("before"))
+
+    def headers(rows, wanted):
+        """For each row the last one before it that can head these columns."""
+        step = lambda acc, r: F.struct(F.when(fits(r, wanted), r["row"]).otherwise(acc["last"]).alias("last"), F.array_append(acc["before"], acc["last"]).alias("before"))
+        return F.aggregate(rows, start, step, lambda acc: acc["before"])
+
+    def shaped(r, h):
+        row_id = F.concat(region_id, F.lit("_r"), r["row"])
+        options = F.transform(r["cols"], lambda i, k: F.struct(
+            F.concat(row_id, F.lit("_o"), k + 1).alias("option_id"),
+            F.when(F.get(h["named"], i), F.get(h["cells"], i)).otherwise(F.concat(F.lit("option "), (k + 1).cast("string"))).alias("label"), F.get(r["states"], i).alias("state")))
+        label = F.trim(F.array_join(F.filter(F.slice(r["cells"], 1, F.array_min(r["cols"])), lambda c: c != ""), " "))
+        return F.struct(r["row"].alias("row"), row_id.alias("row_id"), label.alias("label"), options.alias("options"))
+
+    def under(rows, asked):
+        sets = F.array_distinct(F.transform(asked, lambda r: r["cols"]))
+        alike = lambda w: X.let(headers(rows, w), lambda b: F.transform(F.filter(asked, lambda r: r["cols"] == w), lambda r: X.let(F.get(rows, F.get(b, r["row"])), lambda h: shaped(r, h))))
+        return F.array_sort(F.flatten(F.transform(sets, alike)))
+
+    return X.let(parsed, lambda rows: X.let(F.filter(rows, lambda r: F.size(r["cols"]) >= 2), lambda asked: under(rows, asked))).cast(ROWS)
+
+
 def table_rows(regions: DataFrame) -> DataFrame:
     """Response rows of tables: those with marks in two cells at least.
 
@@ -40,38 +70,32 @@ def table_rows(regions: DataFrame) -> DataFrame:
     occurs in their table, and the header is the last that fits before each row. Other options are ``option i``.
     Returns the section's columns, ``region_id, row, row_id, label, options`` (structs of id, label and state).
     """
-    key = [*_key(regions), "region_id"]
-    rows = regions.where(F.col("type") == "table").select(*key, F.posexplode(X.html_rows(F.coalesce("html", F.lit("")))).alias("row", "cells"))
-    marks = F.transform("cells", lambda c: F.get(X.mark_glyphs(c), 0)["state"])
-    cols = F.filter(F.transform("states", lambda s, i: F.when(s.isNotNull(), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("states", marks).withColumn("cols", cols)
-    sets = rows.where(F.size("cols") >= 2).select(*key, F.col("cols").alias("wanted")).distinct()
-    seen = rows.join(sets, key)
-    names = F.size(F.filter("wanted", lambda i: resolved(F.get("cells", i)))) >= 2
-    header = F.when((F.size("cells") > F.array_max("wanted")) & names, F.col("cells"))
-    before = W.partitionBy(*key, "wanted").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
-    seen = seen.withColumn("header", F.last(header, ignorenulls=True).over(before)).where(F.col("cols") == F.col("wanted"))
-    name = lambda i: F.trim(F.coalesce(F.get("header", i), F.lit("")))
-    row_id = F.concat(F.col("region_id"), F.lit("_r"), F.col("row"))
-    options = F.transform("cols", lambda i, k: F.struct(
-        F.concat(F.col("region_id"), F.lit("_r"), F.col("row"), F.lit("_o"), k + 1).alias("option_id"),
-        F.when(resolved(name(i)), name(i)).otherwise(F.concat(F.lit("option "), (k + 1).cast("string"))).alias("label"), F.get("states", i).alias("state")))
-    label = F.trim(F.array_join(F.filter(F.slice("cells", 1, F.array_min("cols")), lambda c: c != ""), " "))
-    return seen.select(*key, "row", row_id.alias("row_id"), F.when(F.array_min("cols") > 0, label).otherwise("").alias("label"), options.cast(OPTIONS).alias("options"))
+    return regions.where(F.col("type") == "table").select(*_key(regions), "region_id", F.inline(_rows()))
 
 
 def text_rows(regions: DataFrame) -> DataFrame:
     """I71 as rows: a region other than a table whose text has marks is one row, each mark's option named by what follows it."""
-    key = [*_key(regions), "region_id"]
-    plain = X.html_plain(F.coalesce("text", F.lit("")))
-    rows = regions.where(F.col("type") != "table").select(*key, plain.alias("text")).withColumn("marks", X.mark_glyphs(F.col("text"))).where(F.size("marks") > 0)
-    # Marks are one character each, numbered from 0: a label ends before the next mark.
-    ends = lambda k: F.coalesce(F.get("marks", k + 1)["index"], F.length("text"))
-    label = lambda m, k: _trimmed(F.substring(F.col("text"), m["index"] + 2, ends(k) - m["index"] - 1))
-    options = F.transform("marks", lambda m, k: F.struct(
-        F.concat(F.col("region_id"), F.lit("_o"), k + 1).alias("option_id"), F.when(label(m, k) == "", F.concat(F.lit("option "), (k + 1).cast("string"))).otherwise(label(m, k)).alias("label"), m["state"].alias("state")))
-    prefix = _trimmed(F.substring(F.col("text"), F.lit(1), F.col("marks")[0]["index"]))
-    return rows.select(*key, F.lit(0).alias("row"), F.col("region_id").alias("row_id"), prefix.alias("label"), options.cast(OPTIONS).alias("options"))
+    return regions.where(F.col("type") != "table").select(*_key(regions), "region_id", F.inline(_rows()))
+
+
+def _text(text: Column, region_id: Column) -> Column:
+    """The one row of a text with marks, or none."""
+    def row(plain, marks):
+        # Marks are one character each, numbered from 0: a label ends before the next mark.
+        ends = lambda k: F.coalesce(F.get(marks, k + 1)["index"], F.length(plain))
+        named = lambda m, k: X.let(_trimmed(F.substring(plain, m["index"] + 2, ends(k) - m["index"] - 1)), lambda t: F.when(t == "", F.concat(F.lit("option "), (k + 1).cast("string"))).otherwise(t))
+        options = F.transform(marks, lambda m, k: F.struct(F.concat(region_id, F.lit("_o"), k + 1).alias("option_id"), named(m, k).alias("label"), m["state"].alias("state")))
+        prefix = _trimmed(F.substring(plain, F.lit(1), F.get(marks, F.lit(0))["index"]))
+        return F.struct(F.lit(0).alias("row"), region_id.alias("row_id"), prefix.alias("label"), options.alias("options"))
+
+    rows = lambda plain, marks: F.when(F.size(marks) > 0, F.array(row(plain, marks))).otherwise(F.array())
+    return X.let(X.html_plain(text), lambda plain: X.let(X.mark_glyphs(plain), lambda marks: rows(plain, marks))).cast(ROWS)
+
+
+def _rows() -> Column:
+    """A table's response rows, or the row of a text with marks: each region is read once, by itself."""
+    of, who = F.col("type"), F.col("region_id")
+    return F.when(of == "table", _table(F.coalesce("html", F.lit("")), who)).when(of != "table", _text(F.coalesce("text", F.lit("")), who))
 
 
 def schema_hints(regions: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -81,15 +105,17 @@ def schema_hints(regions: DataFrame, anchors: DataFrame) -> DataFrame:
     regions count, in the order of regions and rows. ``(.., question_text, structure_source, structure_region_id, rows)``.
     """
     key = _key(regions)
-    orders = regions.select(*key, "region_id", "ord")
-    tables = table_rows(regions)
-    found = tables.unionByName(text_rows(regions)).join(orders, [*key, "region_id"])
-    labels = F.struct(F.col("label").alias("label"), F.transform("options", lambda o: o["label"]).alias("options"))
-    per = tables.groupBy(*key, "region_id").agg(F.array_sort(F.collect_list(F.struct("row", labels.alias("r")))).alias("rows"))
-    good = per.where(reliable(F.transform("rows", lambda r: r["r"]))).groupBy(*key).agg(F.count("*").alias("n"), F.min("region_id").alias("owner")).where("n = 1").drop("n")
-    rows = found.join(good, key, "left").where(F.col("owner").isNull() | (F.col("owner") == F.col("region_id")))
-    hints = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "region_id", "row", "row_id", "label", "options"))).alias("rows"))
-    out = anchors.select(*key, "anchor").join(hints, key, "left").join(good, key, "left")
+    labels = lambda rows: F.transform(rows, lambda r: F.struct(r["label"].alias("label"), F.transform(r["options"], lambda o: o["label"]).alias("options")))
+    sure = lambda rows: F.coalesce((F.col("type") == "table") & X.let(labels(rows), reliable), F.lit(False))
+    part = lambda rows: F.when(F.col("region_id").isNotNull() & (F.size(rows) > 0), F.struct("ord", "region_id", sure(rows).alias("sure"), rows.alias("rows")))
+    # A region's rows are made within one expression: a filter on them would be pushed below and make them again.
+    per = regions.select(*key, X.let(_rows(), part).alias("part")).groupBy(*key).agg(F.collect_list("part").alias("parts"))
+    per = per.withColumn("sure", F.array_distinct(F.transform(F.filter("parts", lambda p: p["sure"]), lambda p: p["region_id"])))
+    per = per.withColumn("owner", F.when(F.size("sure") == 1, F.get("sure", F.lit(0))))
+    mine = F.filter("parts", lambda p: F.col("owner").isNull() | (F.col("owner") == p["region_id"]))
+    rows = F.flatten(F.transform(mine, lambda p: F.transform(p["rows"], lambda r: F.struct(p["ord"].alias("ord"), p["region_id"].alias("region_id"), *[r[n].alias(n) for n in ("row", "row_id", "label", "options")]))))
+    hints = per.select(*key, "owner", F.array_sort(rows).alias("rows"))
+    out = anchors.select(*key, "anchor").join(hints, key, "left")
     question = F.trim(F.substring(X.question_text(F.trim(F.regexp_replace(X.html_plain(F.coalesce("anchor", F.lit(""))), r"\s+", " "))), 1, QUESTION_CHARS))
     kept = F.coalesce(F.transform("rows", lambda r: F.struct(r["row_id"].alias("row_id"), r["label"].alias("label"), r["options"].alias("options"))), F.array().cast(f"array<struct<row_id: string, label: string, options: {OPTIONS}>>"))
     return out.select(*key, question.alias("question_text"), F.when(F.col("owner").isNotNull(), TABLE_SOURCE).otherwise("").alias("structure_source"), F.coalesce("owner", F.lit("")).alias("structure_region_id"), kept.alias("rows"))
