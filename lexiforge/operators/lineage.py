@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 _folders: dict[str, str] = {}
+#: Rows of a table that a task takes on the average at most.
+TASK_ROWS = 250_000
 
 
 def _folder(sc) -> str:
@@ -31,3 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     name = f"{_folder(spark.sparkContext)}/{uuid.uuid4().hex}"
     df.write.parquet(name)
     return spark.read.schema(df.schema).parquet(name)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by their keys to as many tasks as they need, so that a task's memory doesn't grow with the table. The rows are counted: meant for tables as they are read."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, math.ceil(rows.count() / TASK_ROWS)), *keys)

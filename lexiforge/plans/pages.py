@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import survey as V
+from ..operators.lineage import spread
 from .common import Registry, table
 
 R = Registry()
@@ -22,7 +23,7 @@ CONTROLS = """ctr as (select o_custkey as document, l_orderkey as page, 'k' || l
 
 def _lines(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("document"))
-    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    lines = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").groupBy(F.col("l_orderkey").alias("page"), "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     return lines.join(orders, "page")
 
 
