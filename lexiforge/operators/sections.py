@@ -171,7 +171,7 @@ def learned_layout(jobs: DataFrame) -> DataFrame:
     """
     page = ["form", "page"]
     good = jobs.groupBy(*page, "turn").agg(F.bool_and(F.coalesce("valid", F.lit(False)) & (F.col("width") > 0) & (F.col("height") > 0)).alias("good")).where("good")
-    first = good.groupBy(*page).agg(F.min("turn").alias("turn"))
+    first = F.broadcast(good.groupBy(*page).agg(F.min("turn").alias("turn")))  # a row for each page of a form
     share = F.transform("bbox", lambda v, i: v.cast("double") / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))
     return jobs.join(first, [*page, "turn"]).withColumn("share", share).withColumnRenamed("turn", "learned_turn").drop("document", "bbox", "valid", "width", "height")
 
@@ -179,9 +179,10 @@ def learned_layout(jobs: DataFrame) -> DataFrame:
 def reused_layout(layout: DataFrame, pages: DataFrame) -> DataFrame:
     """The learnt sections on the pages of documents after the one that taught them: boxes in their pixels, within the page.
 
-    ``pages(form, document, turn, page, width, height)``. Edges are rounded half to even.
+    ``pages(form, document, turn, page, width, height)``. Edges are rounded half to even. The layout, a page's sections once for each form,
+    is broadcast: it grows with the forms and not with their documents, whose pages would meet in a task for each page number of a form.
     """
-    later = pages.join(layout, ["form", "page"]).where("turn > learned_turn")
+    later = pages.join(F.broadcast(layout), ["form", "page"]).where("turn > learned_turn")
     limit = lambda i: F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height"))
     edge = lambda v, i: F.bround(v * limit(i), 0).cast("int")
     box = F.transform("share", lambda v, i: F.when(i < 2, F.greatest(F.lit(0), edge(v, i))).otherwise(F.least(limit(i).cast("int"), edge(v, i))))

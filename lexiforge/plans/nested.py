@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import harvest as H
 from ..operators import sections as Q
+from ..operators.lineage import spread
 from .common import Registry, table
 
 R = Registry()
@@ -121,7 +122,7 @@ least(width, round_even(x2 * width, 0))::int as x2, least(height, round_even(y2
 def o_reused_layout(spark, d):
     k = F.col("o_orderkey")
     x, y = F.col("l_partkey") % 30, F.col("l_suppkey") % 30
-    jobs = table(spark, d, "orders").join(table(spark, d, "lineitem"), k == F.col("l_orderkey")).select(
+    jobs = table(spark, d, "orders").join(spread(table(spark, d, "lineitem"), "l_orderkey"), k == F.col("l_orderkey")).select(
         (F.col("o_custkey") % 20).alias("form"), k.alias("document"), k.alias("turn"), F.col("l_linenumber").alias("page"), (600 + k % 7).alias("width"), (800 + k % 5).alias("height"),
         F.concat(F.lit("g"), "l_linenumber").alias("group_id"), F.array(x, y, x + 590, y + 700).alias("bbox"), (F.col("l_quantity") < 30).alias("valid"))
     pages = jobs.select("form", "document", "turn", "page", "width", "height").distinct()
