@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lineage import cut
 
 # Frequent function words of four languages, for the vote in language_votes().
 STOPWORDS = {
@@ -68,10 +69,12 @@ def best_jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def phrases(docs: DataFrame, text: str = "text", least: int = 5, threshold: float = 10.0) -> DataFrame:
     """I4: word pairs that stand together more often than their frequencies suggest."""
+    # Each word with the one behind it, or null at the end: a word's pairs add up to its occurrences, so texts are read once.
     words = docs.select(X.tokens(F.col(text)).alias("ws"))
-    single = words.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pair = F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda w, i: F.struct(w.alias("a"), F.get("ws", i + 1).alias("b")))
-    pairs = words.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    both = words.select(F.explode(F.transform("ws", lambda w, i: F.struct(w.alias("a"), F.get("ws", i + 1).alias("b")))).alias("p"))
+    counts = cut(both.groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    single = cut(counts.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n")))
+    pairs = counts.where(F.col("b").isNotNull() & (F.col("n") >= least))
     size = single.agg(F.count("*").alias("vocabulary"))
     score = (F.col("n") - least) * F.col("vocabulary") / (F.col("na") * F.col("nb"))
     return (pairs.join(single.select(F.col("w").alias("a"), F.col("n").alias("na")), "a").join(single.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b")
