@@ -25,6 +25,13 @@ def term_counts(docs: DataFrame, by: str, text: str = "text", stop: list[str] |
     return docs.where(F.col(by).isNotNull()).select(F.col(by).alias("class"), F.explode(words).alias("word")).groupBy("class", "word").agg(F.count("*").alias("n"))
 
 
+def term_counts_of(docs: DataFrame, *by: str, text: str = "text") -> list[DataFrame]:
+    """``term_counts`` by each of some columns; texts are split once, and counts of all columns' values together are written once."""
+    rows = docs.select(*[F.col(b).alias(f"__{b}") for b in by], F.explode(X.tokens(F.col(text))).alias("word"))
+    counts = cut(rows.groupBy(*[f"__{b}" for b in by], "word").agg(F.count("*").alias("n")))
+    return [cut(counts.where(F.col(f"__{b}").isNotNull()).groupBy(F.col(f"__{b}").alias("class"), "word").agg(F.sum("n").alias("n"))) for b in by]
+
+
 def class_tfidf(counts: DataFrame, reduce_frequent: bool = False) -> DataFrame:
     """L3: class-based term weights ``tf * ln(1 + A / f)``; tf sums to 1 in each class, A is the mean size of a class."""
     tf = F.col("n") / F.col("size")

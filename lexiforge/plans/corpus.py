@@ -73,7 +73,8 @@ def e_coherence_cv(spark, d):
 @R.query(f"""with {_weights('lang')}, {_weights('source', '_s')}, l as (select class, list(word) as ws from top group by 1), r as (select class, list(word) as ws from top_s group by 1)
 select l.class as class, round(max(len(list_intersect(l.ws, r.ws)) * 1.0e0 / len(list_distinct(list_concat(l.ws, r.ws)))), 6) as best from l, r group by 1""")
 def d_best_jaccard(spark, d):
-    return T.best_jaccard(C.fixed(_top(spark, d, "lang")), C.fixed(_top(spark, d, "source"))).withColumn("best", F.round("best", 6))
+    langs, sources = [C.fixed(T.top_words(T.class_tfidf(n))) for n in T.term_counts_of(table(spark, d, "documents"), "lang", "source")]
+    return T.best_jaccard(langs, sources).withColumn("best", F.round("best", 6))
 
 
 @R.query(f"select word, count(*) as n from (select unnest({TOKENS}) as word from documents) group by 1 order by n desc, word limit 200")
