@@ -6,6 +6,9 @@ row while it grows, a node of the condensed tree by the link that formed it.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +18,8 @@ from .neighbours import neighbour_lists, usable
 
 #: Rows nearer than this count as this far apart, so that densities are finite.
 NEAREST = 1e-9
-#: Doublings in which a chain of small clusters is followed to a large one; longer chains go on in the next round.
-JUMPS = 4
+#: Links of the forest that one task takes: it merges them in order, knowing what all smaller ones joined.
+BLOCK = 50_000
 
 
 def reachability(neighbours: DataFrame, samples: int) -> DataFrame:
@@ -61,99 +64,173 @@ def spanning_forest(links: DataFrame) -> DataFrame:
     return rest.select("e.*").select("a", "b", "w") if kept is None else kept.select("e.*").select("a", "b", "w")
 
 
-def _name(e):
-    return F.concat_ws("-", e["a"], e["b"])
+def _joined(links: DataFrame) -> DataFrame:
+    """Components of links ``(part, ca, cb)`` within each part: ``(part, c, to)``, ``to`` the smallest; every other one has a row.
+
+    Large-star and small-star steps: links are turned to the smallest neighbour until they stand still.
+    """
+    edges, seen = cut(links.select("part", F.greatest("ca", "cb").alias("u"), F.least("ca", "cb").alias("v")).where("u > v").distinct()), None
+    while True:
+        both = edges.unionByName(edges.select("part", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("part", "u").agg(F.min("v").alias("m")).select("part", "u", F.least("u", "m").alias("m"))
+        large = both.join(low, ["part", "u"]).where("v > u").select("part", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("part", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["part", "u"]).where("v <> m").select("part", F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(low.select("part", "u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("part", "u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return edges.select("part", F.col("u").alias("c"), F.col("v").alias("to"))
+        seen = now
+
+
+def _dealt(points: DataFrame, forest: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links ``(chunk, w, a, b, ca, cb)`` in chunks by order, their ends the clusters ``(chunk, c, n)`` that all links of smaller chunks make.
+
+    Also rows ``(chunk, c, id)``: the only chunk in which a row can come to ``least`` rows, and its cluster before. All links are halved, and halved again: the first half joins its ends for the second, for all halves of a round at once.
+    """
+    chunks = max(1, math.ceil(forest.count() / BLOCK))
+    edges = forest.select("w", "a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    edges = cut(edges.repartitionByRange(chunks, "w", "a", "b").withColumn("chunk", F.spark_partition_id()))
+    chunks = (edges.agg(F.max("chunk")).first()[0] or 0) + 1
+    sizes = points.select(F.lit(0).alias("part"), F.col("id").alias("c"), F.lit(1).cast("long").alias("n"))
+    member = points.select(F.lit(0).alias("part"), F.col("id").alias("c"), "id")
+    for bits in reversed(range((chunks - 1).bit_length())):
+        half = F.shiftright("chunk", bits)
+        edges = edges.withColumn("part", F.shiftright(half, 1))
+        to = _joined(edges.where(half % 2 == 0))
+        late = edges.where(half % 2 == 1)
+        for c in ("ca", "cb"):
+            late = late.join(to.select("part", F.col("c").alias(c), "to"), ["part", c], "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        edges = cut(edges.where(half % 2 == 0).unionByName(late).drop("part"))
+        grown = sizes.join(to, ["part", "c"], "left").groupBy("part", F.coalesce("to", "c").alias("c")).agg(F.sum("n").alias("n"))
+        grown = cut(grown)
+        member = member.join(to, ["part", "c"], "left").withColumn("to", F.coalesce("to", "c")).join(grown.withColumnsRenamed({"c": "to", "n": "now"}), ["part", "to"])
+        stays = F.col("now") >= least
+        member = cut(member.select((F.col("part") * 2 + F.when(stays, 0).otherwise(1)).alias("part"), F.when(stays, F.col("c")).otherwise(F.col("to")).alias("c"), "id"))
+        sizes = sizes.withColumn("part", F.col("part") * 2).unionByName(grown.withColumn("part", F.col("part") * 2 + 1))
+        ends = edges.select(half.alias("part"), F.explode(F.array("ca", "cb")).alias("c")).distinct()
+        sizes = cut(sizes.join(ends, ["part", "c"], "left_semi"))
+    return edges, sizes.withColumnRenamed("part", "chunk"), member.withColumnRenamed("part", "chunk")
+
+
+_EVENTS = "chunk int, kind string, node string, w double, a long, b long, c long, l string, lc long, r string, rc long, n long"
+
+
+def _merged(least: int):
+    def run(links: pd.DataFrame) -> pd.DataFrame:
+        """Merges of one chunk in order. A cluster that was large before has a node not known here, so it is named (``lc``, ``rc``) instead."""
+        links = links.sort_values(["w", "a", "b"])
+        chunk, up, size, node, out, rows = int(links["chunk"].iloc[0]), {}, {}, {}, [], {}
+
+        def root(c):
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        def seen(c, n):
+            if c not in up:
+                up[c], size[c], rows[c], node[c] = c, n, [c] if n < least else [], (None, c)
+            return root(c)
+
+        def leave(c, to, e):
+            out.extend((chunk, "row", None, *e, x, to[0], to[1], None, None, 0) for x in rows.pop(c))
+            rows[c] = []
+
+        for w, a, b, ca, cb, na, nb in links[["w", "a", "b", "ca", "cb", "na", "nb"]].itertuples(index=False, name=None):
+            x, y = sorted((seen(ca, na), seen(cb, nb)))
+            e, total, large = (w, a, b), size[x] + size[y], [c for c in (x, y) if size[c] >= least]
+            name = (f"{a}-{b}", None)
+            if len(large) == 2:
+                out.append((chunk, "node", name[0], *e, x, *node[x], *node[y], total))
+                kept = name
+            elif large:
+                kept = node[large[0]]
+                leave(x + y - large[0], kept, e)
+            elif total >= least:
+                out.append((chunk, "node", name[0], *e, x, None, None, None, None, 0))
+                kept = name
+                leave(x, kept, e)
+                leave(y, kept, e)
+            else:
+                kept = None, None
+                few, many = sorted((rows[x], rows[y]), key=len)
+                many.extend(few)
+                rows[x] = many
+            up[y], size[x], node[x] = x, total, kept
+        out += [(chunk, "last", node[c][0], None, None, None, c, None, node[c][1], None, None, 0) for c in up if up[c] == c and size[c] >= least and node[c] != (None, c)]
+        table = pd.DataFrame(out, columns=[f.split()[0] for f in _EVENTS.split(", ")])
+        return table.astype({c: "Int64" for c in ("a", "b", "c", "lc", "rc", "n")} | {"w": "Float64"})
+
+    return run
 
 
 def condensed(points: DataFrame, forest: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The condensed tree of a forest over ``points(id)``: nodes of ``least`` rows or more, and where rows leave.
 
-    Returns nodes ``(node, e, l, r, round)`` (formed by link ``e``; of two nodes, or of rows and smaller groups), rows
-    ``(id, node, t)`` (``t``: the link from which on a row belongs to a node, ``node`` one at or below the node it
-    leaves). Two clusters whose least links are the same merge; small clusters whose least links
-    lead to a large one fall to it, each by its own link. So rounds are at most as many as the tree is high, beside ``least``.
+    Returns nodes ``(node, e, l, r, inner)`` (formed by link ``e``; of two nodes with ``inner`` rows, or of rows and smaller groups) and
+    rows ``(id, node, t)`` (``t``: the link from which on a row belongs to the node). Chunks of links are merged side by side; a cluster's name
+    is its smallest row, and a node that a chunk doesn't know is the last one of that name in the chunks before.
     """
-    spark = points.sparkSession
-    kind = forest.select(F.struct("w", "a", "b").alias("e")).schema["e"].dataType.simpleString()
-    nodes = spark.createDataFrame([], f"node string, e {kind}, l string, r string, round int")
-    left = spark.createDataFrame([], f"id long, node string, t {kind}")
-    rest = cut(_edges(forest))
-    size = points.select(F.col("id").alias("c"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("node"))
-    member = points.select("id", F.col("id").alias("c"))
-    turn, w = 0, W.partitionBy("e")
-    while not rest.isEmpty():
-        turn += 1
-        large = F.col("n") >= least
-        s = _least(rest).join(size, "c").withColumns({
-            "twice": F.count("*").over(w) == 2, "lo": F.min("c").over(w), "total": F.sum("n").over(w),
-            "fewest": F.min("n").over(w), "most": F.max("n").over(w), "l": F.min("node").over(w), "r": F.max("node").over(w)})
-        state = F.when(large, "large").when(F.col("twice") & (F.col("most") < least), "pair").otherwise("small")
-        both = F.col("twice") & (F.col("fewest") >= least)
-        s = s.withColumns({"state": state, "both": both}).withColumn("to", F.when(F.col("both") | (F.col("state") == "pair"), F.col("lo")).otherwise(F.col("c")))
-        s = cut(s.withColumn("at", F.when(F.col("state") == "small", F.col("o")).otherwise(F.col("c"))))
-        # Small clusters follow their links; those that arrive at a large one fall to it.
-        path = s.select("c", "at", "state")
-        if not s.where("state = 'large'").isEmpty():
-            for jump in range(JUMPS):
-                ahead = path.select(F.col("c").alias("at"), F.col("at").alias("on"), F.col("state").alias("there"))
-                seen = F.when(F.col("there") == "large", "falls").otherwise(F.col("there"))
-                on = path.join(ahead, "at").select("c", F.when(F.col("state") == "small", F.col("on")).otherwise(F.col("at")).alias("at"), F.when(F.col("state") == "small", seen).otherwise(F.col("state")).alias("state"))
-                path = cut(on) if jump % 2 else on
-        falls = path.where("state = 'falls'").select("c", "at").join(s.select(F.col("c").alias("at"), F.col("to").alias("fell"), F.col("node").alias("onto")), "at").drop("at")
-        s = cut(s.join(falls, "c", "left"))
-        name = _name(F.col("e"))
-        born = (F.col("state") == "pair") & (F.col("total") >= least)
-        formed = s.where((born | F.col("both")) & (F.col("c") == F.col("lo")))
-        nodes = nodes.unionByName(formed.select(name.alias("node"), "e", F.when(F.col("both"), F.col("l")).alias("l"), F.when(F.col("both"), F.col("r")).alias("r"), F.lit(turn).alias("round")))
-        # Rows leave the small clusters that fall or become large.
-        step = s.select("c", F.coalesce("fell", "to").alias("to"), F.coalesce("onto", F.when(born, name)).alias("node"), F.col("e").alias("t"))
-        member = cut(member.join(step, "c"))
-        left = left.unionByName(member.where("node is not null").select("id", "node", "t"))
-        member = member.where("node is null").select("id", F.col("to").alias("c"))
-        stays = (F.col("c") == F.col("to")) & F.col("fell").isNull()
-        joined = F.col("both") | (F.col("state") == "pair")
-        size = s.where(stays).select("c", F.when(joined, F.col("total")).otherwise(F.col("n")).alias("n"), F.when(born | F.col("both"), name).otherwise(F.col("node")).alias("node"))
-        rest = cut(_moved(rest, step.select("c", "to")))
-    return nodes, left
+    edges, sizes, member = _dealt(points, forest, least)
+    for c, n in (("ca", "na"), ("cb", "nb")):
+        edges = edges.join(sizes.select("chunk", F.col("c").alias(c), F.col("n").alias(n)), ["chunk", c])
+    events = cut(edges.groupBy("chunk").applyInPandas(_merged(least), _EVENTS))
+    asked = events.select("chunk", F.explode(F.array("lc", "rc")).alias("c")).where("c is not null").distinct()
+    last = events.where("kind = 'last'").select(F.col("chunk").alias("then"), "c", "node", F.col("lc").alias("of"))
+    known = asked.join(last, "c").where("then < chunk").groupBy("chunk", "c").agg(F.max_by(F.struct("node", "then", "of"), "then").alias("k"))  # at most a row for each two chunks before
+    known = cut(known.select("chunk", "c", F.col("k.node").alias("known"), F.when(F.col("k.node").isNull(), F.col("k.then")).alias("then"), "k.of"))
+    while not known.where("then is not null").isEmpty():  # where a smaller row had joined, the name before is asked for
+        on = known.select(F.col("chunk").alias("then"), F.col("c").alias("of"), F.col("known").alias("found"), F.col("then").alias("before"), F.col("of").alias("name"))
+        known = cut(known.join(on, ["then", "of"], "left").select("chunk", "c", F.coalesce("known", "found").alias("known"), F.col("before").alias("then"), F.col("name").alias("of")))
+    for side in "lr":
+        own = known.select("chunk", F.col("c").alias(f"{side}c"), F.col("known").alias(f"{side}k"))
+        events = events.join(own, ["chunk", f"{side}c"], "left").withColumn(side, F.coalesce(side, f"{side}k"))
+    e = F.struct("w", "a", "b")
+    nodes = events.where("kind = 'node'").select("node", e.alias("e"), "l", "r", F.col("n").alias("inner"))
+    gone = events.where("kind = 'row'").select("chunk", "c", F.col("l").alias("node"), e.alias("t"))
+    return nodes, member.join(gone, ["chunk", "c"]).select("id", "node", "t")
 
 
 def _density(e):
     return 1 / F.greatest(e["w"], F.lit(NEAREST))
 
 
+def _best(tree: DataFrame) -> DataFrame:
+    """Each node's ``(node, best)``: the greater of ``own`` and its two nodes' sum.
+
+    A node is ``max(a, b + x + y)`` of nodes it waits for. In each round known ones are added, and one that waits for one that waits
+    for one takes its place, so that rounds grow with the logarithm of the nodes.
+    """
+    state = tree.select("node", F.col("own").alias("a"), F.lit(0.0).alias("b"), F.col("l").alias("x"), F.col("r").alias("y"))
+    while not state.where("x is not null").isEmpty():
+        now = state
+        for side in "xy":
+            now = now.join(state.select(*[F.col(c).alias(n) for c, n in zip(("node", "a", "b", "x", "y"), (side, f"{side}a", f"{side}b", f"{side}x", f"{side}y"))]), side, "left")
+        known = lambda v: F.when(F.col(v).isNotNull() & F.col(f"{v}x").isNull(), F.greatest(f"{v}a", f"{v}b"))
+        rest = F.array_compact(F.array(F.when(F.col("xx").isNotNull(), F.col("x")), F.when(F.col("yx").isNotNull(), F.col("y"))))
+        chain = F.col("y").isNull() & F.col("xx").isNotNull() & F.col("xy").isNull()
+        state = cut(now.select("node", F.when(chain, F.greatest("a", F.col("b") + F.col("xa"))).otherwise(F.col("a")).alias("a"),
+                               F.when(chain, F.col("b") + F.col("xb")).otherwise(F.col("b") + F.coalesce(known("x"), F.lit(0.0)) + F.coalesce(known("y"), F.lit(0.0))).alias("b"),
+                               F.when(chain, F.col("xx")).otherwise(F.get(rest, F.lit(0))).alias("x"), F.when(~chain, F.get(rest, F.lit(1))).alias("y")))
+    return state.select("node", F.greatest("a", "b").alias("best"))
+
+
 def selected(nodes: DataFrame, left: DataFrame) -> DataFrame:
     """Rows ``(id, node, strength)`` of the nodes with the greatest excess of mass; rows of none are left out."""
     up = nodes.select(F.explode(F.array("l", "r")).alias("node"), F.col("node").alias("up"), F.col("e").alias("ue")).where("node is not null")
-    tree = cut(nodes.join(up, "node", "left"))
+    mass = left.groupBy("node").agg(F.count("*").alias("n"), F.sum(_density(F.col("t"))).alias("mass"))
+    born = F.when(F.col("up").isNull(), F.lit(0.0)).otherwise(_density(F.col("ue")))
+    own = F.col("mass") - F.col("n") * born + F.col("inner") * (_density(F.col("e")) - born)
+    tree = cut(nodes.join(up, "node", "left").join(mass, "node", "left").fillna(0, ["n", "mass"]).withColumn("own", own))
     only = tree.where("up is null").count() == 1
-    # Each row's node: the highest one formed by a link up to the row's own, found by doubled steps.
-    steps = [tree.where("up is not null").select("node", F.col("up").alias("above"), F.col("ue").alias("by"))]
-    while not steps[-1].isEmpty():
-        last = steps[-1]
-        steps.append(cut(last.select("node", F.col("above").alias("mid")).join(last.select(F.col("node").alias("mid"), "above", "by"), "mid").select("node", "above", "by")))
-    for s in reversed(steps[:-1]):
-        left = left.join(s, "node", "left").select("id", F.when(F.col("by") <= F.col("t"), F.col("above")).otherwise(F.col("node")).alias("node"), "t")
-    left = cut(left)
-    own = left.groupBy("node").agg(F.count("*").alias("n"), F.sum(_density(F.col("t"))).alias("mass"))
-    tree = cut(tree.join(own, "node", "left").fillna(0, ["n", "mass"]))
-    done = None
-    for turn in sorted(r["round"] for r in tree.select("round").distinct().collect()):  # a number for each round
-        now = tree.where(F.col("round") == turn)
-        below = done if done is not None else now.select("node", F.lit(0).cast("long").alias("rows"), F.lit(0.0).alias("best"), F.lit(False).alias("keep")).where("false")
-        for side in "lr":
-            now = now.join(below.select(F.col("node").alias(side), F.col("rows").alias(f"{side}n"), F.col("best").alias(f"{side}b")), side, "left")
-        now = now.fillna(0, ["ln", "rn", "lb", "rb"])
-        born = F.when(F.col("up").isNull(), F.lit(0.0)).otherwise(_density(F.col("ue")))
-        inner = F.col("ln") + F.col("rn")
-        own = F.col("mass") - F.col("n") * born + inner * (_density(F.col("e")) - born)
-        kids = F.col("lb") + F.col("rb")
-        may = F.lit(not only) | F.col("up").isNotNull()
-        now = now.select("node", (F.col("n") + inner).alias("rows"), F.greatest(own, kids).alias("best"), (may & (own >= kids)).alias("keep"))
-        done = cut(now if done is None else done.unionByName(now))
-    if done is None:
-        return left.select("id", "node", F.lit(1.0).alias("strength"))
+    best = cut(_best(tree))
+    sums = tree
+    for side in "lr":
+        sums = sums.join(best.select(F.col("node").alias(side), F.col("best").alias(f"{side}b")), side, "left")
+    may = F.lit(not only) | F.col("up").isNotNull()
+    keep = may & (F.col("own") >= F.coalesce("lb", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)))
     # The highest kept node at or above each node, by doubled steps.
-    top = cut(tree.select("node", F.col("up").alias("above")).join(done, "node").select("node", "above", F.when(F.col("keep"), F.col("node")).alias("top")))
+    top = cut(sums.select("node", F.col("up").alias("above"), F.when(keep, F.col("node")).alias("top")))
     while not top.where("above is not null").isEmpty():
         ahead = top.select(F.col("node").alias("above"), F.col("above").alias("on"), F.col("top").alias("higher"))
         top = cut(top.join(ahead, "above", "left").select("node", F.col("on").alias("above"), F.coalesce("higher", "top").alias("top")))

@@ -43,17 +43,44 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(k: int):
+def _candidates(asked: np.ndarray, held: np.ndarray, same: np.ndarray, k: int, ball: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row asked, row held) that can be among the k nearest within the ball: products give squared distances up to rounding, for which there is room."""
+    far = (held**2).sum(1)
+    own = (asked**2).sum(1)
+    if not np.isfinite(own.max() + far.max()):
+        return np.nonzero(~same)
+    d = asked @ held.T
+    d *= -2
+    d += own[:, None]
+    d += far
+    d[same] = np.inf
+    room = 16 * (held.shape[1] + 4) * np.finfo(float).eps * (own + far.max())
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+    edge = np.minimum(edge, ball**2 * (1 + 1e-9)) + 2 * room
+    at, to = np.nonzero(d <= edge[:, None])
+    keep = np.isfinite(d[at, to])
+    return at[keep], to[keep]
+
+
+def _nearest(k: int, step: int = 512):
     def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": [], "other": [], "distance": []}).astype({"id": "int64", "other": "int64"})]
         if asked.empty or held.empty:
-            return pd.DataFrame({"id": [], "other": [], "distance": []}).astype({"id": "int64", "other": "int64"})
+            return out[0]
         held = held.sort_values("id")
-        ids, other = asked["id"].to_numpy(), held["id"].to_numpy()
-        d = _apart(np.stack(asked["v"]), np.stack(held["v"]))
-        d[ids[:, None] == other] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        found = pd.DataFrame({"id": np.repeat(ids, at.shape[1]), "other": other[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
-        return found[np.isfinite(found["distance"])]
+        other, rows = held["id"].to_numpy(), np.stack(held["v"])
+        ids, ball = asked["id"].to_numpy(), asked["ball"].to_numpy()
+        for i in range(0, len(asked), step):
+            x, mine = np.stack(asked["v"].iloc[i : i + step]), ids[i : i + step]
+            at, to = _candidates(x, rows, mine[:, None] == other, k, ball[i : i + step])
+            d, some = np.empty(len(at)), max(1, (1 << 21) // rows.shape[1])
+            for j in range(0, len(at), some):
+                d[j : j + some] = np.sqrt(((x[at[j : j + some]] - rows[to[j : j + some]]) ** 2).sum(1))
+            order = np.lexsort((to, d, at))
+            at, to, d = at[order], to[order], d[order]
+            first = np.arange(len(at)) - np.searchsorted(at, at) < k
+            out.append(pd.DataFrame({"id": mine[at[first]], "other": other[to[first]], "distance": d[first]}))
+        return pd.concat(out)
 
     return search
 
@@ -66,8 +93,8 @@ def _searched(asked: DataFrame, held: DataFrame, blocks: dict[int, int], k: int,
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     both = F.broadcast(sizes.where("asked_in > 0"))  # a row for each cell
-    asked = asked.select(*(F.col(c).alias(c) for c in ("id", "v", "cell")))  # columns of its own where both sides are one table
-    left = asked.join(both, "cell").select("id", "v", "cell", mine("asked_in").alias("qb"), span("held_in").alias("pb"))
+    asked = asked.select(*(F.col(c).alias(c) for c in ("id", "v", "cell", "ball")))  # columns of its own where both sides are one table
+    left = asked.join(both, "cell").select("id", "v", "ball", "cell", mine("asked_in").alias("qb"), span("held_in").alias("pb"))
     right = held.join(both, "cell").select("id", "v", "cell", mine("held_in").alias("pb"), span("asked_in").alias("qb"))
     key = ["cell", "qb", "pb"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_nearest(k), FOUND)
@@ -78,7 +105,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbour_lists(points: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 2048, cells: int | None = None, seed: int = 42) -> DataFrame:
+def neighbour_lists(points: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 8192, cells: int | None = None, seed: int = 42) -> DataFrame:
     """L3: each row's ``k`` nearest others by Euclidean distance: ``id``, ``rank``, ``other``, ``distance``; ties to the smaller id.
 
     First a row's own cell is searched, then every cell that reaches into the ball of its k-th distance so far, so the
@@ -103,7 +130,7 @@ def neighbour_lists(points: DataFrame, k: int, id_col: str = "vec_id", vector: s
         reach[r["cell"]] = r["far"]
     blocks = {r["cell"]: math.ceil(r["n"] / block) for r in known}
     held = held.drop("far")
-    near = cut(_best(_searched(held, held, blocks, k, block), k))
+    near = cut(_best(_searched(held.withColumn("ball", F.lit(float("inf"))), held, blocks, k, block), k))
     if len(known) > 1:
         ball = near.where(F.col("rank") == k).select("id", F.col("distance").alias("ball"))
 
@@ -113,8 +140,8 @@ def neighbour_lists(points: DataFrame, k: int, id_col: str = "vec_id", vector: s
                     hit = _apart(np.stack(b["v"]), centres) - reach <= b["ball"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
                     hit[np.arange(len(b)), b["cell"]] = False
                     at, cell = np.nonzero(hit)
-                    yield pd.DataFrame({"id": b["id"].to_numpy()[at], "v": b["v"].to_numpy()[at], "cell": cell.astype("int32")})
+                    yield pd.DataFrame({"id": b["id"].to_numpy()[at], "v": b["v"].to_numpy()[at], "cell": cell.astype("int32"), "ball": b["ball"].to_numpy()[at]})
 
-        asked = held.join(ball, "id", "left").fillna(float("inf"), ["ball"]).mapInPandas(further, "id long, v array<double>, cell int")
+        asked = held.join(ball, "id", "left").fillna(float("inf"), ["ball"]).mapInPandas(further, "id long, v array<double>, cell int, ball double")
         near = _best(near.drop("rank").unionByName(_searched(cut(asked), held, blocks, k, block)), k)
     return near.select("id", "rank", "other", "distance")
