@@ -30,9 +30,11 @@ from .common import batch, components, mixed, point_table, powers, releasing, re
 
 #: The least lengths of lines with one edit and with two.
 LENGTHS = (12, 30)
+#: Bytes of text whose occurrences are taken at a time: arrays over their characters stay in a core's cache.
+RUN = 1 << 16
 
-_BLANK = np.zeros(0x3001, bool)
-_BLANK[[32, *range(9, 14), 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x3000]] = True
+_FILLED = np.ones(0x3002, bool)  # the last one stands for all further code points
+_FILLED[[32, *range(9, 14), 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x3000]] = False
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +46,9 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _sums(cp: np.ndarray) -> np.ndarray:
     p, _ = powers(len(cp) + 1)
     s = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(point_table()[cp] * p[: len(cp)], out=s[1:])
+    x = point_table()[cp]
+    x *= p[: len(cp)]
+    np.cumsum(x, out=s[1:])
     return s
 
 
@@ -56,17 +60,20 @@ def _hash(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def split_lines(texts: list[str]):
     """Code points, and start, end, text index and number of every line that isn't blank."""
     cp, off = _points(texts)
-    text = np.flatnonzero(~(_BLANK[np.minimum(cp, 0x2FFF)] | (cp == 0x3000)))
+    text = np.flatnonzero(_FILLED.take(cp, mode="clip"))
     if not len(text):
         z = np.zeros(0, np.int64)
         return cp, z, z, z, z
-    breaks = np.concatenate([[0], np.cumsum(cp == 10)])
-    doc = np.searchsorted(off, text, "right") - 1
-    line = breaks[text] - breaks[off[doc]]
-    first = np.ones(len(text), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-    k = np.flatnonzero(first)
-    return cp, text[k], text[np.append(k[1:], len(text)) - 1] + 1, doc[k], line[k]
+    breaks = np.flatnonzero(cp == 10)
+    doc = np.searchsorted(off, breaks, "right") - 1
+    # Lines end at breaks and at the texts' ends, begin behind them, and are trimmed to their first and last character that isn't blank.
+    end = np.sort(np.concatenate([breaks, off[1:]]), kind="stable")
+    of = np.sort(np.concatenate([doc, np.arange(len(texts))]), kind="stable")
+    number = np.arange(len(end)) - np.searchsorted(of, np.arange(len(texts)))[of]
+    start = np.concatenate([[0], end[:-1]])
+    a, z = np.searchsorted(text, start), np.searchsorted(text, end)
+    k = np.flatnonzero(a < z)
+    return cp, text[a[k]], text[z[k] - 1] + 1, of[k], number[k]
 
 
 _OCC = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("line", pa.int32())])
@@ -75,14 +82,15 @@ _OCC = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc", pa.int64()), ("l
 def _occurrences(batches):
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        for i, texts in text_runs(b.column(1)):
+        for i, texts in text_runs(b.column(1), RUN):
             cp, a, z, doc, line = split_lines(texts)
-            total = np.concatenate([[0], np.cumsum(cp.astype(np.int64) * (1 + (np.arange(len(cp)) & 1)))])
             h = _hash(_sums(cp), a, z)
-            odd = a & 1  # the weights alternate, so a line's second sum must not depend on where it starts
-            plain = np.concatenate([[0], np.cumsum(cp.astype(np.int64))])
-            w = total[z] - total[a]
-            w = np.where(odd == 1, 3 * (plain[z] - plain[a]) - w, w)
+            # The second sum takes each second character of a line twice.
+            wide = np.zeros(len(cp) + 2, np.int64)
+            wide[2:] = cp
+            even, odd = np.cumsum(wide[::2]), np.cumsum(wide[1::2])
+            even, odd = even[(z + 1) // 2] - even[(a + 1) // 2], odd[z // 2] - odd[a // 2]
+            w = even + odd + np.where(a & 1, even, odd)
             yield batch({"h": h.view(np.int64), "g": (z - a) * np.int64(1 << 40) + w, "doc": ids[i + doc].astype(np.int64), "line": line.astype(np.int32)}, _OCC)
 
 
@@ -92,6 +100,16 @@ _ENTRIES = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("kind", pa.int64
 INDEX, PROBE, BUCKETS = 1, 2, 48
 
 
+_buckets: list[np.ndarray] = []
+
+
+def _bucket_table() -> np.ndarray:
+    """Each code point's class as a bit above the flags; one table for each worker."""
+    if not _buckets:
+        _buckets.append(np.int64(4) << (np.arange(0x110000) % BUCKETS))
+    return _buckets[0]
+
+
 def edits_of(size: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
     """The edits that lines of so many characters may differ in."""
     return np.searchsorted(np.asarray(lengths), size, "right")
@@ -133,10 +151,11 @@ def _entries(lengths: tuple[int, ...], remembered: int = 1_000_000):
                 seen = np.union1d(seen, h) if len(seen) < remembered else h
                 a, z = a[k], z[k]
                 odd = np.zeros(len(cp) + 1, np.int64)
-                np.bitwise_xor.accumulate(np.int64(4) << (cp % BUCKETS).astype(np.int64), out=odd[1:])
+                np.bitwise_xor.accumulate(_bucket_table()[cp], out=odd[1:])
                 bits = odd[z] ^ odd[a]
-                for ok, key, kind in segment_keys(s, a, z - a, lengths):
-                    yield batch({"key": key.view(np.int64), "id": h[ok].view(np.int64), "kind": bits[ok] | kind}, _ENTRIES)
+                found = [(key.view(np.int64), h[ok].view(np.int64), bits[ok] | kind) for ok, key, kind in segment_keys(s, a, z - a, lengths)]
+                if found:
+                    yield batch(dict(zip(_ENTRIES.names, map(np.concatenate, zip(*found)))), _ENTRIES)
 
     return run
 
