@@ -179,14 +179,14 @@ select doc_id, array_to_string({spans}, chr(1)) as kept, true as same, length(ow
 def p_shield_round_trip(spark, d):
     own = F.coalesce("text", F.lit(""))
     head = F.replace(F.lit(" word ".join(_SHOWN) + " "), F.lit("#"), F.col("doc_id").cast("string"))
-    rows = table(spark, d, "documents").select("doc_id", F.concat(head, own).alias("text"), (F.length(own) > 0).alias("filled")).withColumn("m", U.mask("text"))
-    return rows.select("doc_id", F.array_join("m.kept", "\x01").alias("kept"), (U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text")).alias("same"), "filled")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(head, own).alias("text"), (F.length(own) > 0).alias("filled")).withColumn("m", U.tried_mask("text"))
+    return rows.select("doc_id", F.array_join("m.kept", "\x01").alias("kept"), F.col("m.same").alias("same"), "filled")
 
 
 @R.query("select doc_id, true as same, 0 as addresses from documents")
 def p_shield_texts(spark, d):
-    rows = table(spark, d, "documents").withColumn("m", U.mask("text"))
-    return rows.select("doc_id", F.coalesce(U.unmask(F.col("m.masked"), F.col("m.kept")) == F.col("text"), F.lit(True)).alias("same"),
+    rows = table(spark, d, "documents").withColumn("m", U.tried_mask("text"))
+    return rows.select("doc_id", F.coalesce("m.same", F.lit(True)).alias("same"),
                        F.regexp_count(F.coalesce("m.masked", F.lit("")), F.lit(r"https?://[a-z]")).alias("addresses"))
 
 
