@@ -17,10 +17,15 @@ BLOCK = {"label": ["block_label", "label"], "content": ["block_content", "conten
 BOX = {"label": ["label"], "score": ["score"], "bbox": ["coordinate", "bbox"]}
 
 
-def depth(json: Column) -> Column:
-    """How deep the containers of a JSON text nest; text in quotes doesn't count."""
+def brackets(json: Column) -> Column:
+    """The brackets of a JSON text's containers, without all else; text in quotes doesn't count."""
     bare = F.regexp_replace(F.regexp_replace(json, r"\\.", ""), r'"[^"]*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    return F.regexp_replace(bare, r"[^\[\]{}]+", "")
+
+
+def depth(json: Column) -> Column:
+    """How deep the containers of a JSON text, or of its brackets alone, nest."""
+    marks = F.split(brackets(json), "")
 
     def step(acc, c):
         now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
@@ -36,7 +41,8 @@ def nodes(docs: DataFrame, id_col: str, json: str) -> DataFrame:
     stand, members of an object by name; ``kind`` is the value's type. Text that isn't JSON, and null, has no nodes. One pass finds the deepest text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json)).alias("value"), F.col(json).alias("__t")).where("value is not null")
-    levels = rows.agg(F.max(depth(F.col("__t")))).first()[0] or 0
+    shapes = rows.select(brackets(F.col("__t")).alias("shape")).distinct()  # alike texts are followed once
+    levels = shapes.agg(F.max(depth(F.col("shape")))).first()[0] or 0
     spark = docs.sparkSession
     level = rows.select("id", F.array().cast("array<string>").alias("keys"), F.array().cast("array<int>").alias("place"), "value")
     out = None
@@ -70,12 +76,15 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def boxes(found: DataFrame) -> DataFrame:
     """``(id, ord, bbox)``: boxes around polygons: lists of two points and more, or lists of four or of eight and more numbers."""
-    lists = found.where("kind = 'ARRAY'").withColumn("flat", F.try_variant_get("value", "$", "array<double>")).withColumn("points", F.try_variant_get("value", "$", "array<array<double>>"))
+    # Only lists can be read as lists, so the kind, for which a node's whole value would be described, isn't asked for.
+    # Each step is exploded as a list of one: written into one another, a value would be read again wherever it is named.
+    read = F.struct(F.try_variant_get("value", "$", "array<double>").alias("flat"), F.try_variant_get("value", "$", "array<array<double>>").alias("points"))
+    lists = found.select("id", "place", F.inline(F.array(read)))
     whole = lambda a: ~F.exists(a, lambda x: x.isNull())
     points = F.when((F.size("points") >= 2) & F.forall("points", lambda p: (F.size(p) == 2) & whole(p)), F.flatten("points"))
     flat = F.when(((F.size("flat") == 4) | (F.size("flat") >= 8)) & whole(F.col("flat")), F.col("flat"))
-    rows = lists.select("id", "place", F.coalesce(points, flat).alias("numbers")).where("numbers is not null")
-    return _numbered(rows.select("id", "place", G.box(F.col("numbers")).alias("bbox")).where(F.size("bbox") == 4))
+    rows = lists.select("id", "place", F.explode(F.array(F.coalesce(points, flat))).alias("numbers")).where("numbers is not null")
+    return _numbered(rows.select("id", "place", F.explode(F.array(G.box(F.col("numbers")))).alias("bbox")).where(F.size("bbox") == 4))
 
 
 def _member(value: Column, names: list[str], kind: str) -> Column:
