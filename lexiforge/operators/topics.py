@@ -123,21 +123,24 @@ def overlong(docs: DataFrame, text: str = "text", most: int = 256) -> DataFrame:
 def lda(docs: DataFrame, k: int, id_col: str = "doc_id", text: str = "text", iterations: int = 20, seed: int = 42):
     """L1, L2: (keywords, documents) of a latent Dirichlet model; dominant topics count from 1, null for documents without words.
 
-    The vocabulary holds words of at least 1 document (2 from 20 documents on) and at most 90 % of them.
+    The vocabulary holds words of at least 1 document (2 from 20 documents on) and at most 90 % of them; of more than 262,144
+    words the most frequent ones (CountVectorizer's own limit).
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     words = docs.select(id_col, X.tokens(F.col(text)).alias("words"))
-    n = words.where(F.size("words") > 0).count()
+    total, n = words.agg(F.count("*"), F.count_if(F.size("words") > 0)).first()
     if n < 5:
         raise ValueError("at least 5 documents with words are needed")
-    vectors = CountVectorizer(inputCol="words", outputCol="features", minDF=1 if n < 20 else 2, maxDF=0.9).fit(words)
+    # A share as maxDF would keep all texts' words as strings in memory to count the texts, so it is given as their number.
+    vectors = CountVectorizer(inputCol="words", outputCol="features", minDF=1 if n < 20 else 2, maxDF=0.9 * total).fit(words)
     bags = vectors.transform(words)
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", optimizeDocConcentration=True).fit(bags.where(F.size("words") > 0))
-    names = F.lit(vectors.vocabulary)
-    keywords = model.describeTopics(10).select((F.col("topic") + 1).alias("topic"), F.array_join(F.transform("termIndices", lambda i: F.get(names, i)), ", ").alias("keywords"))
+    names = vectors.vocabulary
+    tops = [(r["topic"] + 1, ", ".join(names[i] for i in r["termIndices"])) for r in model.describeTopics(10).collect()]  # k rows
+    keywords = docs.sparkSession.createDataFrame(tops, "topic int, keywords string")
     share = vector_to_array("topicDistribution")
     top = F.array_max(share)
     found = model.transform(bags).select(id_col, F.when(F.size("words") > 0, F.array_position(share, top).cast("int")).alias("dominant_topic"), F.when(F.size("words") > 0, F.round(top, 4)).alias("confidence"))
