@@ -10,6 +10,7 @@ special token's string.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
@@ -36,7 +37,7 @@ class Coder:
         glyph |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in marks)}
         ranks = {bytes(glyph[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         self.merge = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        points = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")  # no object for each
         self.kind = np.full(0x110000, 3, np.uint8)
         for k, p in ((1, r"\p{L}+"), (2, r"\p{N}+")):
             for m in regex.finditer(p, points):
@@ -105,10 +106,16 @@ class Coder:
                     self.forget()
                     missing = np.arange(len(uniq))
                 joined = "".join(plain)
-                got = [self.merge(joined[a:b]) for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist())]
-                size = np.fromiter(map(len, got), np.int64, len(got))
+                a, b = start[first[missing]], end[first[missing]]
+                sizes, flat = [], array("I")  # a few lists at a time: many small objects would leave a worker's memory in pieces
+                for i in range(0, len(a), 4096):
+                    for x, y in zip(a[i : i + 4096].tolist(), b[i : i + 4096].tolist()):
+                        got = self.merge(joined[x:y])
+                        sizes.append(len(got))
+                        flat.extend(got)
+                size = np.array(sizes, np.int64)
                 at = len(self.ids) + np.cumsum(size) - size
-                self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
+                self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32)])
                 known = np.concatenate([self.known, uniq[missing]])
                 order = np.argsort(known, kind="stable")
                 self.known, self.at = known[order], np.concatenate([self.at, at])[order]

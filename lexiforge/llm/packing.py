@@ -126,6 +126,8 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int, gap: float =
 
 # ------------------------------------------------------------------ tokens
 
+#: Bytes of texts that a task encodes at once; its arrays take many times as much.
+RUN = 1 << 18
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()), ("doc_tokens", pa.int64())])
 
 
@@ -137,7 +139,7 @@ def _cut(path: str, end_id: int, room: int):
         for b in batches:
             ids = b.column(0).to_pylist()
             out: list[list] = [[] for _ in _PIECES]
-            for i, texts in text_runs(b.column(1)):
+            for i, texts in text_runs(b.column(1), RUN):
                 for doc, tok in zip(ids[i : i + len(texts)], code(texts)):
                     tok = np.concatenate([tok, end])
                     for a in range(0, len(tok), room):
