@@ -2,12 +2,15 @@
 
 A window of ``size`` words slides over each document a word at a time (a shorter document is one window). A word at
 place p stands in the windows that begin at p - size + 1 to p, an interval whose ends only grow with p. So the windows
-that hold any of some words are a union of intervals in order, whose length one fold over the sorted
-places gives; windows that hold two words follow from those with one and with either. No window is ever made.
+that hold any of some words are a union of intervals in order, whose length follows from each place and the one
+before; windows that hold two words follow from those with one and with either. No window is ever made.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,50 +21,142 @@ from .lineage import cut
 NPMI_WINDOW, CV_WINDOW, WHOLE = 10, 110, 2_000_000_000
 #: Top words at most; a topic model has some for each topic.
 MOST = 20_000
+#: Pairs, or places of pairs, that a worker holds at a time (one pair at least).
+STEP = 1 << 19
 EPS = 1e-12
 
 
-def windows(length: Column, size: int) -> Column:
-    """Windows of a document of so many words; one at least."""
-    return F.greatest(length - size + 1, F.lit(1)).cast("long")
-
-
-def covered(places: Column, length: Column, size: int) -> Column:
-    """Windows that hold one of the places at least; places ascend."""
-    last = windows(length, size) - 1
-
-    def step(acc, p):
-        low, high = F.greatest(p - size + 1, acc["next"]), F.least(p.cast("long"), last)
-        return F.struct((acc["n"] + F.greatest(high - low + 1, F.lit(0))).alias("n"), F.greatest(acc["next"], high + 1).alias("next"))
-
-    return F.aggregate(places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("next")), step, lambda acc: acc["n"])
+def _slices(sizes) -> Iterator[tuple[int, int]]:
+    """Ranges of items in order, each of ``STEP`` in sum at most or of one item."""
+    import numpy as np
+
+    ends, i = np.cumsum(sizes), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")))
+        yield i, j
+        i = j
+
+
+def _ranges(starts, sizes):
+    """``start, start + 1, ..`` for each of some ranges, one behind the other."""
+    import numpy as np
+
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def _covered(places, firsts, last, size: int):
+    """Windows that hold one of a group's places at least, for each group; places ascend in a group, ``firsts`` are where groups begin."""
+    import numpy as np
+
+    high = np.minimum(places, last)
+    low = np.empty_like(high)
+    low[1:] = high[:-1] + 1
+    low[firsts] = 0
+    return np.add.reduceat(np.maximum(high - np.maximum(low, places - size + 1) + 1, 0), firsts)
+
+
+def _pair_counts(words: list[str], classes: list[list[int]], size: int) -> Callable:
+    """A mapInArrow function: token lists to rows ``(a, b, n)``, windows with both words of a pair of a class, and without words all windows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        k, names = len(words), pa.array(words, pa.string())
+        member = sorted((w, c) for c, ws in enumerate(classes) for w in ws)
+        of, begins = np.array([c for _, c in member], np.int64), np.searchsorted([w for w, _ in member], np.arange(k + 1))
+        several = len(member) > k
+
+        def rows(a, b, n):
+            return pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+        def summed(key, n):
+            key, at = np.unique(key, return_inverse=True)
+            out = np.zeros(len(key), np.int64)
+            np.add.at(out, at, n)
+            return rows(key // k, key % k, out)
+
+        for batch in batches:
+            tokens = batch.column(0)
+            ends = np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False), dtype=np.int64)
+            if not len(ends):
+                continue
+            length = np.diff(ends, prepend=0)
+            last = np.maximum(length - size, 0)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([int((last + 1).sum())], pa.int64())], ["a", "b", "n"])
+            flat = tokens.flatten()
+            found = pc.index_in(flat, value_set=names.cast(flat.type))
+            held = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            if not len(held):
+                continue
+            word = found.drop_null().to_numpy().astype(np.int64)
+            doc = np.searchsorted(ends, held, "right")
+            # Places by document and word; of a document of one window each word's first.
+            key = doc * k + word
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], (held - (ends - length)[doc])[order]
+            wide = last[key // k] > 0
+            kept = wide | (np.diff(key, prepend=-1) != 0)
+            key, place, wide = key[kept], place[kept], wide[kept]
+            # A run is a word of a document.
+            start = np.flatnonzero(np.diff(key, prepend=-1))
+            doc, word, wide = key[start] // k, key[start] % k, wide[start]
+            many = np.diff(start, append=len(key))
+            one = _covered(place, start, np.repeat(last[doc], many), size)
+            yield summed(word * k + word, one)
+            # Each run in each class of its word, by run, and its place by document and class, where its partners follow it.
+            times = begins[word + 1] - begins[word]
+            run_, class_ = np.repeat(np.arange(len(start)), times), of[_ranges(begins[word], times)]
+            group = doc[run_] * len(classes) + class_
+            by_group = np.argsort(group, kind="stable")
+            ordered = group[by_group]
+            at = np.empty_like(by_group)
+            at[by_group] = np.arange(len(at))
+            partners = np.searchsorted(ordered, group, "right") - at - 1
+            of_run = np.cumsum(times) - times
+            for i, j in _slices(np.add.reduceat(partners, of_run)):
+                part = slice(of_run[i], of_run[j] if j < len(of_run) else len(run_))
+                left, right = np.repeat(run_[part], partners[part]), run_[by_group[_ranges(at[part] + 1, partners[part])]]
+                if several:  # a pair of two classes counts once
+                    left, right = np.divmod(np.unique(left * len(start) + right), len(start))
+                if not len(left):
+                    continue
+                both = np.ones(len(left), np.int64)  # the one window of a document holds all its words
+                longer = np.flatnonzero(wide[left])
+                for x, y in _slices((many[left] + many[right])[longer]):
+                    pair = longer[x:y]
+                    l, r = left[pair], right[pair]
+                    n = many[l] + many[r]
+                    firsts = np.cumsum(n) - n
+                    base = int(place.max()) + 1
+                    merged = np.concatenate([place[_ranges(start[l], many[l])] + np.repeat(np.arange(len(l)), many[l]) * base, place[_ranges(start[r], many[r])] + np.repeat(np.arange(len(l)), many[r]) * base])
+                    merged.sort()
+                    either = _covered(merged - np.repeat(np.arange(len(l)), n) * base, firsts, np.repeat(last[doc[l]], n), size)
+                    both[pair] = one[l] + one[r] - either
+                yield summed(word[left] * k + word[right], both)
+
+    return run
 
 
 def window_counts(docs: DataFrame, tops: DataFrame, size: int, text: str = "text") -> DataFrame:
     """``(a, b, n, total)``: windows that hold both words, for all pairs a < b of a class's words (a = b: the word itself).
 
-    Every pair has a row, also those that never meet. ``tops(class, word)`` is a bounded list: its words are broadcast.
+    Every pair has a row, also those that never meet. ``tops(class, word)`` is a bounded list: it is sent to the workers.
     Rows are counted each for itself, so ids don't matter; null texts are empty documents.
     """
-    words = [r[0] for r in tops.select("word").distinct().limit(MOST + 1).collect()]
+    listed = tops.where("class is not null and word is not null")
+    words = sorted(r[0] for r in listed.select("word").distinct().limit(MOST + 1).collect())
     if len(words) > MOST:
         raise ValueError(f"more than {MOST} top words")
-    a, b = tops.select("class", F.col("word").alias("a")), tops.select("class", F.col("word").alias("b"))
+    place, classes = {w: i for i, w in enumerate(words)}, defaultdict(list)
+    for c, w in listed.select("class", "word").distinct().collect():
+        classes[c].append(place[w])
+    a, b = listed.select("class", F.col("word").alias("a")), listed.select("class", F.col("word").alias("b"))
     wanted = a.join(b, "class").where("a <= b").select("a", "b").distinct()
-    rows = docs.select(X.tokens(F.col(text)).alias("ws")).select(F.size("ws").alias("length"), F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(words)).alias("held"))
-    here = F.array_distinct(F.transform("held", lambda s: s["w"]))
-    places = F.transform(here, lambda w: F.struct(w.alias("w"), F.transform(F.filter("held", lambda s: s["w"] == w), lambda s: s["i"]).alias("p")))
-    # Each word's places and windows once; a nameless word with none stands for the document itself, whose windows are the total.
-    seen = rows.select("length", places.alias("here")).select("length", F.transform("here", lambda h: F.struct(h["w"].alias("w"), h["p"].alias("p"), covered(h["p"], F.col("length"), size).alias("n"))).alias("here"))
-    none = F.array(F.struct(F.lit("").alias("w"), F.array().cast("array<int>").alias("p"), F.lit(0).cast("long").alias("n")))
-    one = seen.withColumn("here", F.concat(none, "here")).select("*", F.explode("here").alias("x"))
-    two = one.select("length", "x", F.explode(F.filter("here", lambda h: F.when(F.col("x.w") == "", h["w"] == "").otherwise(h["w"] >= F.col("x.w")))).alias("y"))
-    pairs = two.select("length", "x", "y", F.col("x.w").alias("a"), F.col("y.w").alias("b")).join(F.broadcast(wanted.unionByName(wanted.sparkSession.createDataFrame([("", "")], "a string, b string"))), ["a", "b"])
-    # Windows with both words are those with the first and those with the second less those with either.
-    either = covered(F.array_sort(F.concat("x.p", "y.p")), F.col("length"), size)
-    n = F.when(F.col("a") == "", windows(F.col("length"), size)).when(F.col("a") == F.col("b"), F.col("x.n")).otherwise(F.col("x.n") + F.col("y.n") - either)
-    found = cut(pairs.groupBy("a", "b").agg(F.sum(n).alias("n")))  # a row for each pair: read several times, counted once
-    total = found.where("a = ''").agg(F.sum("n").alias("total"))
+    seen = docs.select(X.tokens(F.col(text)).alias("ws")).mapInArrow(_pair_counts(words, list(classes.values()), size), "a string, b string, n long")
+    found = cut(seen.groupBy("a", "b").agg(F.sum("n").alias("n")))  # a row for each pair: read several times, counted once
+    total = found.where("a is null").agg(F.sum("n").alias("total"))
     return wanted.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(total))  # total: one row
 
 

@@ -9,6 +9,7 @@ from ..functions import udfs as U
 from ..operators import coherence as C
 from ..operators import topics as T
 from ..operators.density import density_clusters
+from ..operators.lineage import cut
 from .common import Registry, table
 
 R = Registry()
@@ -41,6 +42,11 @@ def e_topic_diversity(spark, d):
     return T.diversity(_top(spark, d, "source"))
 
 
+def _fixed_tops(spark, d):
+    """The top words of each language, counted once and listed."""
+    return C.fixed(T.top_words(T.class_tfidf(cut(T.term_counts(table(spark, d, "documents"), "lang")))))
+
+
 def _windows(size: int) -> str:
     """Every window of every text on its own, and the top words in it."""
     return f"""{_weights('lang')}, doc as (select row_number() over () as d, {TOKENS.replace('text', "coalesce(text, '')")} as ws from documents), occ as (select d, word, p, length from
@@ -53,20 +59,20 @@ left join two on two.a = s.word and two.b = t.word, num), val as (select *, ln((
 
 @R.query(f"with {_windows(2_000_000_000)} select class, count(*) as pairs, round(avg(ln((n::double / total + 1e-12) / (n_j::double / total))), 6) as u_mass from prs where j < i group by 1")
 def e_coherence(spark, d):
-    docs, tops = table(spark, d, "documents"), C.fixed(_top(spark, d, "lang"))
+    docs, tops = table(spark, d, "documents"), _fixed_tops(spark, d)
     return C.u_mass(tops, C.window_counts(docs, tops, C.WHOLE)).withColumn("u_mass", F.round("u_mass", 6))
 
 
 @R.query(f"with {_windows(10)} select class, count(*) as pairs, round(avg(x), 6) as npmi from val where j < i group by 1")
 def e_coherence_npmi(spark, d):
-    docs, tops = table(spark, d, "documents"), C.fixed(_top(spark, d, "lang"))
+    docs, tops = table(spark, d, "documents"), _fixed_tops(spark, d)
     return C.c_npmi(tops, C.window_counts(docs, tops, C.NPMI_WINDOW)).withColumn("npmi", F.round("npmi", 6))
 
 
 @R.query(f"""with {_windows(110)}, sm as (select class, j, sum(x) as s from val group by 1, 2), cs as (select class, i, sum(x * s) / (sqrt(sum(x * x)) * sqrt(sum(s * s))) as c from val join sm using (class, j) group by 1, 2)
 select class, count(*) as words, round(avg(c), 6) as c_v from cs group by 1""")
 def e_coherence_cv(spark, d):
-    docs, tops = table(spark, d, "documents"), C.fixed(_top(spark, d, "lang"))
+    docs, tops = table(spark, d, "documents"), _fixed_tops(spark, d)
     return C.c_v(tops, C.window_counts(docs, tops, C.CV_WINDOW)).withColumn("c_v", F.round("c_v", 6))
 
 

@@ -2,9 +2,12 @@
 
 import math
 import random
+import time
 from collections import Counter
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +60,38 @@ def test_repeated_words_and_empty(spark):
     tops = spark.createDataFrame([("t", "aaa", 1), ("t", "bbb", 2)], "class string, word string, rank int")
     assert C.coherence(docs, tops).count() == 0
     assert C.window_counts(docs, tops, 5).agg(F.sum("n")).first()[0] == 0
+
+
+def test_long_texts_of_top_words(spark):
+    """Time follows the places of top words, also where texts have thousands; a pair of two classes counts once; small steps change nothing."""
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    texts = [[rng.choice([*words, "other"]) for _ in range(12_000)] for _ in range(12)]
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").repartition(4)
+    tops = spark.createDataFrame([(c, w, i) for c in "xy" for i, w in enumerate(words[: 40 if c == "x" else 20])] + [(None, "other", 1)], "class string, word string, rank int")
+    began = time.monotonic()
+    got = {(r.a, r.b): (r.n, r.total) for r in C.window_counts(docs, tops, 110).collect()}
+    took = time.monotonic() - began
+    held = []  # for each word whether each window of each text holds it
+    for w in words:
+        ends = [np.cumsum([0, *(t == w for t in text)]) for text in texts]
+        held.append(np.concatenate([e[110:] - e[:-110] > 0 for e in ends]))
+    assert got == {(words[i], words[j]): (int((held[i] & held[j]).sum()), 12 * 11_891) for i, j in combinations_with_replacement(range(40), 2)}
+    assert took < 45, took
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_small_steps(step, monkeypatch):
+    rng = random.Random(step)
+    words = ["aaa", "bbb", "ccc", "ddd"]
+    texts = [[rng.choice([*words, "xxx"]) for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(30)]
+    monkeypatch.setattr(C, "STEP", step)
+    want, total = slid(texts, words, 10)
+    got, everything = Counter(), 0
+    for out in C._pair_counts(words, [[0, 1, 2, 3], [1, 2]], 10)([pa.record_batch([pa.array(texts, pa.list_(pa.string()))], ["ws"])]):
+        for r in out.to_pylist():
+            if r["a"] is None:
+                everything += r["n"]
+            else:
+                got[r["a"], r["b"]] += r["n"]
+    assert everything == total and {p: n for p, n in got.items() if n} == {p: n for p, n in want.items() if n}
