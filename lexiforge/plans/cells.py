@@ -116,7 +116,7 @@ def _gone(spark, path: str) -> None:
 def a_delimited(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", F.concat(F.lit('He said "hi", '), "doc_id", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
     path = _scratch(spark)
-    docs.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(path)
+    docs.write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)  # as they are; nothing for null, quotes for empty
     return S.read_delimited(spark, path)
 
 

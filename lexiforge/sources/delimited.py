@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUOTE = '"'
+#: The parser drops NUL characters and can't tell a field without characters from an empty quoted one. So a mark stands before these in a record, and before a mark.
+MARK, SELF, NUL, NONE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 
 
 def transition(line: Column, separator: str, inside: bool) -> Column:
@@ -85,16 +87,24 @@ def records(lines: DataFrame, separator: str) -> DataFrame:
     return single.unionByName(whole.select("file", "at.block", "at.line", "text"))
 
 
+def _marked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(MARK), F.lit(MARK + SELF)), F.lit("\0"), F.lit(MARK + NUL))
+
+
+def _unmarked(field: Column) -> Column:
+    return F.replace(F.replace(field, F.lit(MARK + NUL), F.lit("\0")), F.lit(MARK + SELF), F.lit(MARK))
+
+
 def _typed(df: DataFrame) -> DataFrame:
-    """Text columns as whole numbers, numbers or truth values where every value is one; one pass decides."""
+    """Text columns as whole numbers, numbers or truth values where every value is one, but for empty ones, which are null there; one pass decides."""
     tests = {"bigint": lambda c: F.expr(f"try_cast({c} as bigint)").isNotNull(), "double": lambda c: F.expr(f"try_cast({c} as double)").isNotNull(),
              "boolean": lambda c: F.col(c).rlike(r"(?i)^\s*(true|false)\s*$")}
     names = [f"`{c.replace('`', '``')}`" for c in df.columns]
     if not names:
         return df
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)], *[F.count_if(t(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, t in tests.items()]).first()
+    counts = df.agg(*[F.count(F.nullif(c, F.lit(""))).alias(f"n{i}") for i, c in enumerate(names)], *[F.count_if(t(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, t in tests.items()]).first()
     kinds = [next((k for k in tests if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), "string") for i in range(len(names))]
-    return df.select(*[F.col(c).cast(k).alias(n) for c, k, n in zip(names, kinds, df.columns)])
+    return df.select(*[(F.col(c) if k == "string" else F.nullif(c, F.lit("")).cast(k)).alias(n) for c, k, n in zip(names, kinds, df.columns)])
 
 
 def _header(text: str, separator: str) -> list[str]:
@@ -112,7 +122,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema:
     """Delimited text files with a header record each, as one table by column name.
 
     Fields may be quoted; quoted ones may hold separators, line breaks and doubled quotes. Each file is UTF-8, or Latin-1 where its
-    bytes aren't valid UTF-8. Empty lines between records go; missing fields are null, also of columns that only other files
+    bytes aren't valid UTF-8. Empty lines between records go; missing fields and those without characters are null (quoted empty ones aren't, but in columns of numbers or truth values), also of columns that only other files
     have; fields beyond the header's go. Without a ``schema`` (by name), columns are whole numbers,
     numbers or truth values where all values are, else text. Files are read in blocks, side by side.
     """
@@ -123,15 +133,15 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema:
     text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     rows = lines.join(kinds, "file").select("file", "block", "line", text.alias("text"), "quotes")
     found = rows.where("not quotes").drop("quotes").unionByName(records(rows.where("quotes").drop("quotes"), separator))
-    found = found.withColumn("text", F.regexp_replace("text", r"\r$", "")).where("text <> ''")
+    found = found.withColumn("text", F.when(F.endswith("text", F.lit("\r")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))).where("text <> ''")
     firsts = found.groupBy("file").agg(F.min_by("text", F.struct("block", "line")).alias("header"), F.min(F.struct("block", "line")).alias("first"))
     bodies = found.join(firsts, "file").where(F.struct("block", "line") != F.col("first"))
     frames = []
     for header in sorted(r[0] for r in firsts.select("header").distinct().collect()):
         names = _header(header, separator)
         kind = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        fields = F.from_csv("text", kind.simpleString()[7:-1].replace(":", " "), {"sep": separator, "quote": QUOTE, "escape": QUOTE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
-        frames.append(bodies.where(F.col("header") == header).select(fields.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
+        fields = F.from_csv(_marked(F.col("text")), kind.simpleString()[7:-1].replace(":", " "), {"sep": separator, "quote": QUOTE, "escape": QUOTE, "nullValue": MARK + NONE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+        frames.append(bodies.where(F.col("header") == header).select(fields.alias("r")).select(*[_unmarked(F.col(f"r.c{i}")).alias(n) for i, n in enumerate(names)]))
     if not frames:
         return spark.createDataFrame([], schema or T.StructType())
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -93,6 +93,24 @@ def test_header_only_and_empty(spark, tmp_path):
     assert S.read_delimited(spark, str(tmp_path / "e.csv")).count() == 0
 
 
+def test_values_as_they_are(spark, tmp_path):
+    """The query gives back spaces and line breaks around a value, NUL characters, and empty values apart from null ones."""
+    import __spark_entry__ as e
+
+    texts = ["trail ", "trail\n\n", "\t", "cr\r", "\r\n", "a\r\nb", "nul\0mid\0", "\ufdd0\ufdd2", 'end"', '""\n"', "x\u2028", "", None]
+    rows = [(i, t, [" de ", "", None, "x\r", 'q"', "a,b\n"][i % 6], ["", "s ", None][i % 3], None if i % 4 == 0 else i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = e.queries()["a_delimited"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, lang, source, n, f'He said "hi", {i}\n{t or ""}') for i, t, lang, source, n in rows]
+
+
+def test_quoted_empty(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,n,t\n1,"",""\n2,5,\n3,,x\r\n')
+    df = S.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"id": "bigint", "n": "bigint", "t": "string"}
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, None, ""), (2, 5, None), (3, None, "x")]
+
+
 def test_json_documents_and_lines(spark, tmp_path):
     pages = [{"a": 1}, {"a": 2}]
     (tmp_path / "one.json").write_text('{ "pages": [\n{"a": 1},\n{"a": 2}\n] }\n')
