@@ -28,11 +28,11 @@ def _folder(sc) -> str:
     return _folders[sc.applicationId]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written as a table and read again. A checkpoint would keep the constraints of its plan, which double from round to round."""
     spark = df.sparkSession
     name = f"{_folder(spark.sparkContext)}/{uuid.uuid4().hex}"
-    df.write.parquet(name)
+    df.write.parquet(name, **options)
     return spark.read.schema(df.schema).parquet(name)
 
 

@@ -2,13 +2,14 @@
 
 Whether a line break ends a record depends on all quotes before it. Each line is a function from the state before it (outside or inside a
 quoted field) to the state behind it, one of four: stay, change, end outside, end inside. Lines compose within their block of the
-file, blocks within their file, and the state before every line follows; only the few rows of blocks are ordered
-by file. Records of one line never move; lines of longer records meet by record.
+file in the order in which a task reads them, blocks within their file, and the state before every block follows; only the few rows of blocks
+meet. Then each block is read again from its state on. Texts aren't shuffled: only the parts of a record that lies in several blocks are.
 """
 
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import cut
+
 QUOTE = '"'
 #: The parser drops NUL characters and can't tell a field without characters from an empty quoted one. So a mark stands before these in a record, and before a mark.
 MARK, SELF, NUL, NONE = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
@@ -39,52 +42,107 @@ def transition(line: Column, separator: str, inside: bool) -> Column:
     return F.aggregate(pairs, first, step, lambda s: s["inside"])
 
 
-def _composed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with ``set`` and ``turns``: what all rows up to and with this one make of a state: a value, then changes of it.
-
-    Rows have ``fixed`` (the state behind them, null if it depends on the one before) and ``turn`` (1: it changes).
-    """
-    upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("all", F.sum("turn").over(upto))
-    last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "all")), ignorenulls=True).over(upto)
-    rows = rows.withColumn("last", last)
-    return rows.withColumn("set", F.col("last.fixed")).withColumn("turns", F.pmod(F.col("all") - F.coalesce("last.all", F.lit(0)), F.lit(2))).drop("all", "last")
-
-
-def _state(set_: Column, turns: Column, before: Column) -> Column:
-    return F.coalesce(set_, before) != (turns == 1)
-
-
-def records(lines: DataFrame, separator: str) -> DataFrame:
-    """Records ``(file, block, line, text)`` of ``lines(file, block, line, text)``; the place is that of the record's first line."""
-    quoted = F.contains("text", F.lit(QUOTE))
-    out, in_ = (F.when(quoted, transition(F.col("text"), separator, s)).otherwise(F.lit(s)) for s in (False, True))
-    rows = lines.withColumn("__out", out).withColumn("__in", in_)
-    rows = rows.withColumn("fixed", F.when(F.col("__out") == F.col("__in"), F.col("__out"))).withColumn("turn", F.when(F.col("__out") & ~F.col("__in"), 1).otherwise(0)).drop("__out", "__in")
-    # A block's function and, once blocks are composed, the state before it: rows for blocks, not lines.
-    total = rows.groupBy("file", "block").agg(
-        F.max_by(F.struct("fixed", "line"), F.when(F.col("fixed").isNotNull(), F.col("line"))).alias("f"), F.max("line").alias("end"))
-    after = rows.join(total.select("file", "block", F.coalesce("f.line", F.lit(-1)).alias("since")), ["file", "block"])
-    total = total.join(after.groupBy("file", "block").agg(F.sum(F.when(F.col("line") > F.col("since"), F.col("turn")).otherwise(0)).alias("turn")), ["file", "block"])
-    blocks = total.select("file", "block", F.col("f.fixed").alias("constant"), F.pmod("turn", F.lit(2)).alias("turn"))
-    blocks = blocks.withColumn("fixed", F.col("constant") != (F.col("turn") == 1)).withColumn("turn", F.when(F.col("constant").isNull(), F.col("turn")).otherwise(0))
-    behind = _composed(blocks, ["file"], ["block"]).withColumn("behind", _state(F.col("set"), F.col("turns"), F.lit(False)))
-    begins = behind.select("file", "block", F.coalesce(F.lag("behind").over(W.partitionBy("file").orderBy("block")), F.lit(False)).alias("begins"))
-    rows = _composed(rows.join(begins, ["file", "block"]), ["file", "block"], ["line"])
-    rows = rows.withColumn("inside", _state(F.col("set"), F.col("turns"), F.col("begins")))
-    inside_block = W.partitionBy("file", "block").orderBy("line")
-    rows = rows.withColumn("starts", ~F.coalesce(F.lag("inside").over(inside_block), F.col("begins")))
-    single = rows.where(F.col("starts") & ~F.col("inside")).select("file", "block", "line", "text")
-    # Lines of longer records, by the place of the line that began the record: in this block, or the last one begun before it.
-    opened = F.when(F.col("starts"), F.struct("block", "line"))
-    rows = rows.withColumn("at", F.last(opened, ignorenulls=True).over(inside_block))
-    lasts = rows.groupBy("file", "block").agg(F.max(opened).alias("last_begun"))
-    earlier = F.last("last_begun", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    carried = lasts.select("file", "block", earlier.alias("carried"))
-    longer = rows.where(~F.col("starts") | F.col("inside")).join(carried, ["file", "block"]).withColumn("at", F.coalesce("at", "carried"))
-    pieces = F.array_sort(F.collect_list(F.struct("block", "line", "text")))
-    whole = longer.groupBy("file", "at").agg(F.array_join(F.transform(pieces, lambda s: s["text"]), "\n").alias("text"))
-    return single.unionByName(whole.select("file", "at.block", "at.line", "text"))
+def _segments(blocks) -> list[tuple[int, int]]:
+    """Ranges of rows of one block each."""
+    import numpy as np
+
+    edges = np.flatnonzero(np.diff(blocks, prepend=-1)).tolist()
+    return list(zip(edges, [*edges[1:], len(blocks)]))
+
+
+def _column(batch, i: int):
+    if batch.column(i).null_count:
+        raise RuntimeError("files, or the blocks that they are read in, changed while they were read")
+    return batch.column(i).to_numpy(zero_copy_only=False)
+
+
+def _effects(batches):
+    """Rows ``(b, fixed, turn)``: the state behind block ``b`` whatever it was before (null: it depends on that), and whether it changes then."""
+    import numpy as np
+    import pyarrow as pa
+
+    done: dict[int, tuple[bool | None, bool]] = {}
+    for batch in batches:
+        blocks, outs, ins = (_column(batch, i) for i in range(3))
+        for i, j in _segments(blocks):
+            out, in_ = outs[i:j], ins[i:j]
+            fixed, turn = done.get(b := int(blocks[i]), (None, False))
+            constant = np.flatnonzero(out == in_)
+            if len(constant):
+                fixed, turn = bool(out[constant[-1]]), False
+                out, in_ = out[constant[-1] + 1 :], in_[constant[-1] + 1 :]
+            done[b] = fixed, turn ^ bool((out & ~in_).sum() % 2)
+    yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([f for f, _ in done.values()], pa.bool_()), pa.array([t for _, t in done.values()], pa.bool_())], ["b", "fixed", "turn"])
+
+
+#: Parts of a record that lies in several blocks: its end, a whole block, its begin.
+END, MIDDLE, BEGIN = 0, 1, 2
+#: A record's place is its block's number and, in so many bits, its number in the block.
+PLACE_BITS = 36
+
+
+def _records(files: list[int], begins: list[bool]) -> Callable:
+    """A mapInArrow function: lines ``(b, text, out, in)`` in order to records ``(f, place, part, text)``; ``part`` is null for whole records."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        block, inside, n = -1, False, 0  # the block read, the state before its next line, its records so far
+        opened: list[str] | None = None  # lines of a record that hasn't ended, and whether it began in this block
+        began = False
+
+        def rows(texts, first, part=None):
+            texts = texts.cast(pa.string())
+            places = pa.array((block << PLACE_BITS) + first + np.arange(len(texts)))
+            if part is None:
+                if pc.any(pc.ends_with(texts, "\r")).as_py():
+                    texts = pc.replace_substring_regex(texts, r"\r\z", "")
+                full = pc.not_equal(texts, "")
+                texts, places = texts.filter(full), places.filter(full)
+            k = len(texts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, files[block], np.int32)), places, pa.array([part] * k, pa.int32()), texts], ["f", "place", "part", "text"])
+
+        def joined(part=None):
+            return rows(pa.array(["\n".join(opened)], pa.string()), n - began, part)
+
+        def left():
+            """What is open at a block's end: a part, or at the file's end a record."""
+            if opened is not None:
+                whole = began and (block + 1 == len(files) or files[block + 1] != files[block])
+                yield joined(None if whole else BEGIN if began else MIDDLE)
+
+        for batch in batches:
+            blocks, outs, ins = _column(batch, 0), _column(batch, 2), _column(batch, 3)
+            for i, j in _segments(blocks):
+                if blocks[i] != block:
+                    yield from left()
+                    block, n = int(blocks[i]), 0
+                    inside, opened, began = begins[block], [] if begins[block] else None, False
+                out, in_, texts = outs[i:j], ins[i:j], batch.column(1).slice(i, j - i)
+                turns, state = np.zeros(j - i + 1, np.int64), inside
+                for at in np.flatnonzero(out | ~in_).tolist():
+                    if (new := bool(in_[at] if state else out[at])) != state:
+                        turns[at + 1], state = 1, new
+                starts = np.flatnonzero((np.cumsum(turns[:-1]) % 2).astype(bool) == inside)
+                inside, first = state, int(starts[0]) if len(starts) else j - i
+                if opened is not None:
+                    opened += texts.slice(0, first).to_pylist()
+                    if len(starts) or not inside:
+                        yield joined(None if began else END)
+                        opened = None
+                if len(starts):
+                    ends = [*starts.tolist(), j - i]
+                    if inside:
+                        opened, began = texts.slice(ends[-2]).to_pylist(), True
+                        ends.pop()
+                    if len(ends) > 1:
+                        yield rows(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.cast(pa.string())), "\n"), n)
+                    n += len(starts)
+        yield from left()
+
+    return run
 
 
 def _marked(text: Column) -> Column:
@@ -126,22 +184,47 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", schema:
     have; fields beyond the header's go. Without a ``schema`` (by name), columns are whole numbers,
     numbers or truth values where all values are, else text. Files are read in blocks, side by side.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"),
-                                                             F.monotonically_increasing_id().alias("line"))
-    # A row for each file, which a scan's driver lists too.
-    kinds = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(F.contains("value", F.lit(QUOTE))).alias("quotes"))
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*at, "value")
+    quoted = F.contains("value", F.lit(QUOTE))
+    # A row for each block of a file, which a scan's driver lists too.
+    blocks = sorted(map(tuple, lines.groupBy("file", "start", "length").agg(F.bool_and(F.is_valid_utf8("value")), F.bool_or(quoted)).collect()))
+    if not blocks:
+        return spark.createDataFrame([], schema or T.StructType())
+    numbers = {file: f for f, file in enumerate(dict.fromkeys(r[0] for r in blocks))}
+    latin, quotes = {r[0] for r in blocks if not r[3]}, {r[0] for r in blocks if r[4]}
+    kinds = spark.createDataFrame([(*r[:3], b, r[0] not in latin, r[0] in quotes) for b, r in enumerate(blocks)], "file string, start long, length long, b int, utf8 boolean, quotes boolean")
+    # Blocks found anew that aren't listed have no number, an error. Lines stay in order: the short side of the join is broadcast.
+    rows = lines.join(F.broadcast(kinds), ["file", "start", "length"], "left")
     text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    rows = lines.join(kinds, "file").select("file", "block", "line", text.alias("text"), "quotes")
-    found = rows.where("not quotes").drop("quotes").unionByName(records(rows.where("quotes").drop("quotes"), separator))
-    found = found.withColumn("text", F.when(F.endswith("text", F.lit("\r")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))).where("text <> ''")
-    firsts = found.groupBy("file").agg(F.min_by("text", F.struct("block", "line")).alias("header"), F.min(F.struct("block", "line")).alias("first"))
-    bodies = found.join(firsts, "file").where(F.struct("block", "line") != F.col("first"))
+    out, in_ = (F.when(F.col("quotes") & F.contains(text, F.lit(QUOTE)), transition(text, separator, s)).otherwise(F.lit(s)) for s in (False, True))
+    effects = {r["b"]: (r["fixed"], r["turn"]) for r in rows.where(quoted).select("b", out.alias("out"), in_.alias("in")).mapInArrow(_effects, "b int, fixed boolean, turn boolean").collect()} if quotes else {}
+    begins, inside = [], False
+    for b, r in enumerate(blocks):
+        inside = inside and b > 0 and blocks[b - 1][0] == r[0]
+        begins.append(inside)
+        fixed, turn = effects.get(b, (None, False))
+        inside = (inside if fixed is None else fixed) != turn
+    records = rows.select("b", text.alias("text"), out.alias("out"), in_.alias("in")).mapInArrow(_records([numbers[r[0]] for r in blocks], begins), "f int, place long, part int, text string")
+    found = records = cut(records, compression="zstd")  # read several times below, and the same whatever blocks a later scan has
+    if any(begins):
+        parts = records.where("part is not null")
+        begun = F.last(F.when(F.col("part") == BEGIN, F.col("place")), ignorenulls=True).over(W.partitionBy("f").orderBy(F.shiftright("place", PLACE_BITS), "part"))
+        pieces = F.array_sort(F.collect_list(F.struct(F.shiftright("place", PLACE_BITS), "part", "text")))
+        joined = parts.withColumn("at", begun).groupBy("f", "at").agg(F.array_join(F.transform(pieces, lambda s: s["text"]), "\n").alias("text"))
+        joined = joined.withColumn("text", F.when(F.endswith("text", F.lit("\r")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")))
+        found = records.where("part is null").drop("part").unionByName(joined.select("f", F.col("at").alias("place"), "text"))
+    firsts = found.groupBy("f").agg(F.min("place").alias("first"))
+    headers = found.join(F.broadcast(firsts), "f").where("place = first").select("f", "first", "text").collect()  # a row for each file
+    names_of = sorted({r["text"] for r in headers})
+    where = spark.createDataFrame([(r["f"], r["first"], names_of.index(r["text"])) for r in headers], "f int, first long, header int")
+    bodies = found.join(F.broadcast(where), "f").where("place <> first")
     frames = []
-    for header in sorted(r[0] for r in firsts.select("header").distinct().collect()):
+    for h, header in enumerate(names_of):
         names = _header(header, separator)
         kind = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
         fields = F.from_csv(_marked(F.col("text")), kind.simpleString()[7:-1].replace(":", " "), {"sep": separator, "quote": QUOTE, "escape": QUOTE, "nullValue": MARK + NONE, "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
-        frames.append(bodies.where(F.col("header") == header).select(fields.alias("r")).select(*[_unmarked(F.col(f"r.c{i}")).alias(n) for i, n in enumerate(names)]))
+        frames.append(bodies.where(F.col("header") == h).select(fields.alias("r")).select(*[_unmarked(F.col(f"r.c{i}")).alias(n) for i, n in enumerate(names)]))
     if not frames:
         return spark.createDataFrame([], schema or T.StructType())
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

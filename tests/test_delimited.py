@@ -111,6 +111,47 @@ def test_quoted_empty(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, None, ""), (2, 5, None), (3, None, "x")]
 
 
+def test_records_over_many_blocks(spark, tmp_path):
+    """Long records hold whole blocks; files end inside a quoted field, begin with empty lines, or have their header in several blocks."""
+    rng = random.Random(8)
+    rows = [[str(i), "\n".join(rng.choice(["x", 'say "hi"', "a,b", "", "\r", "é"]) * rng.randrange(9) for _ in range(rng.choice([1, 2, 40])))] for i in range(10)]
+    buffer = io.StringIO(newline="")
+    csv.writer(buffer, lineterminator="\n", quoting=csv.QUOTE_ALL).writerows([["id", "t\n" * 60], *rows])
+    (tmp_path / "a.csv").write_bytes(b"\n\r\n" * 50 + buffer.getvalue().encode())
+    (tmp_path / "b.csv").write_bytes(buffer.getvalue().encode() + b'"100","' + b"open\n" * 50 + b"end")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = [tuple(r) for r in S.read_delimited(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(int(i), t) for i, t in rows]
+    assert sorted(got) == sorted([*want, *want, (100, "open\n" * 50 + "end")])
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """What a scan writes to shuffle files doesn't follow the texts, though records lie in several blocks."""
+    rng = random.Random(9)
+    rows = [[str(i), "\n".join(str(rng.random()) for _ in range(60))] for i in range(3000)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", "t"], *rows])
+
+    def written():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 18)
+    try:
+        assert S.read_delimited(spark, str(tmp_path)).where("length(t) > 100").count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    size = (tmp_path / "a.csv").stat().st_size
+    assert size > 3_000_000 and written() - before < size / 10
+
+
 def test_json_documents_and_lines(spark, tmp_path):
     pages = [{"a": 1}, {"a": 2}]
     (tmp_path / "one.json").write_text('{ "pages": [\n{"a": 1},\n{"a": 2}\n] }\n')
